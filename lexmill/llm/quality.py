@@ -1,8 +1,8 @@
 """Quality by compression: zstandard dictionaries of good and of bad text.
 
-Two dictionaries are trained on labelled text, one a class. A text is compressed with each; the difference of the
-two sizes over the text's own size says which class describes it more briefly, and a logistic curve fitted on other
-labelled rows turns it into a score from 0 to 1. Fitting reads a bounded, documented sample: ``per_class`` rows of
+Two dictionaries are trained on labelled text, one a class. A text is compressed with each; the normalised
+difference of the two sizes says which class describes it more briefly, and a logistic curve fitted on other
+labelled rows (weighing as the labels are shared out) turns it into a score from 0 to 1. Fitting reads a bounded, documented sample: ``per_class`` rows of
 each label for its dictionary and as many again for the curve, the first in the order of a hash of the id, and
 ``window`` characters of each. Scoring reads whole texts.
 """
@@ -20,11 +20,17 @@ from pyspark.sql import functions as F
 
 from lexmill.llm.common import small_batches
 
+RIDGE = 1e-5
 
-def difference(text: str | None, good: zstandard.ZstdCompressor, bad: zstandard.ZstdCompressor) -> float:
-    """(bytes with the bad dictionary - bytes with the good one) / bytes of the text; 0 for an empty text."""
+
+def measures(text: str | None, good: zstandard.ZstdCompressor, bad: zstandard.ZstdCompressor) -> tuple[float, float, float, float]:
+    """The difference of the compressed sizes (bad - good) over the text's bytes and over the sum of the sizes; the
+    size with the good dictionary over the text's bytes, and its square. Zeros for an empty text."""
     data = (text or "").encode()
-    return (len(bad.compress(data)) - len(good.compress(data))) / len(data) if data else 0.0
+    if not data:
+        return 0.0, 0.0, 0.0, 0.0
+    a, b = len(good.compress(data)), len(bad.compress(data))
+    return (b - a) / len(data), (b - a) / (a + b), a / len(data), (a / len(data)) ** 2
 
 
 @dataclass(frozen=True)
@@ -32,8 +38,7 @@ class QualityModel:
     good: bytes
     bad: bytes
     level: int
-    slope: float
-    offset: float
+    weights: tuple[float, ...] = ()
 
     def compressors(self) -> tuple[zstandard.ZstdCompressor, zstandard.ZstdCompressor]:
         made = []
@@ -44,23 +49,25 @@ class QualityModel:
         return made[0], made[1]
 
     def scores(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * x + self.offset, -40, 40)))
+        return 1 / (1 + np.exp(-np.clip(x @ np.array(self.weights[1:]) + self.weights[0], -40, 40)))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, steps: int = 60) -> tuple[float, float]:
-    """Slope and offset by Newton's method, both classes weighing the same, with a small ridge."""
-    scale = float(np.abs(x).max()) or 1.0
-    z, w = np.c_[x / scale, np.ones_like(x)], np.where(y == 1, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1))
-    beta = np.zeros(2)
+def logistic(x: np.ndarray, y: np.ndarray, share: float = 0.5, steps: int = 60) -> tuple[float, ...]:
+    """Offset and slopes by Newton's method with a small ridge; label 1 weighs ``share`` in all, label 0 the rest."""
+    middle, scale = x.mean(0), x.std(0)
+    scale[scale == 0] = 1
+    z, w = np.c_[np.ones(len(x)), (x - middle) / scale], np.where(y == 1, share / max(y.sum(), 1), (1 - share) / max((1 - y).sum(), 1))
+    beta = np.zeros(z.shape[1])
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(z @ beta, -40, 40)))
-        gradient = z.T @ (w * (y - p)) - 1e-4 * beta
-        hessian = (z * (w * p * (1 - p))[:, None]).T @ z + 1e-4 * np.eye(2)
+        gradient = z.T @ (w * (y - p)) - RIDGE * beta
+        hessian = (z * (w * p * (1 - p))[:, None]).T @ z + RIDGE * np.eye(len(beta))
         beta = beta + np.linalg.solve(hessian, gradient)
-    return float(beta[0] / scale), float(beta[1])
+    slopes = beta[1:] / scale
+    return (float(beta[0] - slopes @ middle), *map(float, slopes))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = 1200, window: int = 4000, dictionary: int = 512 << 10, level: int = 3) -> QualityModel:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = 2000, window: int = 4000, dictionary: int = 512 << 10, level: int = 3) -> QualityModel:
     """A model from the labelled rows whose crc32 of the id (as text) is not divisible by 5.
 
     The sample's ids, ``2 * per_class`` a class at most, are chosen from the labels alone; only their texts are read
@@ -74,6 +81,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         for label in (0, 1)
     ]
     ids = chosen[0].union(chosen[1]).collect()  # 4 * per_class rows at most
+    share = usable.agg(F.avg(label_col)).first()[0]
     named = spark.createDataFrame([tuple(r) for r in ids], "_id long, _label int, _order long")
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.substring(F.col(text_col), 1, window).alias("_text")).filter("_text <> ''")
     sample = sorted((tuple(r) for r in texts.join(F.broadcast(named), "_id").select("_order", "_id", "_label", "_text").collect()))
@@ -85,19 +93,19 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             made[label] = zstandard.train_dictionary(dictionary, data).as_bytes()
         except zstandard.ZstdError:  # too few or too short texts to train on
             made[label] = b"\n".join(data)[:dictionary].rjust(8)
-    model = QualityModel(made[1], made[0], level, 0.0, 0.0)
+    model = QualityModel(made[1], made[0], level)
     compressors = model.compressors()
-    rest = [(difference(t.decode(errors="ignore"), *compressors), label) for label in by for t in by[label][len(half[label]) :]]
-    if len({label for _, label in rest}) < 2:
-        return QualityModel(made[1], made[0], level, 40.0, 0.0)
-    slope, offset = logistic(*np.array(rest, float).T)
-    return QualityModel(made[1], made[0], level, slope, offset)
+    rest = [(*measures(t.decode(errors="ignore"), *compressors), label) for label in by for t in by[label][len(half[label]) :]]
+    if len({r[-1] for r in rest}) < 2:
+        return QualityModel(made[1], made[0], level, (0.0, 40.0, 0.0, 0.0, 0.0))
+    table = np.array(rest, float)
+    return QualityModel(made[1], made[0], level, logistic(table[:, :-1], table[:, -1], share))
 
 
 def scored(docs: DataFrame, model: QualityModel, text_col: str = "text", cut: float = 0.3) -> DataFrame:
     """``docs`` with ``score`` and ``predicted`` (1 from ``cut`` on); columns of these names are replaced.
 
-    Defined cases: null and empty texts get the score of a difference of zero; repeated rows get equal scores; an
+    Defined cases: null and empty texts get the score of sizes of zero; repeated rows get equal scores; an
     empty table gives an empty table.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries of at most ``dictionary`` bytes
@@ -106,7 +114,7 @@ def scored(docs: DataFrame, model: QualityModel, text_col: str = "text", cut: fl
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         pair = held.value.compressors()
         for texts in batches:
-            yield pd.Series(held.value.scores(np.array([difference(t, *pair) for t in texts], float)))
+            yield pd.Series(held.value.scores(np.array([measures(t, *pair) for t in texts], float).reshape(-1, 4)))
 
     small_batches(docs.sparkSession)
     return docs.drop("score", "predicted").withColumn("score", score(F.col(text_col))).withColumn("predicted", (F.col("score") >= cut).cast("int"))
