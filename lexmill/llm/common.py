@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -32,6 +33,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def released(spark: SparkSession, *tables: DataFrame) -> None:
+    """Deletes tables that ``written`` made and nothing needs any more, and lets Spark drop finished shuffles."""
+    for table in tables:
+        for file in {f.rpartition("/")[0] for f in table.inputFiles()}:
+            removed(spark, file)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def removed(spark: SparkSession, path: str) -> None:
     """Deletes a path of the shared folder through Hadoop's file system."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()

@@ -11,28 +11,32 @@ window starts. Its bucket is refined in two steps over the whole corpus, each a
 
 1. by the identifiers at both ends of its run (and the run's shape), which name all bytes that its windows cover;
    a refined bucket with two members settles all their windows at once, as repeated;
-2. where a depth-``depth`` bucket fell into several refined ones, by the windows of one member of each: a window
-   found in two refined buckets is repeated.
+2. where a bucket fell into several refined ones, one member of each goes on: its run is cut into blocks, each with
+   the bucket of the bytes that all its windows share and the refined bucket of those that any has, and step 1
+   holds again. Blocks that are still open after it are spelled out window by window.
 
 A bucket with one member is done: no window that it owns occurs twice. Copies never meet in pairs or lists.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import small_batches, with_text, written
+from lexmill.llm.common import released, small_batches, with_text, written
 
 #: Odd multipliers of the mixing step (fixed values: 64-bit fractions of the golden ratio and two finalisers).
 GOLDEN, MIX1, MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 #: Bytes whose suffixes are held at once, eight bytes an identifier.
 CHUNK = 1 << 21
+#: Windows to a block, the step between a whole run and single windows.
+BLOCK = 16
+RUN = "k long, mark long, bucket long, refined long, start long, length int, lead int"
 
 
 def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -129,29 +133,61 @@ def owned(keys: pd.DataFrame, parts: list[bytes], width: int, depth: int) -> pd.
     shape = ((anchor - first) * 65536 + (last - first)).astype(np.uint64)
     refined = mixed(mixed(full[first], full[last]), shape)
     rows = {c: keys[c].to_numpy()[doc] for c in ("k", "mark")}
-    rows |= {"bucket": fine[anchor].view(np.int64), "refined": refined.view(np.int64), "start": first - cuts[doc] + keys["base"].to_numpy()[doc], "length": last - first + 1, "anchor": anchor - first}
+    rows |= {"bucket": fine[anchor].view(np.int64), "refined": refined.view(np.int64), "start": first - cuts[doc] + keys["base"].to_numpy()[doc], "length": last - first + 1, "lead": anchor - first}
     found = pd.DataFrame(rows)
     found["whole"] = found.duplicated(["bucket", "refined"], keep=False)
     found["goes"] = ~found.duplicated(["bucket", "refined"])
     return found
 
 
-def spelled(batch: pd.DataFrame, width: int) -> pd.DataFrame:
-    """The windows of open runs, named by two independent identifiers: (w1, w2, k, mark, at, many)."""
-    parts, rows = [], []
+def opened(batch: pd.DataFrame, width: int) -> tuple[bytes, pd.DataFrame]:
+    """The bytes of a batch's jobs one after another, and a row per job with ``place``, where its first window is."""
+    parts, rows, place = [], [], 0
     for k, mark, data, jobs in zip(batch["k"], batch["mark"], batch["packed"], batch["jobs"], strict=True):
-        data = zlib.decompress(data)
+        data = zstandard.decompress(data)
         for job in jobs:
             parts.append(data[job["start"] : job["start"] + job["length"] + width - 1])
-            rows.append((k, mark, job["start"], job["many"], job["length"]))
-    lengths = np.array([r[4] for r in rows], np.int64)
-    cuts = np.cumsum([0, *map(len, parts)])[:-1]
-    within = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    places = np.repeat(cuts, lengths) + within
-    data = b"".join(parts)
-    names = {f"w{n}": Buckets(data, seed).depth(width)[places].view(np.int64) for n, seed in ((1, 3), (2, 4))}
-    k, mark, start, many = (np.repeat(np.array([r[c] for r in rows]), lengths) for c in range(4))
-    return pd.DataFrame(names | {"k": k, "mark": mark, "at": start + within, "many": many})
+            rows.append((k, mark, job["start"], job["length"], job["lead"], job["many"], place))
+            place += len(parts[-1])
+    return b"".join(parts), pd.DataFrame(rows, columns=["k", "mark", "start", "length", "lead", "many", "place"])
+
+
+def stepped(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each of ``counts`` items: the item's row, and its number among the row's, from 0."""
+    row = np.repeat(np.arange(len(counts)), counts)
+    return row, np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+def blocks(batch: pd.DataFrame, width: int, size: int) -> pd.DataFrame:
+    """Runs cut into blocks of windows that lie at the same ``size`` distances before their anchor.
+
+    A block's bucket names the bytes that all windows at these distances share, its refined bucket those that any of
+    the block's windows has.
+    """
+    data, jobs = opened(batch, width)
+    lead, length, place = (jobs[c].to_numpy() for c in ("lead", "length", "place"))
+    low = (lead - length + 1) // size  # the nearest block
+    row, n = stepped(lead // size - low + 1)
+    q = low[row] + n
+    near, far = np.maximum(q * size, (lead - length + 1)[row]), np.minimum(q * size + size - 1, lead[row])
+    first, last = lead[row] - far, lead[row] - near  # windows of the run
+    buckets = Buckets(data, 5)
+    full, core = buckets.depth(width), buckets.depth(width - size + 1)
+    bucket = mixed(core[place[row] + lead[row] - q * size], q.astype(np.uint64))
+    shape = ((far - q * size) * size + near - q * size).astype(np.uint64)
+    refined = mixed(mixed(full[place[row] + first], full[place[row] + last]), shape)
+    out = {c: jobs[c].to_numpy()[row] for c in ("k", "mark", "many")}
+    return pd.DataFrame(out | {"bucket": bucket.view(np.int64), "refined": refined.view(np.int64), "start": jobs["start"].to_numpy()[row] + first, "length": last - first + 1, "lead": far})
+
+
+def spelled(batch: pd.DataFrame, width: int) -> pd.DataFrame:
+    """The windows of runs, named by two independent identifiers: (w1, w2, k, mark, at, many)."""
+    data, jobs = opened(batch, width)
+    row, n = stepped(jobs["length"].to_numpy())
+    places = jobs["place"].to_numpy()[row] + n
+    names = {f"w{i}": Buckets(data, seed).depth(width)[places].view(np.int64) for i, seed in ((1, 3), (2, 4))}
+    out = {c: jobs[c].to_numpy()[row] for c in ("k", "mark", "many")}
+    return pd.DataFrame(names | out | {"at": jobs["start"].to_numpy()[row] + n})
 
 
 def covered(runs: list, width: int) -> list[tuple[int, int]]:
@@ -165,11 +201,11 @@ def covered(runs: list, width: int) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 200, depth: int = 48) -> DataFrame:
+def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 200, depth: int = 48, whole_characters: bool = False) -> DataFrame:
     """(k, mark, spans, kept binary) of the documents that hold a repeated ``width``-byte string.
 
     ``k`` is the id (a fixed number for null) and ``mark`` a hash of the text; ``kept`` is what remains of its UTF-8
-    bytes. Rows with equal ``k`` and text share one row here, but count as two places.
+    bytes, with ``whole_characters`` without those of characters that a cut has split. Rows with equal ``k`` and text share one row here, but count as two places.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -177,42 +213,44 @@ def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for keys, parts in portions(batches, width):
-            yield owned(keys, parts, width, depth).drop(columns="anchor")
+            yield owned(keys, parts, width, depth)
 
-    found = written(texts.mapInPandas(find, "k long, mark long, bucket long, refined long, start long, length int, whole boolean, goes boolean"), "anchors")
-    bucket, refined = Window.partitionBy("bucket"), Window.partitionBy("bucket", "refined")
-    ranked = (
-        found.filter("goes").drop("goes")
-        .withColumn("one", F.row_number().over(refined.orderBy("k", "mark", "start")) == 1)
-        .withColumn("many", (F.count("*").over(refined) > 1) | F.max("whole").over(refined))
-        .withColumn("open", F.min("refined").over(bucket) != F.max("refined").over(bucket))
-    )
-    settled = written(ranked.filter("many or open").select("k", "mark", "start", "length", "many", (F.col("open") & F.col("one")).alias("open")), "settled")
-    whole = settled.filter("many").select("k", "mark", F.col("start").alias("lo"), (F.col("start") + F.col("length") - 1).alias("hi"))
-    whole = whole.union(found.filter("whole and not goes").select("k", "mark", "start", F.col("start") + F.col("length") - 1))
-    jobs = settled.filter("open").groupBy("k", "mark").agg(F.collect_set(F.struct("start", "length", "many")).alias("jobs"))
-    touched = whole.groupBy("k", "mark").agg(F.lit(True).alias("some")).join(jobs, ["k", "mark"], "full").select("k", "mark", "jobs")
+    found = written(texts.mapInPandas(find, f"{RUN}, whole boolean, goes boolean"), "anchors")
+    settled = written(refine(found.filter("goes").drop("goes").withColumnRenamed("whole", "many")), "settled")
+    copies = found.filter("whole and not goes").select("k", "mark", "start", "length")
+    whole = written(settled.filter("many").select("k", "mark", "start", "length").union(copies), "whole")
+    released(spark, found)
+    touched = whole.select("k", "mark").union(settled.select("k", "mark")).distinct()
 
     @F.pandas_udf("binary")
     def packed(values: pd.Series) -> pd.Series:
-        return pd.Series([zlib.compress(v.encode(), 1) for v in values])
+        make = zstandard.ZstdCompressor(level=9)
+        return pd.Series([make.compress(v.encode()) for v in values])
 
     affected = written(texts.select("k", "mark", packed("text").alias("packed")).join(touched, ["k", "mark"]).dropDuplicates(["k", "mark"]), "affected")
-    windows = written(
-        affected.filter("jobs is not null").mapInPandas(lambda batches: (spelled(b, width) for b in batches if len(b)), "w1 long, w2 long, k long, mark long, at long, many boolean"),
-        "windows",
-    )
+    released(spark)
+
+    def named(runs: DataFrame, make, schema: str) -> DataFrame:
+        jobs = runs.groupBy("k", "mark").agg(F.collect_set(F.struct("start", "length", "lead", "many")).alias("jobs"))
+        return affected.join(jobs, ["k", "mark"]).mapInPandas(lambda batches: (make(b) for b in batches if len(b)), schema)
+
+    parts = written(refine(named(settled.filter("open"), lambda b: blocks(b, width, BLOCK), f"{RUN}, many boolean")), "blocks")
+    released(spark)
+    windows = written(named(parts.filter("open"), lambda b: spelled(b, width), "w1 long, w2 long, k long, mark long, at long, many boolean"), "windows")
     common = windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
-    partly = windows.filter("not many").join(common, ["w1", "w2"]).select("k", "mark", F.col("at").alias("lo"), F.col("at").alias("hi"))
-    runs = whole.union(partly).groupBy("k", "mark").agg(F.collect_set(F.struct("lo", "hi")).alias("runs"))
+    partly = windows.filter("not many").join(common, ["w1", "w2"]).select("k", "mark", F.col("at").alias("start"), F.lit(1).alias("length"))
+    runs = whole.union(parts.filter("many").select("k", "mark", "start", "length")).union(partly)
+    runs = written(runs.groupBy("k", "mark").agg(F.collect_set(F.struct(F.col("start").alias("lo"), (F.col("start") + F.col("length") - 1).alias("hi"))).alias("runs")), "runs")
+    released(spark, windows, parts, whole, settled)
 
     def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for k, mark, data, found in zip(batch["k"], batch["mark"], batch["packed"], batch["runs"], strict=True):
-                data, spans = zlib.decompress(data), covered(found, width)
+                data, spans = zstandard.decompress(data), covered(found, width)
                 edges = [0, *(x for s in spans for x in s), len(data)]
                 kept = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
+                kept = kept.decode(errors="ignore").encode() if whole_characters else kept
                 out.append((k, mark, [{"start": a, "end": b} for a, b in spans], kept))
             yield pd.DataFrame(out, columns=["k", "mark", "spans", "kept"])
 
@@ -220,6 +258,22 @@ def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     return joined.mapInPandas(apply, "k long, mark long, spans array<struct<start long, end long>>, kept binary")
 
 
+def refine(runs: DataFrame) -> DataFrame:
+    """Runs that may hold repeated windows, of rows (k, mark, bucket, refined, start, length, lead, many).
+
+    ``many``: the refined bucket has several members (or came so), which settles the run. ``open``: the bucket has
+    several refined ones, and this run stands for its own. Runs alone in their bucket are gone.
+    """
+    bucket, refined = Window.partitionBy("bucket"), Window.partitionBy("bucket", "refined")
+    return (
+        runs.withColumn("one", F.row_number().over(refined.orderBy("k", "mark", "start")) == 1)
+        .withColumn("many", (F.count("*").over(refined) > 1) | F.max("many").over(refined))
+        .withColumn("open", (F.min("refined").over(bucket) != F.max("refined").over(bucket)) & F.col("one"))
+        .filter("many or open")
+        .select("k", "mark", "start", "length", "lead", "many", "open")
+    )
+
+
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``docs`` with ``k``, ``mark`` and ``text`` without nulls."""
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -244,9 +298,9 @@ def counted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 200) -> DataFrame:
-    """The columns of ``docs``, texts without their repeated strings; bytes that a cut leaves invalid are replaced by U+FFFD."""
-    changed = cut(docs, id_col, text_col, width).select(F.col("k").alias("_k"), F.col("mark").alias("_m"), F.decode("kept", F.lit("UTF-8")).alias("_kept"))
+    """The columns of ``docs``, texts without their repeated strings and without characters that a cut has split."""
+    changed = cut(docs, id_col, text_col, width, whole_characters=True).select(F.col("k").alias("_lexmill_k"), F.col("mark").alias("_lexmill_m"), F.col("kept").cast("string").alias("_lexmill_kept"))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    marked = docs.withColumn("_key", F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))).withColumn("_mark", F.xxhash64(F.lit(11), text))
-    joined = marked.join(changed, (F.col("_key") == F.col("_k")) & (F.col("_mark") == F.col("_m")), "left")
-    return with_text(joined, F.coalesce("_kept", text), text_col).drop("_k", "_m", "_key", "_mark", "_kept")
+    marked = docs.withColumn("_lexmill_key", F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))).withColumn("_lexmill_mark", F.xxhash64(F.lit(11), text))
+    joined = marked.join(changed, (F.col("_lexmill_key") == F.col("_lexmill_k")) & (F.col("_lexmill_mark") == F.col("_lexmill_m")), "left")
+    return with_text(joined, F.coalesce("_lexmill_kept", text), text_col).drop("_lexmill_k", "_lexmill_m", "_lexmill_key", "_lexmill_mark", "_lexmill_kept")
