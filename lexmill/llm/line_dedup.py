@@ -45,12 +45,12 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     dropped = (
         lines.join(hot, ["_h1", "_h2"]).filter(F.col("_id") != F.col("_keep")).groupBy("_id", "_mark").agg(F.collect_set("_pos").alias("_gone"))
     )
-    joined = own.withColumn("_mark", mark).join(dropped.withColumnRenamed("_id", "_of").withColumnRenamed("_mark", "_m"), (F.col(id_col) == F.col("_of")) & (F.col("_mark") == F.col("_m")), "left")
+    joined = own.withColumn("_lexmill_mark", mark).join(dropped.toDF("_lexmill_of", "_lexmill_m", "_lexmill_gone"), (F.col(id_col) == F.col("_lexmill_of")) & (F.col("_lexmill_mark") == F.col("_lexmill_m")), "left")
     parts = F.split(text_col, "\n", -1)
-    stays = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_gone"))
-    kept = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(stays, lambda i: F.get(parts, i)), "\n"))
-    counted = joined.withColumn("n_lines", F.size(parts).cast("long")).withColumn("n_dropped", F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long"))
-    return with_text(counted, kept, text_col).drop("_mark", "_of", "_m", "_gone")
+    stays = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_lexmill_gone"))
+    kept = F.when(F.col("_lexmill_gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(stays, lambda i: F.get(parts, i)), "\n"))
+    counted = joined.withColumn("n_lines", F.size(parts).cast("long")).withColumn("n_dropped", F.when(F.col("_lexmill_gone").isNull(), 0).otherwise(F.size("_lexmill_gone")).cast("long"))
+    return with_text(counted, kept, text_col).drop("_lexmill_mark", "_lexmill_of", "_lexmill_m", "_lexmill_gone")
 
 
 ORACLE = r"""

@@ -193,5 +193,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how: int) -> DataFrame:
     """The rows of ``docs`` whose id is their component's smallest (and rows without an id); repeated rows: all."""
-    gone = near_duplicates(docs, id_col, text_col, **how).filter("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    gone = near_duplicates(docs, id_col, text_col, **how).filter("component_id <> doc_id").select(F.col("doc_id").alias("_lexmill_gone")).distinct()
+    return docs.join(gone, docs[id_col] == gone["_lexmill_gone"], "left_anti")
