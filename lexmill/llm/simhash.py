@@ -3,7 +3,7 @@
 Fingerprints are made by document; equal ones collapse to one representative (its smallest id). The index's upper
 nodes are masked bit patterns: the bits are cut into ``distance + 2`` blocks, so two fingerprints within ``distance``
 agree on at least two whole blocks, and each pair of blocks with its bits is an upper node. Nodes are shuffled, never
-broadcast. Below an upper node the fingerprints stand in Gray rank; runs of neighbours are factored into nodes that
+broadcast; one with too many members is split again by its free bits. Below an upper node the fingerprints stand in Gray rank; runs of neighbours are factored into nodes that
 keep the bits which all members share, and those into wider nodes. Two nodes are compared by the bits fixed in both:
 beyond ``distance`` the whole pair of groups is pruned, and where even all free bits could not exceed it the groups
 are linked without looking at their members. A node emits a spanning forest, not its pairs. Components are joined
@@ -64,18 +64,38 @@ def gray_rank(fp: Column) -> Column:
     return fp
 
 
-def upper_nodes(fp: Column, distance: int) -> Column:
-    """Keys of the masked bit patterns that hold a fingerprint: two of ``distance + 2`` blocks each."""
-    n = distance + 2
-    edges = [BITS * i // n for i in range(n + 1)]
-    blocks = [(lo, hi - lo) for lo, hi in zip(edges, edges[1:], strict=False)]
+def blocks(bits: int, distance: int) -> list[tuple[int, int]]:
+    """(lowest bit, width) of ``distance + 2`` blocks of a pattern."""
+    edges = [bits * i // (distance + 2) for i in range(distance + 3)]
+    return [(lo, hi - lo) for lo, hi in zip(edges, edges[1:], strict=False)]
+
+
+def upper_nodes(fp: Column, distance: int, bits: int = BITS) -> Column:
+    """Keys of the masked bit patterns that hold a fingerprint: two whole blocks each, below the number of their pair."""
+    parts = blocks(bits, distance)
+    width = 2 * max(w for _, w in parts)
     keys = []
-    for k, ((a, wa), (b, wb)) in enumerate(combinations(blocks, 2)):
-        bits = [F.shiftrightunsigned(fp, at).bitwiseAND(F.lit((1 << w) - 1)) for at, w in ((a, wa), (b, wb))]
-        keys.append(F.shiftleft(F.lit(k).cast("long"), wa + wb) + F.shiftleft(bits[0], wb) + bits[1])
+    for k, ((a, wa), (b, wb)) in enumerate(combinations(parts, 2)):
+        one, two = (F.shiftrightunsigned(fp, at).bitwiseAND(F.lit((1 << w) - 1)) for at, w in ((a, wa), (b, wb)))
+        keys.append(F.lit(k << width).cast("long") + F.shiftleft(one, wb) + two)
     return F.array(*keys)
 
 
+def lower_nodes(key: Column, fp: Column, distance: int) -> Column:
+    """Keys below an upper node that holds too many: its members agree on the node's two blocks, so what differs
+    lies in the others, and these bits alone are cut into blocks again."""
+    parts = blocks(BITS, distance)
+    width, free, bits = 2 * max(w for _, w in parts), F.lit(0).cast("long"), 0
+    for k, pair in enumerate(combinations(range(len(parts)), 2)):
+        packed, at = F.lit(0).cast("long"), 0
+        for i, (lo, w) in enumerate(parts):
+            if i not in pair:
+                packed = packed.bitwiseOR(F.shiftleft(F.shiftrightunsigned(fp, lo).bitwiseAND(F.lit((1 << w) - 1)), at))
+                at += w
+        free, bits = F.when(F.shiftright(key, width) == k, packed).otherwise(free), max(bits, at)
+    return F.transform(upper_nodes(free, distance, bits), lambda x: F.lit(1 << 60) + F.shiftleft(key, 24) + x)
+
+
 def merged(labels: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
     """Joins the components of i and j, pairwise, in an array of smallest members."""
     while len(i):
@@ -170,9 +190,15 @@ def forest(rows: Iterator[pd.DataFrame], distance: int) -> Iterator[pd.DataFrame
         yield of(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
 
-def simhash_links(fps: DataFrame, distance: int = 4) -> DataFrame:
-    """(u, v) spanning edges between representatives of (fp, rep) rows that have distinct fingerprints."""
+def simhash_links(fps: DataFrame, distance: int = 4, hot: int = 50_000) -> DataFrame:
+    """(u, v) spanning edges between representatives of (fp, rep) rows that have distinct fingerprints.
+
+    An upper node with more than ``hot`` members is split into lower ones, so that no task gets it whole.
+    """
     keyed = fps.select("fp", "rep", F.explode(upper_nodes(F.col("fp"), distance)).alias("key"))
+    large = keyed.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > hot).select("key", F.lit(True).alias("large"))
+    keys = F.when(F.col("large"), lower_nodes(F.col("key"), F.col("fp"), distance)).otherwise(F.array("key"))
+    keyed = keyed.join(large, "key", "left").select("fp", "rep", F.explode(keys).alias("key"))
     dealt = keyed.repartition("key").sortWithinPartitions(F.col("key"), gray_rank(F.col("fp")))
     return dealt.select("key", "fp", "rep").mapInPandas(lambda rows: forest(rows, distance), "u long, v long")
 

@@ -115,6 +115,18 @@ def test_chain_of_links_in_pieces(spark):
     assert {r.root for r in roots} == {0} and len(roots) == len(set(fps)) - 1
 
 
+@pytest.mark.parametrize("hot", [3, 1000])
+def test_split_nodes_lose_no_link(spark, hot):
+    from lexmill.llm.components import components
+
+    rng = random.Random(11)
+    base = [rng.getrandbits(64) for _ in range(5)]
+    fps = list({b ^ sum({1 << rng.randrange(64) for _ in range(rng.randrange(6))}) for b in base for _ in range(60)})
+    df = spark.createDataFrame([(np.uint64(f).astype(np.int64).item(), i) for i, f in enumerate(fps)], "fp long, rep long")
+    roots = {r.node: r.root for r in components(simhash.simhash_links(df, hot=hot), "u", "v").collect()}
+    assert {i: roots.get(i, i) for i in range(len(fps))} == plain_components(dict(enumerate(fps)), 4)
+
+
 def test_near_copies_find_edited_texts_alone(spark):
     rng = random.Random(4)
     word = lambda: "".join(rng.choices("abcdefgh", k=6))
