@@ -39,22 +39,44 @@ class VantageTree:
         return rows[0], middle, self._node(rows[1:][inner]), self._node(rows[1:][~inner]), float(far[inner].max()), float(far[~inner].min())
 
     def search(self, queries: np.ndarray, own: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray]:
-        """(distances, ids) of the k nearest of each query, without its own id; ties to smaller ids; inf where none."""
+        """(distances, ids) of the k nearest of each query, without its own id; ties to smaller ids; inf where none.
+
+        Queries go down together: first each to the leaf that it belongs in, whose k-th distance bounds its reach,
+        then to every subtree that is not out of reach, so that a node is met twice, whatever the number of queries.
+        """
         best = np.full((len(queries), k), np.inf)
         names = np.full((len(queries), k), np.iinfo(np.int64).max)
+        reach = np.full(len(queries), np.inf)
 
-        def offer(who: np.ndarray, rows: np.ndarray) -> None:
+        def apart(who: np.ndarray, rows: np.ndarray) -> np.ndarray:
             d = np.zeros((len(who), len(rows)))
             for j in range(queries.shape[1]):  # in the order of components, so that sums are those of any plain loop
                 d += (queries[who, j, None] - self.points[rows, j]) ** 2
             d = np.sqrt(d)
             d[own[who, None] == self.ids[rows]] = np.inf
+            return d
+
+        def home(node, who: np.ndarray) -> None:
+            if not len(who):
+                return
+            if isinstance(node, np.ndarray):
+                if len(node) >= k:
+                    reach[who] = np.partition(apart(who, node), k - 1, axis=1)[:, k - 1]
+                return
+            vantage, middle, inner, outer, _, _ = node
+            near = np.sqrt(((queries[who] - self.points[vantage]) ** 2).sum(1)) <= middle
+            home(inner, who[near])
+            home(outer, who[~near])
+
+        def offer(who: np.ndarray, rows: np.ndarray) -> None:
+            d = apart(who, rows)
             all_d = np.hstack([best[who], d])
             all_n = np.hstack([names[who], np.broadcast_to(self.ids[rows], d.shape)])
             all_n[np.isinf(all_d)] = np.iinfo(np.int64).max
             order = np.lexsort((all_n, all_d), axis=1)[:, :k]
             best[who] = np.take_along_axis(all_d, order, 1)
             names[who] = np.take_along_axis(all_n, order, 1)
+            reach[who] = np.minimum(reach[who], best[who, -1])
 
         def visit(node, who: np.ndarray) -> None:
             if not len(who):
@@ -63,18 +85,14 @@ class VantageTree:
                 if len(node):
                     offer(who, node)
                 return
-            vantage, middle, inner, outer, most, least = node
+            vantage, _, inner, outer, most, least = node
             d = np.sqrt(((queries[who] - self.points[vantage]) ** 2).sum(1))
-            offer(who, np.array([vantage]))
-            near = d <= middle
             slack = 1e-9 * (1 + d)
-            for first, in_turn in ((True, (inner, outer)), (False, (outer, inner))):
-                group = near if first else ~near
-                visit(in_turn[0], who[group])
-                rest, dd, ss = who[group], d[group], slack[group]
-                bound = (least - dd) if first else (dd - most)
-                visit(in_turn[1], rest[bound - ss <= best[rest, -1] / factor])
+            offer(who, np.array([vantage]))
+            visit(inner, who[d - most - slack <= reach[who] / factor])
+            visit(outer, who[least - d - slack <= reach[who] / factor])
 
+        home(self.root, np.arange(len(queries)))
         visit(self.root, np.arange(len(queries)))
         return best, names
 
