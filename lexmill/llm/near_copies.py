@@ -3,11 +3,12 @@
 Documents whose five-word shingles have a similarity of 0.8 differ in about a sixth of their fingerprint bits, too
 many for blocks of one 64-bit word. Here a fingerprint has four words and the index's upper nodes are many masks of
 ``bits`` bits each, drawn over all four: a pair at a sixth of its bits shares a given mask's bits with probability
-(5/6)^14 = 0.08 and one of 44 masks' with 0.97, a closer pair nearly surely. Below an upper node every member
-is paired with the nearest one of smaller id, if they differ in at most ``most`` of the 256 bits; so a node gives
-fewer pairs than it has members. A pair is a link if its sets of shingles are similar enough, counted in full; groups
-join through components. Each doubling of the corpus asks for one more
-bit and a fifth more masks, if nodes are to stay as small.
+(5/6)^14 = 0.08 and one of 44 masks' with 0.97, a closer pair nearly surely. A member's candidates below an upper
+node are those of smaller id that differ in at most ``most`` of the 256 bits. A pair is a link if its sets of shingles
+are similar enough, counted in full; groups join through components. Rounds take the nearest candidate first, then
+ever more of the next ones, without those in the member's own component by then, until no candidate is left: so every
+candidate is verified or already joined, while a group of true copies gives few more pairs than it has members. Each
+doubling of the corpus asks for one more bit and a fifth more masks, if nodes are to stay as small.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from lexmill.llm.simhash import AT_ONCE, SEED
 WORDS = 4  # of 64 bits
 #: Pairs compared at once.
 PAIRS = 1 << 19
+#: By how much more candidates each round takes than the one before.
+GROWTH = 4
 
 
 def hashes(text: str | None, words: int) -> np.ndarray:
@@ -68,28 +71,51 @@ def keyed(batches: Iterator[pd.DataFrame], places: np.ndarray) -> Iterator[pd.Da
         yield out
 
 
-def nearest_links(batches: Iterator[pd.DataFrame], most: int) -> Iterator[pd.DataFrame]:
-    """(u, v) from each member of a key to the nearest of smaller id, within ``most`` bits; rows come sorted by key, id."""
+def node_candidates(rep: np.ndarray, words: np.ndarray, root: np.ndarray, most: int, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (u, v) of a node's members, sorted by id, and the members that have open candidates beyond them.
 
-    def of(key: np.ndarray, rep: np.ndarray, words: np.ndarray) -> pd.DataFrame:
+    A member's candidates are those of smaller id within ``most`` bits, nearest first; number ``lo`` to ``hi`` of
+    them give pairs, if they are in another component. The third array is empty if nobody has more than ``hi``.
+    """
+    n, more, u, v = len(rep), False, [], []
+    open_ = np.zeros(n, bool)
+    step = max(1, PAIRS // n)
+    for at in range(1, n, step):
+        to = min(at + step, n)
+        apart = np.bitwise_count(words[at:to, None] ^ words[None, :to]).sum(2, dtype=np.int16)
+        apart[np.arange(to)[None, :] >= np.arange(at, to)[:, None]] = 1000
+        cross = (apart <= most) & (root[None, :to] != root[at:to, None])
+        open_[:to] |= cross.any(0)
+        rows = np.flatnonzero(cross.any(1))
+        if not len(rows):
+            continue
+        open_[at + rows] = True
+        apart, cross = apart[rows], cross[rows]
+        order = apart.argmin(1)[:, None] if hi == 1 else apart.argsort(1, kind="stable")
+        one, two = np.nonzero(np.take_along_axis(cross, order[:, lo:hi], 1))
+        more |= bool((cross.sum(1) > 1).any() if hi == 1 else np.take_along_axis(cross, order[:, hi:], 1).any())
+        u.append(rep[at + rows[one]])
+        v.append(rep[order[one, lo + two]])
+    join = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
+    return join(u), join(v), rep[open_] if more else rep[:0]
+
+
+def candidates(batches: Iterator[pd.DataFrame], most: int, lo: int, hi: int) -> Iterator[pd.DataFrame]:
+    """(u, v, key) per pair of ``node_candidates``, and (null, v, key) per open member; rows come sorted by key, id."""
+
+    def of(rows: pd.DataFrame) -> pd.DataFrame:
+        key, rep, root = (rows[c].to_numpy() for c in ("key", "rep", "root"))
+        words = np.ascontiguousarray(rows[[f"f{k}" for k in range(WORDS)]].to_numpy()).view(np.uint64)
         cuts = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
-        u, v = [], []
-        for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            n = hi - lo
-            if n < 2:
-                continue
-            mine = words[lo:hi]
-            step = max(1, PAIRS // n)
-            for at in range(1, n, step):
-                to = min(at + step, n)
-                apart = np.bitwise_count(mine[at:to, None] ^ mine[None, :to]).sum(2, dtype=np.int16)
-                apart[np.arange(to)[None, :] >= np.arange(at, to)[:, None]] = 1000
-                near = apart.argmin(1)
-                good = np.flatnonzero(apart[np.arange(to - at), near] <= most)
-                u.append(rep[lo + at + good])
-                v.append(rep[lo + near[good]])
-        join = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-        return pd.DataFrame({"u": join(u), "v": join(v)}).drop_duplicates()
+        out = [(np.zeros(0, np.int64),) * 3]
+        sizes = np.diff(cuts)
+        for lo_, n in zip(cuts[:-1][sizes > 1].tolist(), sizes[sizes > 1].tolist(), strict=True):
+            mine = slice(lo_, lo_ + n)
+            u, v, rest = node_candidates(rep[mine], words[mine], root[mine], most, lo, hi)
+            out += [(u, v, np.full(len(u), key[lo_])), (np.full(len(rest), -1), rest, np.full(len(rest), key[lo_]))]
+        u, v, k = (np.concatenate(x) for x in zip(*out, strict=True))
+        pair = np.concatenate([np.full(len(x[0]), i % 2 == 1) for i, x in enumerate(out)])
+        return pd.DataFrame({"u": pd.Series(u, dtype="Int64").where(pair), "v": v, "key": k})
 
     held = None
     for batch in batches:
@@ -99,11 +125,10 @@ def nearest_links(batches: Iterator[pd.DataFrame], most: int) -> Iterator[pd.Dat
         key = batch["key"].to_numpy()
         whole = int(np.searchsorted(key, key[-1]))
         if whole:
-            done = batch.iloc[:whole]
-            yield of(key[:whole], done["rep"].to_numpy(), done[[f"f{k}" for k in range(WORDS)]].to_numpy().view(np.uint64))
+            yield of(batch.iloc[:whole])
         held = batch.iloc[whole:]
     if held is not None:
-        yield of(held["key"].to_numpy(), held["rep"].to_numpy(), np.ascontiguousarray(held[[f"f{k}" for k in range(WORDS)]].to_numpy()).view(np.uint64))
+        yield of(held)
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8, most: int = 60, tables: int = 44, bits: int = 14, seed: int = 1) -> DataFrame:
@@ -126,17 +151,35 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     groups = written(made.groupBy(*names).agg(F.min("doc_id").alias("rep")), "wide-groups")
     places = np.array([np.random.default_rng(seed + t).choice(64 * WORDS, bits, replace=False) for t in range(tables)])
     types = ", ".join(f"{n} long" for n in names)
-    dealt = groups.mapInPandas(lambda b: keyed(b, places), f"{types}, rep long, key long").repartition("key").sortWithinPartitions("key", "rep")
-    pairs = written(dealt.mapInPandas(lambda b: nearest_links(b, most), "u long, v long").distinct(), "pairs")
-    released(spark)
-    roots = components(similar(docs, pairs, id_col, text_col, words, least), "u", "v")
+    dealt = groups.mapInPandas(lambda b: keyed(b, places), f"{types}, rep long, key long").withColumn("root", F.col("rep"))
+    lo, hi, sets, tried, nodes, roots = 0, 1, None, None, None, None
+    while True:
+        sorted_ = dealt.repartition("key").sortWithinPartitions("key", "rep")
+        found = written(sorted_.mapInPandas(lambda b, lo=lo, hi=hi: candidates(b, most, lo, hi), "u long, v long, key long"), "candidates")
+        released(spark)
+        pairs = found.filter("u is not null").select("u", "v").distinct()
+        if sets is None:  # later rounds have pairs of these members only
+            sets = shingle_sets(docs, found.select(F.explode(F.array("u", "v")).alias("doc_id")).filter("doc_id is not null").distinct(), id_col, text_col, words)
+        else:
+            pairs = pairs.join(tried, ["u", "v"], "left_anti")
+        pairs = written(pairs, "pairs")
+        tried = pairs if tried is None else tried.union(pairs)
+        links = similar(pairs, sets, least)
+        roots = components(links if roots is None else links.union(roots), "u", "v")
+        open_ = found.filter("u is null").select("key", F.col("v").alias("rep"))
+        if open_.isEmpty():
+            break
+        # whoever is a candidate of nobody in a node is left out once; after that nodes stay whole, so that numbers do
+        nodes = open_ if nodes is None else nodes.join(open_.select("key").distinct(), "key", "left_semi")
+        nodes = written(nodes, "open")
+        dealt = nodes.join(groups, "rep").join(roots, F.col("rep") == F.col("node"), "left").select(*names, "rep", "key", F.coalesce("root", "rep").alias("root"))
+        lo, hi = hi, hi + GROWTH * (hi - lo)
     named = groups.join(roots, groups["rep"] == roots["node"], "left").select(*names, F.coalesce("root", "rep").alias("component_id"))
     return made.join(named, names).filter("component_id <> doc_id").select("doc_id", "component_id")
 
 
-def similar(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, words: int, least: float) -> DataFrame:
-    """The pairs (u, v) whose shingle sets have a Jaccard similarity of ``least`` or more."""
-    wanted = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
+def shingle_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+    """(doc_id, s): the hashes of the sets of shingles of the rows whose ids ``wanted`` has."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
     @F.pandas_udf("binary")
@@ -146,6 +189,11 @@ def similar(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, words
     # rows repeating an id: the pair stands for the least of their sets, as one of them
     sets = written(texts.join(wanted, "doc_id").select("doc_id", shingles("text").alias("s")).groupBy("doc_id").agg(F.min("s").alias("s")), "sets")
     released(docs.sparkSession)
+    return sets
+
+
+def similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The pairs (u, v) whose shingle sets have a Jaccard similarity of ``least`` or more."""
 
     @F.pandas_udf("double")
     def jaccard(one: pd.Series, two: pd.Series) -> pd.Series:

@@ -146,6 +146,64 @@ def test_near_copies_find_edited_texts_alone(spark):
     assert near_copies.keep_one(df).count() == 90 - len(gone)
 
 
+def edited_copies(seed, n=600, length=120):
+    """Copies of one text with 2 to 4 words changed each: most pairs are just below or above 0.8."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    base = [word() for _ in range(length)]
+    out = []
+    for _ in range(n):
+        copy = list(base)
+        for at in rng.sample(range(length), rng.randint(2, 4)):
+            copy[at] = word()
+        out.append(" ".join(copy))
+    return out
+
+
+def alike(a, b, least=0.8):
+    return len(a & b) >= least * len(a | b)
+
+
+def plain_groups(sets, linked):
+    """Smallest member of the component of each set, with links where ``linked`` says."""
+    root = list(range(len(sets)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(sets)):
+        for j in range(i):
+            if (a := top(i)) != (b := top(j)) and linked(i, j):
+                root[max(a, b)] = min(a, b)
+    return [top(i) for i in range(len(sets))]
+
+
+def near_candidates(texts, most=60, tables=44, bits=14):
+    """Whether two texts share a mask's bits and differ in at most ``most``."""
+    fps = np.array([near_copies.wide_fingerprint(t) for t in texts])
+    ones = np.unpackbits(fps.astype(">u8").view(np.uint8), axis=1).astype(np.int16)
+    near = ones @ (1 - ones).T + (1 - ones) @ ones.T <= most
+    share = np.zeros_like(near)
+    for t in range(tables):
+        mine = ones[:, np.random.default_rng(1 + t).choice(256, bits, replace=False)]
+        share |= (mine[:, None] == mine[None]).all(2)
+    return near & share
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_near_copies_verify_every_candidate(spark, seed):
+    texts = edited_copies(seed)
+    sets = [set(zip(*(t.split()[k:] for k in range(5)), strict=False)) for t in texts]
+    may = near_candidates(texts)
+    want = plain_groups(sets, lambda i, j: may[i, j] and alike(sets[i], sets[j]))
+    found = {r.doc_id: r.component_id for r in near_copies.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [found.get(i, i) for i in range(len(texts))] == want
+    whole = plain_groups(sets, lambda i, j: alike(sets[i], sets[j]))
+    assert len(set(want)) <= 1.02 * len(set(whole))  # masks lose few links
+
+
 def test_vantage_points(spark, small):
     vectors = {r.vec_id: np.array(r.embedding, float) for r in spark.read.parquet(f"{small}/embeddings.parquet").collect()}
     found = defaultdict(list)
