@@ -45,8 +45,11 @@ def hashes(text: str | None, words: int) -> np.ndarray:
 
 
 def wide_fingerprint(text: str | None, words: int = 5) -> np.ndarray:
-    """Four words of 64 bits: a bit is set if it is in over half of the shingles' hashes, remixed for each word."""
-    found = hashes(text, words)
+    """Four words of 64 bits: a bit is set if it is in over half of the different shingles' hashes, remixed by word."""
+    return set_fingerprint(np.unique(hashes(text, words)))
+
+
+def set_fingerprint(found: np.ndarray) -> np.ndarray:
     ones = np.zeros((WORDS, 64), np.int64)
     for at in range(0, len(found), AT_ONCE):
         x = found[at : at + AT_ONCE]
@@ -134,24 +137,26 @@ def candidates(batches: Iterator[pd.DataFrame], most: int, lo: int, hi: int) ->
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8, most: int = 60, tables: int = 44, bits: int = 14, seed: int = 1) -> DataFrame:
     """(doc_id, component_id) of the rows that have an id and a link to a smaller one.
 
-    Defined cases: equal fingerprints (also those of texts without words) are one group; texts shorter than a
-    shingle are one shingle; rows with a null id take no part; an empty table gives an empty table.
+    Defined cases: equal sets of shingles (also the empty ones of texts without words) are one group, equal
+    fingerprints of other sets are pairs like any others; texts shorter than a shingle are one shingle; rows with a null id take no part; an empty table gives an empty table.
     """
     spark = docs.sparkSession
     small_batches(spark)
     names = [f"f{k}" for k in range(WORDS)]
+    same = [*names, "whole"]  # and a hash of the set itself
 
-    @F.pandas_udf(", ".join(f"{n} long" for n in names))
+    @F.pandas_udf(", ".join(f"{n} long" for n in same))
     def wide(texts: pd.Series) -> pd.DataFrame:
-        made = np.array([wide_fingerprint(t, words) for t in texts], np.uint64).reshape(-1, WORDS)
-        return pd.DataFrame(made.view(np.int64), columns=names)
+        sets = (np.unique(hashes(t, words)) for t in texts)
+        made = np.array([[*set_fingerprint(x), xxhash.xxh64_intdigest(x.tobytes(), SEED)] for x in sets], np.uint64).reshape(-1, len(same))
+        return pd.DataFrame(made.view(np.int64), columns=same)
 
     made = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), wide(F.col(text_col)).alias("f")).select("doc_id", "f.*")
     made = written(made, "wide")
-    groups = written(made.groupBy(*names).agg(F.min("doc_id").alias("rep")), "wide-groups")
+    groups = written(made.groupBy(*same).agg(F.min("doc_id").alias("rep")), "wide-groups")
     places = np.array([np.random.default_rng(seed + t).choice(64 * WORDS, bits, replace=False) for t in range(tables)])
     types = ", ".join(f"{n} long" for n in names)
-    dealt = groups.mapInPandas(lambda b: keyed(b, places), f"{types}, rep long, key long").withColumn("root", F.col("rep"))
+    dealt = groups.select(*names, "rep").mapInPandas(lambda b: keyed(b, places), f"{types}, rep long, key long").withColumn("root", F.col("rep"))
     lo, hi, sets, tried, nodes, roots = 0, 1, None, None, None, None
     while True:
         sorted_ = dealt.repartition("key").sortWithinPartitions("key", "rep")
@@ -174,8 +179,8 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         nodes = written(nodes, "open")
         dealt = nodes.join(groups, "rep").join(roots, F.col("rep") == F.col("node"), "left").select(*names, "rep", "key", F.coalesce("root", "rep").alias("root"))
         lo, hi = hi, hi + GROWTH * (hi - lo)
-    named = groups.join(roots, groups["rep"] == roots["node"], "left").select(*names, F.coalesce("root", "rep").alias("component_id"))
-    return made.join(named, names).filter("component_id <> doc_id").select("doc_id", "component_id")
+    named = groups.join(roots, groups["rep"] == roots["node"], "left").select(*same, F.coalesce("root", "rep").alias("component_id"))
+    return made.join(named, same).filter("component_id <> doc_id").select("doc_id", "component_id")
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:

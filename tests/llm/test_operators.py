@@ -204,6 +204,16 @@ def test_near_copies_verify_every_candidate(spark, seed):
     assert len(set(want)) <= 1.02 * len(set(whole))  # masks lose few links
 
 
+def test_repeats_make_no_near_copies_and_hide_none(spark):
+    rng = random.Random(7)
+    some = lambda n: " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(n))
+    filler, base = "filler " * 400, some(150)
+    often = base + (" " + " ".join(base.split()[:5])) * 300
+    texts = [filler + some(100), filler + some(100), base, often]
+    found = near_copies.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert [(r.doc_id, r.component_id) for r in found] == [(3, 2)]
+
+
 def test_vantage_points(spark, small):
     vectors = {r.vec_id: np.array(r.embedding, float) for r in spark.read.parquet(f"{small}/embeddings.parquet").collect()}
     found = defaultdict(list)
