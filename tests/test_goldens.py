@@ -156,3 +156,15 @@ def test_highlight(spark):
 
 def test_tokens_drop_trailing_blanks(spark):
     assert spark.createDataFrame([("a b  ",)], "x string").select(tokens(F.col("x")).alias("n")).first().n == 2
+
+
+def test_edit_queries_take_whole_texts(spark, small):
+    from lexmill.plans import catalog
+    from lexmill.plans.fixtures import relation
+
+    rows = relation(spark, small, "pairs").collect()
+    assert any(len(r.src.split(" ")) > 12 and len(r.trg.split(" ")) > 12 for r in rows)
+    want = {(r.conv_id, r.turn): plain_edit(r.src.split(" "), r.trg.split(" ")) for r in rows}
+    assert {(r.conv_id, r.turn): r.edit for r in catalog.queries()["edit_score"](spark, small).collect()} == want
+    (mean,) = catalog.queries()["word_error_rate"](spark, small).collect()
+    assert mean.score == pytest.approx(sum(want.values()) / len(want), abs=1e-9)
