@@ -150,9 +150,9 @@ def counts_parse(spark, d):
 
 @query("select distinct least(a.lang, b.lang) as l1, greatest(a.lang, b.lang) as l2 from (select distinct lang from documents) a, (select distinct lang from documents) b where a.lang is not null and b.lang is not null")
 def language_pairs(spark, d):
-    langs = [r[0] for r in relation(spark, d, "documents").select("lang").distinct().limit(1000).collect() if r[0] is not None]
-    rows = sorted({workflow.language_pair(a, b) for a in langs for b in langs})
-    return spark.createDataFrame(rows, "l1 string, l2 string")
+    langs = relation(spark, d, "documents").select("lang").filter("lang is not null").distinct()
+    both = langs.toDF("a").crossJoin(langs.toDF("b")).filter("a <= b")
+    return both.select(F.col("a").alias("l1"), F.col("b").alias("l2"))
 
 
 @query("select line_no, case when value like '%\"EUROPE\"' then 'europe' else value end as value from ldp_src", "ldp_src")

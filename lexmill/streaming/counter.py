@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,9 +15,23 @@ def running_counts(stream: DataFrame, *keys: str, name: str = "n") -> DataFrame:
 
 
 def snapshot(counts: DataFrame) -> DataFrame:
-    """Runs a stream over what its source holds now and returns the table of its counts."""
+    """Runs a stream over what its source holds now and returns the table of its counts.
+
+    Each batch replaces the table of the one before in the folder of ``spark.checkpoint.dir``, which the session's
+    executors share; the driver holds none of it.
+    """
     spark: SparkSession = counts.sparkSession
-    name = f"counts_{uuid.uuid4().hex}"
-    query = counts.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp(prefix='lexmill-')}"
+    path, schema, last = f"{shared.rstrip('/')}/lexmill/counts-{uuid.uuid4().hex}", counts.schema, []
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/table-{number}")
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for old in [x for x in last if x != number]:
+            gone = jvm.org.apache.hadoop.fs.Path(f"{path}/table-{old}")
+            gone.getFileSystem(conf).delete(gone, True)
+        last[:] = [number]
+
+    query = counts.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(schema).parquet(f"{path}/table-{last[0]}") if last else spark.createDataFrame([], schema)

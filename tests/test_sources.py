@@ -4,6 +4,7 @@ import gzip
 
 import pytest
 
+from lexmill.plans import catalog
 from lexmill.sources import phrase_table
 from lexmill.sources import text as source
 from lexmill.streaming import counter
@@ -56,3 +57,19 @@ def test_running_counts(spark, tmp_path):
     spark.createDataFrame([(i % 3,) for i in range(10)], "key int").write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("key int").parquet(str(tmp_path / "in"))
     assert {r.key: r.n for r in counter.snapshot(counter.running_counts(stream, "key")).collect()} == {0: 4, 1: 3, 2: 3}
+
+
+def test_running_counts_leave_the_driver(spark, tmp_path):
+    for part in range(3):
+        spark.createDataFrame([(i % 3,) for i in range(10)], "key int").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("key int").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    found = counter.snapshot(counter.running_counts(stream, "key"))
+    assert found.inputFiles()  # a written table, no sink in memory
+    assert {r.key: r.n for r in found.collect()} == {0: 12, 1: 9, 2: 9}
+
+
+def test_language_pairs_of_many_languages(spark, tmp_path):
+    rows = [(f"l{i:04}",) for i in range(1100)] + [(None,)]
+    spark.createDataFrame(rows, "lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = catalog.queries()["language_pairs"](spark, str(tmp_path))
+    assert found.count() == 1100 * 1101 // 2 and found.filter("l1 > l2").isEmpty()
