@@ -7,7 +7,9 @@ many for blocks of one 64-bit word. Here a fingerprint has four words and the in
 node are those of smaller id that differ in at most ``most`` of the 256 bits. A pair is a link if its sets of shingles
 are similar enough, counted in full; groups join through components. Rounds take the nearest candidate first, then
 ever more of the next ones, without those in the member's own component by then, until no candidate is left: so every
-candidate is verified or already joined, while a group of true copies gives few more pairs than it has members. Each
+candidate is verified or already joined, while a group of true copies gives few more pairs than it has members. A node of
+more than ``hot`` members is dealt in parts at random for each mask, then by pairs of parts, without those whose
+members are all of one component by then; so no pair is lost and no task gets a large node whole. Each
 doubling of the corpus asks for one more bit and a fifth more masks, if nodes are to stay as small.
 """
 
@@ -62,6 +64,12 @@ def set_fingerprint(found: np.ndarray) -> np.ndarray:
     return np.packbits(2 * ones > max(len(found), 1), axis=1).view(">u8").ravel().astype(np.uint64)
 
 
+def parities(found: np.ndarray) -> np.ndarray:
+    """Four words of 64 bits: whether each of 256 buckets holds an odd number of a set's hashes."""
+    odd = np.bincount((found & np.uint64(255)).astype(np.int64), minlength=64 * WORDS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(">u8").astype(np.uint64)
+
+
 def keyed(batches: Iterator[pd.DataFrame], places: np.ndarray) -> Iterator[pd.DataFrame]:
     """A row per fingerprint and mask, with the bits below the mask as a key."""
     tables, bits = places.shape
@@ -74,11 +82,12 @@ def keyed(batches: Iterator[pd.DataFrame], places: np.ndarray) -> Iterator[pd.Da
         yield out
 
 
-def node_candidates(rep: np.ndarray, words: np.ndarray, root: np.ndarray, most: int, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def node_candidates(rep: np.ndarray, words: np.ndarray, root: np.ndarray, side: np.ndarray, marks: np.ndarray | None, sizes: np.ndarray | None, least: float, most: int, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs (u, v) of a node's members, sorted by id, and the members that have open candidates beyond them.
 
     A member's candidates are those of smaller id within ``most`` bits, nearest first; number ``lo`` to ``hi`` of
-    them give pairs, if they are in another component. The third array is empty if nobody has more than ``hi``.
+    them give pairs, if they are in another component, and in the node's other side where it has two (0 and 1, else
+    -1), and if ``marks`` do not tell already that their sets are less similar. The third array is empty if nobody has more than ``hi``.
     """
     n, more, u, v = len(rep), False, [], []
     open_ = np.zeros(n, bool)
@@ -87,7 +96,11 @@ def node_candidates(rep: np.ndarray, words: np.ndarray, root: np.ndarray, most:
         to = min(at + step, n)
         apart = np.bitwise_count(words[at:to, None] ^ words[None, :to]).sum(2, dtype=np.int16)
         apart[np.arange(to)[None, :] >= np.arange(at, to)[:, None]] = 1000
-        cross = (apart <= most) & (root[None, :to] != root[at:to, None])
+        cross = (apart <= most) & (root[None, :to] != root[at:to, None]) & ((side[None, :to] != side[at:to, None]) | (side[at:to, None] < 0))
+        if marks is not None:
+            i, j = np.nonzero(cross)
+            # sets differ in as many elements at least as the parities of their buckets' counts do
+            cross[i, j] = np.bitwise_count(marks[at + i] ^ marks[j]).sum(1, dtype=np.int16) <= (sizes[at + i] + sizes[j]) * (1 - least) / (1 + least) + 1e-6
         open_[:to] |= cross.any(0)
         rows = np.flatnonzero(cross.any(1))
         if not len(rows):
@@ -103,38 +116,72 @@ def node_candidates(rep: np.ndarray, words: np.ndarray, root: np.ndarray, most:
     return join(u), join(v), rep[open_] if more else rep[:0]
 
 
-def candidates(batches: Iterator[pd.DataFrame], most: int, lo: int, hi: int) -> Iterator[pd.DataFrame]:
+def candidates(batches: Iterator[pd.DataFrame], least: float, most: int, lo: int, hi: int) -> Iterator[pd.DataFrame]:
     """(u, v, key) per pair of ``node_candidates``, and (null, v, key) per open member; rows come sorted by key, id."""
 
     def of(rows: pd.DataFrame) -> pd.DataFrame:
-        key, rep, root = (rows[c].to_numpy() for c in ("key", "rep", "root"))
-        words = np.ascontiguousarray(rows[[f"f{k}" for k in range(WORDS)]].to_numpy()).view(np.uint64)
+        key, rep, root, side = (rows[c].to_numpy() for c in ("key", "rep", "root", "side"))
+        words, marks = (np.ascontiguousarray(rows[[f"{x}{k}" for k in range(WORDS)]].to_numpy()).view(np.uint64) if f"{x}0" in rows else None for x in "fp")
+        size = None if marks is None else rows["size"].to_numpy()
         cuts = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
         out = [(np.zeros(0, np.int64),) * 3]
         sizes = np.diff(cuts)
         for lo_, n in zip(cuts[:-1][sizes > 1].tolist(), sizes[sizes > 1].tolist(), strict=True):
             mine = slice(lo_, lo_ + n)
-            u, v, rest = node_candidates(rep[mine], words[mine], root[mine], most, lo, hi)
+            u, v, rest = node_candidates(rep[mine], words[mine], root[mine], side[mine], *(None if x is None else x[mine] for x in (marks, size)), least, most, lo, hi)
             out += [(u, v, np.full(len(u), key[lo_])), (np.full(len(rest), -1), rest, np.full(len(rest), key[lo_]))]
         u, v, k = (np.concatenate(x) for x in zip(*out, strict=True))
         pair = np.concatenate([np.full(len(x[0]), i % 2 == 1) for i, x in enumerate(out)])
         return pd.DataFrame({"u": pd.Series(u, dtype="Int64").where(pair), "v": v, "key": k})
 
-    held = None
+    held: list[pd.DataFrame] = []  # of one node, which has few members
     for batch in batches:
         if not len(batch):
             continue
-        batch = batch if held is None else pd.concat([held, batch], ignore_index=True)
         key = batch["key"].to_numpy()
         whole = int(np.searchsorted(key, key[-1]))
-        if whole:
+        if held and (whole or key[0] != held[-1]["key"].iloc[-1]):
+            yield of(pd.concat([*held, batch.iloc[:whole]], ignore_index=True))
+            held = []
+        elif whole:
             yield of(batch.iloc[:whole])
-        held = batch.iloc[whole:]
-    if held is not None:
-        yield of(held)
+        held.append(batch.iloc[whole:])
+    if held:
+        yield of(pd.concat(held, ignore_index=True))
+
+
+def parts(keys: DataFrame, hot: int) -> DataFrame:
+    """(key, n_parts) of the keys that over ``hot`` rows have: so many parts keep to about half of that each."""
+    return keys.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > hot).select("key", F.ceil(2 * F.col("n") / hot).cast("int").alias("n_parts"))
+
 
+def split(members: DataFrame, hot: int) -> DataFrame:
+    """(rep, key, side) of smaller nodes that have every pair of different components of the large ones' (key, rep, root).
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8, most: int = 60, tables: int = 44, bits: int = 14, seed: int = 1) -> DataFrame:
+    A component's members are in parts of their own if it is large, or else in mixed ones; each two parts of a node
+    are a smaller node with two sides, and each mixed part is one with itself. Two parts of the same component are
+    left out, so the work grows with the members outside of the largest component, not with the square of that.
+    """
+    counted = members.groupBy("key", "root").agg(F.count("*").alias("n"))
+    several = counted.groupBy("key").agg(F.count("*").alias("roots"), F.sum(F.when(F.col("n") <= hot // 4, F.col("n")).otherwise(0)).alias("rest")).filter("roots > 1").select("key", "rest")
+    large = counted.filter(F.col("n") > hot // 4).select("key", "root", F.ceil(2 * F.col("n") / hot).alias("own"))
+    of = members.join(several, "key").join(large, ["key", "root"], "left")
+    of = of.withColumn("one", F.when(F.col("own").isNotNull(), F.col("root"))).withColumn("part", F.pmod(F.xxhash64("rep", "key"), F.coalesce("own", F.greatest(F.ceil(2 * F.col("rest") / hot), F.lit(1)))))
+    of = written(of.select("key", "rep", "one", "part"), "parts")
+    chosen = of.select("key", "one", "part").distinct()
+    other = chosen.toDF("key", "one2", "part2")
+    first = F.struct(F.coalesce("one", F.lit(-1)).alias("o"), F.col("one").isNull().alias("m"), F.col("part").alias("p"))
+    second = F.struct(F.coalesce("one2", F.lit(-1)).alias("o"), F.col("one2").isNull().alias("m"), F.col("part2").alias("p"))
+    both = chosen.join(other, "key").filter((first <= second) & (F.col("one").isNull() | F.col("one2").isNull() | (F.col("one") != F.col("one2"))))
+    self_ = first == second
+    node = F.xxhash64("key", first, second)
+    ends = F.explode(F.when(self_, F.array(F.struct("one", "part", F.lit(-1).alias("side")))).otherwise(F.array(F.struct("one", "part", F.lit(0).alias("side")), F.struct(F.col("one2").alias("one"), F.col("part2").alias("part"), F.lit(1).alias("side")))))
+    dealt = both.select("key", node.alias("node"), ends.alias("e")).select("key", "node", "e.*").toDF("key_", "node", "one_", "part_", "side")
+    met = (of["key"] == dealt["key_"]) & of["one"].eqNullSafe(dealt["one_"]) & (of["part"] == dealt["part_"])
+    return of.join(dealt, met).select("rep", F.col("node").alias("key"), "side")
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8, most: int = 60, tables: int = 44, bits: int = 14, seed: int = 1, hot: int = 4096) -> DataFrame:
     """(doc_id, component_id) of the rows that have an id and a link to a smaller one.
 
     Defined cases: equal sets of shingles (also the empty ones of texts without words) are one group, equal
@@ -144,27 +191,37 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     small_batches(spark)
     names = [f"f{k}" for k in range(WORDS)]
     same = [*names, "whole"]  # and a hash of the set itself
+    of_set = [f"p{k}" for k in range(WORDS)] + ["size"]
 
-    @F.pandas_udf(", ".join(f"{n} long" for n in same))
+    @F.pandas_udf(", ".join(f"{n} long" for n in same + of_set))
     def wide(texts: pd.Series) -> pd.DataFrame:
         sets = (np.unique(hashes(t, words)) for t in texts)
-        made = np.array([[*set_fingerprint(x), xxhash.xxh64_intdigest(x.tobytes(), SEED)] for x in sets], np.uint64).reshape(-1, len(same))
-        return pd.DataFrame(made.view(np.int64), columns=same)
+        made = np.array([[*set_fingerprint(x), xxhash.xxh64_intdigest(x.tobytes(), SEED), *parities(x), len(x)] for x in sets], np.uint64).reshape(-1, len(same + of_set))
+        return pd.DataFrame(made.view(np.int64), columns=same + of_set)
 
     made = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), wide(F.col(text_col)).alias("f")).select("doc_id", "f.*")
     made = written(made, "wide")
-    groups = written(made.groupBy(*same).agg(F.min("doc_id").alias("rep")), "wide-groups")
+    groups = written(made.groupBy(*same).agg(F.min("doc_id").alias("rep"), *[F.min(n).alias(n) for n in of_set]), "wide-groups")
     places = np.array([np.random.default_rng(seed + t).choice(64 * WORDS, bits, replace=False) for t in range(tables)])
     types = ", ".join(f"{n} long" for n in names)
-    dealt = groups.select(*names, "rep").mapInPandas(lambda b: keyed(b, places), f"{types}, rep long, key long").withColumn("root", F.col("rep"))
-    lo, hi, sets, tried, nodes, roots = 0, 1, None, None, None, None
+    dealt = groups.select(*names, "rep").mapInPandas(lambda b: keyed(b, places), f"{types}, rep long, key long")
+    large = written(parts(dealt.select("key"), hot), "large")
+    split_ = not large.isEmpty()
+    if split_:  # a large node's parts first, at random for each mask; what is between them follows with the components
+        dealt = dealt.join(F.broadcast(large), "key", "left").withColumn("part", F.when(F.col("n_parts").isNotNull(), F.pmod(F.xxhash64("rep", "key"), F.col("n_parts"))))
+        whole = written(dealt.filter("part is not null").select("key", "rep"), "whole")
+        dealt = dealt.withColumn("key", F.when(F.col("part").isNull(), F.col("key")).otherwise(-1 - (F.shiftleft(F.col("key"), 24) + F.col("part")))).drop("n_parts", "part")
+    dealt = dealt.withColumn("root", F.col("rep")).withColumn("side", F.lit(-1))
+    lo, hi, grow, sets, tried, nodes, roots = 0, 1, GROWTH, None, None, None, None
     while True:
         sorted_ = dealt.repartition("key").sortWithinPartitions("key", "rep")
-        found = written(sorted_.mapInPandas(lambda b, lo=lo, hi=hi: candidates(b, most, lo, hi), "u long, v long, key long"), "candidates")
+        found = written(sorted_.mapInPandas(lambda b, lo=lo, hi=hi: candidates(b, least, most, lo, hi), "u long, v long, key long"), "candidates")
         released(spark)
         pairs = found.filter("u is not null").select("u", "v").distinct()
         if sets is None:  # later rounds have pairs of these members only
-            sets = shingle_sets(docs, found.select(F.explode(F.array("u", "v")).alias("doc_id")).filter("doc_id is not null").distinct(), id_col, text_col, words)
+            wanted = found.select(F.explode(F.array("u", "v")).alias("doc_id")).filter("doc_id is not null")
+            wanted = wanted.union(whole.select("rep")) if split_ else wanted
+            sets = shingle_sets(docs, wanted.distinct(), id_col, text_col, words)
         else:
             pairs = pairs.join(tried, ["u", "v"], "left_anti")
         pairs = written(pairs, "pairs")
@@ -172,13 +229,19 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         links = similar(pairs, sets, least)
         roots = components(links if roots is None else links.union(roots), "u", "v")
         open_ = found.filter("u is null").select("key", F.col("v").alias("rep"))
-        if open_.isEmpty():
-            break
-        # whoever is a candidate of nobody in a node is left out once; after that nodes stay whole, so that numbers do
-        nodes = open_ if nodes is None else nodes.join(open_.select("key").distinct(), "key", "left_semi")
+        if nodes is not None:
+            nodes = nodes.join(open_.select("key").distinct(), "key", "left_semi")
+        else:
+            # whoever is a candidate of nobody in a node is left out once; after that nodes stay whole, so that numbers do
+            nodes = open_.filter("key >= 0").select("rep", "key", F.lit(-1).alias("side"))
+            if split_:
+                rooted = whole.join(roots, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("root", "rep").alias("root"))
+                nodes, hi = nodes.union(split(rooted, hot)), 0
         nodes = written(nodes, "open")
-        dealt = nodes.join(groups, "rep").join(roots, F.col("rep") == F.col("node"), "left").select(*names, "rep", "key", F.coalesce("root", "rep").alias("root"))
-        lo, hi = hi, hi + GROWTH * (hi - lo)
+        if nodes.isEmpty():
+            break
+        lo, hi, grow = hi, hi + grow, GROWTH * grow
+        dealt = nodes.join(groups, "rep").join(roots, F.col("rep") == F.col("node"), "left").select(*names, *of_set, "rep", "key", "side", F.coalesce("root", "rep").alias("root"))
     named = groups.join(roots, groups["rep"] == roots["node"], "left").select(*same, F.coalesce("root", "rep").alias("component_id"))
     return made.join(named, same).filter("component_id <> doc_id").select("doc_id", "component_id")
 

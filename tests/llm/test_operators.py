@@ -204,6 +204,29 @@ def test_near_copies_verify_every_candidate(spark, seed):
     assert len(set(want)) <= 1.02 * len(set(whole))  # masks lose few links
 
 
+def test_large_nodes_are_split_without_loss(spark, monkeypatch):
+    texts = edited_copies(3)
+    sets = [set(zip(*(t.split()[k:] for k in range(5)), strict=False)) for t in texts]
+    may = near_candidates(texts)
+    want = plain_groups(sets, lambda i, j: may[i, j] and alike(sets[i], sets[j]))
+    seen, node = spark.sparkContext.accumulator(0), near_copies.candidates
+
+    def counting(batches, *how):
+        def rows():
+            for batch in batches:
+                if len(batch):
+                    seen.add(int(batch.groupby("key").size().max() > 100))
+                yield batch
+
+        return node(rows(), *how)
+
+    monkeypatch.setattr(near_copies, "candidates", counting)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r.component_id for r in near_copies.near_copies(df, hot=60).collect()}
+    assert [found.get(i, i) for i in range(len(texts))] == want
+    assert seen.value == 0  # no task has a large node whole
+
+
 def test_repeats_make_no_near_copies_and_hide_none(spark):
     rng = random.Random(7)
     some = lambda n: " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(n))
