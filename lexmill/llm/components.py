@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import written
+from lexmill.llm.common import removed_tables, written
 
 
 def components(edges: DataFrame, left: str, right: str, rounds: int = 60) -> DataFrame:
@@ -25,7 +25,8 @@ def components(edges: DataFrame, left: str, right: str, rounds: int = 60) -> Dat
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         lowest = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(lowest, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(lowest.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
-        now = written(small, "stars")
+        before, now = now, written(small, "stars")
+        removed_tables(before)
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 

@@ -1,9 +1,10 @@
 """Line dedup with DataFrame functions only.
 
-Lines are exploded with their position and reduced to a 128-bit hash of their normalised key; distinct documents
-are counted per hash (map-side combined, so that a line in a third of all documents costs one row a task); hot
-hashes are joined back to (document, position) pairs, and each text is reassembled from the positions that stay.
-Only hashes and positions are shuffled for the count; the texts move once, in the join by document.
+Lines are exploded with their position and reduced to a 128-bit hash of their normalised key, once, into a table of
+hashes and positions. Distinct documents are counted per hash (map-side combined, so that a line in a third of all
+documents costs one row a document); hot hashes are joined back to (document, position) pairs, a small table of them
+by broadcast, a large one by shuffle with the commonest lines split over many tasks; and each text is reassembled
+from the positions that stay. The texts move once, in the join by document.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import ascii_lower, with_text
+from lexmill.llm.common import ascii_lower, salted_join, with_text, written
 
 #: The characters that a key loses at both ends (fixed values of the contract: 0x20 and 0x09 to 0x0D).
 BLANKS = " \t\n\x0b\x0c\r"
@@ -41,10 +42,12 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .filter(F.length("_key") >= min_chars)
         .select("_id", "_mark", "_pos", F.xxhash64("_key").alias("_h1"), F.xxhash64(F.lit(1), F.col("_key")).alias("_h2"))
     )
-    hot = lines.groupBy("_h1", "_h2").agg(F.count_distinct("_id").alias("_n"), F.max("_id").alias("_keep")).filter(F.col("_n") >= min_docs).drop("_n")
-    dropped = (
-        lines.join(hot, ["_h1", "_h2"]).filter(F.col("_id") != F.col("_keep")).groupBy("_id", "_mark").agg(F.collect_set("_pos").alias("_gone"))
-    )
+    lines = written(lines, "lines")
+    a_document = lines.groupBy("_h1", "_h2", "_id").agg(F.count("*").alias("_rows"))
+    hot = a_document.groupBy("_h1", "_h2").agg(F.count("*").alias("_n"), F.sum("_rows").alias("_rows"), F.max("_id").alias("_keep"))
+    hot = written(hot.filter(F.col("_n") >= min_docs).drop("_n"), "hot-lines")
+    held = salted_join(lines, hot, ["_h1", "_h2"], "_rows", ["_id", "_pos"])
+    dropped = held.filter(F.col("_id") != F.col("_keep")).groupBy("_id", "_mark").agg(F.collect_set("_pos").alias("_gone"))
     joined = own.withColumn("_lexmill_mark", mark).join(dropped.toDF("_lexmill_of", "_lexmill_m", "_lexmill_gone"), (F.col(id_col) == F.col("_lexmill_of")) & (F.col("_lexmill_mark") == F.col("_lexmill_m")), "left")
     parts = F.split(text_col, "\n", -1)
     stays = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_lexmill_gone"))

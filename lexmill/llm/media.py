@@ -1,10 +1,11 @@
 """Media columns: content-addressed payloads in tar shards.
 
 Payloads are stored as 8-bit grey PNG images (64 samples a row), lossless and self-describing, under the digest of
-their stored bytes, once a shard. Every task writes one tar shard per portion of its rows into the shared folder,
-under a name of its own attempt, and gives rows that carry shard, digest, offset and length; the written row table
-names the shards that count, so a task that ran twice leaves a shard that nothing points to. Metadata columns come
-from range reads of the header alone; features from range reads of the payload.
+their stored bytes, once a corpus: of equal texts the row with the smallest id is the one that stores. Every task
+writes one tar shard per portion of its rows into the shared folder, under a name of its own attempt; the written
+table of addresses names the shards that count, so a task that ran twice leaves a shard that nothing points to. Rows
+carry shard, digest, offset and length; they are dealt to tasks by shard, read first the headers alone, in small
+range reads that fill the metadata columns, and then, for features, the payloads.
 """
 
 from __future__ import annotations
@@ -23,13 +24,16 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import new_path, small_batches, written
+from lexmill.llm.common import new_path, released, salted_join, slices, written
 
 WIDTH = 64
 #: Fixed values of the PNG format: its signature and the bytes of signature and header chunk.
 SIGNATURE, HEADER = b"\x89PNG\r\n\x1a\n", 33
-#: Payload bytes after which a shard is closed, and features per image.
+#: Payload bytes after which a shard is closed.
 SHARD = 64 << 20
+ADDRESS = "shard string, digest binary, offset long, length long"
+#: Contents of several rows, of 40 bytes each, that may be broadcast.
+FEW = 200_000
 
 
 def payload(text: str | None) -> tuple[bytes, int]:
@@ -88,69 +92,93 @@ def opened(folder: str) -> tuple[fs.FileSystem, str]:
 def stored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, shard, digest, offset, length) per row, the payloads in tar shards beside the table.
 
-    Defined cases: a null or empty text is one row of zeros; repeated rows and equal texts share an entry in their
-    shard; a null id stays null; an empty table makes no shard; other columns play no part.
+    Defined cases: a null or empty text is one row of zeros; repeated rows and equal texts share an entry (rows that
+    repeat the smallest id of a text may store it again, and then all point to one of these); a null id stays null;
+    an empty table makes no shard; other columns play no part.
     """
     spark = docs.sparkSession
     folder = new_path(spark, "media")
-    small_batches(spark)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.unhex(F.sha2(text, 256)).alias("content"))
+    seen = written(rows.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "content"), "media-contents")
+    least = F.coalesce(F.min("doc_id"), F.lit(-(1 << 63)))
+    several = written(seen.groupBy("content").agg(F.count("*").alias("rows"), least.alias("keep")).filter("rows > 1"), "media-several")
+    # the texts meet only the contents that several rows have, which are broadcast if they are FEW, and else shuffled
+    keepers = several.select("content", "keep")
+    keepers = F.broadcast(keepers) if several.count() <= FEW else keepers
+    mine = rows.join(keepers, "content", "left").filter(F.col("keep").isNull() | (F.coalesce("doc_id", F.lit(-(1 << 63))) == F.col("keep")))
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         where, top = opened(folder)
-        held: dict[bytes, tuple[str, int, int]] = {}
-        out, sink, tar, size, shard = [], None, None, 0, ""
-        for batch in batches:
-            for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
-                data, n = payload(text)
-                key = hashlib.sha256(data).digest()
-                if key not in held:
-                    if sink is None:
-                        where.create_dir(top, recursive=True)
-                        shard = f"{uuid.uuid4().hex}.tar"
-                        sink = where.open_output_stream(f"{top}/{shard}")
-                        tar = tarfile.open(fileobj=sink, mode="w|", format=tarfile.USTAR_FORMAT)
-                    image = png(data)
-                    digest = hashlib.sha256(image).hexdigest()
-                    entry = tarfile.TarInfo(f"{digest[:2]}/{digest}.png")
-                    entry.size = len(image)
-                    held[key] = digest, tar.offset + tarfile.BLOCKSIZE, len(image)
-                    tar.addfile(entry, io.BytesIO(image))
-                    size += len(data)
-                digest, offset, length = held[key]
-                out.append((None if pd.isna(doc) else int(doc), n, shard, digest, offset, length))
+        held: set[bytes] = set()
+        sink, tar, size, shard = None, None, 0, ""
+        for batch in slices(batches):
+            out = []
+            for content, text in zip(batch["content"], batch["text"], strict=True):
+                if content in held:
+                    continue
+                held.add(content)
+                if sink is None:
+                    where.create_dir(top, recursive=True)
+                    shard = f"{uuid.uuid4().hex}.tar"
+                    sink = where.open_output_stream(f"{top}/{shard}")
+                    tar = tarfile.open(fileobj=sink, mode="w|", format=tarfile.USTAR_FORMAT)
+                data, _ = payload(text)
+                image = png(data)
+                digest = hashlib.sha256(image)
+                entry = tarfile.TarInfo(f"{digest.hexdigest()[:2]}/{digest.hexdigest()}.png")
+                entry.size = len(image)
+                out.append((content, f"{folder}/{shard}", digest.digest(), tar.offset + tarfile.BLOCKSIZE, len(image)))
+                tar.addfile(entry, io.BytesIO(image))
+                size += len(data)
             if size >= SHARD:
                 tar.close()
                 sink.close()
-                held, sink, size = {}, None, 0
-            yield _frame(out, ["doc_id", "n_bytes", "shard", "digest", "offset", "length"])
-            out = []
+                held, sink, size = set(), None, 0
+            yield pd.DataFrame(out, columns=["content", "shard", "digest", "offset", "length"])
         if sink is not None:
             tar.close()
             sink.close()
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    made = rows.mapInPandas(write, "doc_id long, n_bytes long, shard string, digest string, offset long, length long")
-    return written(made.withColumn("shard", F.concat(F.lit(f"{folder}/"), "shard")), "media-rows")
+    made = written(mine.select("content", "text").mapInPandas(write, f"content binary, {ADDRESS}"), "media-entries")
+    # each content once, with the number of its rows
+    address = made.groupBy("content").agg(F.min(F.struct("shard", "digest", "offset", "length")).alias("at"))
+    address = written(address.join(several.select("content", "rows"), "content", "left").select("content", "at.*", F.coalesce("rows", F.lit(1)).alias("rows")), "media-addresses")
+    found = salted_join(seen, address, ["content"], "rows", ["doc_id", "n_bytes"])
+    rows = written(found.select("doc_id", "n_bytes", "shard", F.lower(F.hex("digest")).alias("digest"), "offset", "length"), "media-rows")
+    released(spark, seen, several, made, address)
+    return rows
 
 
 def _frame(rows: list[tuple], names: list[str]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
 
 
+def dealt(rows: DataFrame, portions: int = 16) -> DataFrame:
+    """Rows of ``stored`` dealt by shard, each in so many runs of its entries, and in their order there."""
+    run = F.expr(f"offset div {max(1, SHARD // portions)}")
+    return rows.repartition("shard", run).sortWithinPartitions("shard", "offset")
+
+
 def ranges(batches: Iterator[pd.DataFrame], most: int | None = None) -> Iterator[tuple[pd.DataFrame, list[bytes]]]:
-    """Batches with the bytes that their rows point to, or the first ``most`` of each; shards stay open in turn."""
-    name, file = None, None
-    for batch in batches:
-        found, last = [], (None, b"")
-        for shard, offset, length in zip(batch["shard"], batch["offset"], batch["length"], strict=True):
-            if shard != name:
-                where, path = opened(shard)
-                name, file = shard, where.open_input_file(path)
-                last = (None, b"")
-            if last[0] != offset:
-                last = offset, file.read_at(min(length, most or length), offset)
-            found.append(last[1])
-        yield batch, found
+    """Batches with the bytes that their rows point to, or the first ``most`` of each; one shard is open at a time."""
+    name, file, last = None, None, (None, b"")
+    try:
+        for batch in slices(batches):
+            found = []
+            for shard, offset, length in zip(batch["shard"], batch["offset"], batch["length"], strict=True):
+                if shard != name:
+                    if file is not None:
+                        file.close()
+                    where, path = opened(shard)
+                    name, file, last = shard, where.open_input_file(path), (None, b"")
+                if last[0] != offset:
+                    last = offset, file.read_at(min(length, most or length), offset)
+                found.append(last[1])
+            yield batch, found
+    finally:
+        if file is not None:
+            file.close()
 
 
 def metadata(rows: DataFrame) -> DataFrame:
@@ -158,25 +186,27 @@ def metadata(rows: DataFrame) -> DataFrame:
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch, found in ranges(batches, HEADER):
-            yield batch.assign(**{n: [header(x)[k] for x in found] for k, n in enumerate(("width", "height", "bits"))})
+            known = [header(x) for x in found]
+            yield batch.assign(**{n: [x[k] for x in known] for k, n in enumerate(("width", "height", "bits"))})
 
     return rows.mapInPandas(read, f"{', '.join(f'{n} {t}' for n, t in rows.dtypes)}, width long, height long, bits long")
 
 
 def features(rows: DataFrame) -> DataFrame:
-    """A row per row of ``stored``: what is read back from its shard, and features of it; headers are read first."""
+    """A row per row of ``metadata``: what is read back from its shard, and features of it."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch, found in ranges(batches):
-            out, known = [], {}
-            for doc, n, digest, image in zip(batch["doc_id"], batch["n_bytes"], batch["digest"], found, strict=True):
-                if digest not in known:
+            out, known = [], (None, ())
+            for doc, n, digest, width, height, bits, image in zip(*(batch[c] for c in ("doc_id", "n_bytes", "digest", "width", "height", "bits")), found, strict=True):
+                if digest != known[0]:
                     if hashlib.sha256(image).hexdigest() != digest:
                         raise ValueError(f"stored bytes do not match their digest {digest}")
                     data = samples(image)
-                    known[digest] = len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-WIDTH:]), len(image), digest, feature(data)
-                out.append((None if pd.isna(doc) else int(doc), n, *known[digest]))
-            yield _frame(out, ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+                    if 8 * len(data) != width * height * bits:
+                        raise ValueError(f"stored samples do not match the header of {digest}")
+                    known = digest, (len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-WIDTH:]), len(image), digest, feature(data))
+                out.append((None if pd.isna(doc) else int(doc), n, *known[1], width, height, bits))
+            yield _frame(out, ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "bits"])
 
-    small_batches(rows.sparkSession)
-    return rows.mapInPandas(read, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return rows.mapInPandas(read, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, width long, height long, bits long")

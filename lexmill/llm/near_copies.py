@@ -3,8 +3,10 @@
 Documents whose five-word shingles have a similarity of 0.8 differ in about a sixth of their fingerprint bits, too
 many for blocks of one 64-bit word. Here a fingerprint has four words and the index's upper nodes are many masks of
 ``bits`` bits each, drawn over all four: a pair at a sixth of its bits shares a given mask's bits with probability
-(5/6)^14 = 0.08 and one of 44 masks' with 0.97, a closer pair nearly surely. A member's candidates below an upper
-node are those of smaller id that differ in at most ``most`` of the 256 bits. A pair is a link if its sets of shingles
+(5/6)^14 = 0.08 and one of 44 masks' with 0.97, a closer pair nearly surely. Below an upper node members stand in Gray
+rank; runs of neighbours are factored into nodes of the bits that all their members share, and these into wider ones,
+and pairs of nodes whose shared bits differ in over ``most`` places are pruned with all their members. A member's
+candidates are those of smaller id that differ in at most ``most`` of the 256 bits. A pair is a link if its sets of shingles
 are similar enough, counted in full; groups join through components. Rounds take the nearest candidate first, then
 ever more of the next ones, without those in the member's own component by then, until no candidate is left: so every
 candidate is verified or already joined, while a group of true copies gives few more pairs than it has members. A node of
@@ -23,9 +25,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import released, small_batches, written
+from lexmill.llm.common import released, slices, written
 from lexmill.llm.components import components
-from lexmill.llm.simhash import AT_ONCE, SEED
+from lexmill.llm.simhash import AT_ONCE, FAN, LEAF, SEED
 
 WORDS = 4  # of 64 bits
 #: Pairs compared at once.
@@ -73,7 +75,7 @@ def parities(found: np.ndarray) -> np.ndarray:
 def keyed(batches: Iterator[pd.DataFrame], places: np.ndarray) -> Iterator[pd.DataFrame]:
     """A row per fingerprint and mask, with the bits below the mask as a key."""
     tables, bits = places.shape
-    for batch in batches:
+    for batch in slices(batches):
         words = np.stack([batch[f"f{k}"].to_numpy() for k in range(WORDS)], 1)
         set_ = np.unpackbits(np.ascontiguousarray(words.astype(">i8")).view(np.uint8).reshape(len(batch), -1), axis=1)
         key = (set_[:, places].astype(np.int64) << np.arange(bits)).sum(2) + (np.arange(tables) << bits)
@@ -82,6 +84,44 @@ def keyed(batches: Iterator[pd.DataFrame], places: np.ndarray) -> Iterator[pd.Da
         yield out
 
 
+def gray_order(words: np.ndarray) -> np.ndarray:
+    """The order of the Gray ranks of patterns of several words, the first one the highest."""
+    ranks, odd = [], np.zeros(len(words), np.uint64)
+    for k in range(words.shape[1]):
+        rank = words[:, k].copy()
+        for by in (1, 2, 4, 8, 16, 32):
+            rank ^= rank >> np.uint64(by)
+        rank ^= np.uint64(0) - odd  # an odd rank of the words before turns this one round
+        odd = rank & np.uint64(1)
+        ranks.append(rank)
+    return np.lexsort(ranks[::-1])
+
+
+def within(low: np.ndarray, high: np.ndarray, most: int) -> np.ndarray:
+    """Which nodes, of bits set in all members and in any, may have members within ``most`` bits of each other's."""
+    free = low ^ high
+    loose = free[:, None] | free[None]
+    return np.bitwise_count((low[:, None] ^ low[None]) & ~loose).sum(2, dtype=np.int16) <= most
+
+
+def pruned(words: np.ndarray, most: int) -> np.ndarray:
+    """For members in Gray order: which pairs of leaves, LEAF members each, are left when wider nodes and then the
+    leaves themselves have been compared."""
+    cuts = np.arange(0, len(words), LEAF)
+    low, high = np.bitwise_and.reduceat(words, cuts), np.bitwise_or.reduceat(words, cuts)
+    wide = np.arange(0, len(low), FAN)
+    upper = within(np.bitwise_and.reduceat(low, wide), np.bitwise_or.reduceat(high, wide), most)
+    above = np.arange(len(low)) // FAN
+    left = upper[above[:, None], above[None]]
+    for row in np.flatnonzero(upper.any(1)).tolist():
+        mine = np.flatnonzero(above == row)
+        others = np.flatnonzero(upper[row][above])
+        free = (low ^ high)[mine][:, None] | (low ^ high)[others][None]
+        apart = np.bitwise_count((low[mine][:, None] ^ low[others][None]) & ~free).sum(2, dtype=np.int16)
+        left[np.ix_(mine, others)] = apart <= most
+    return left
+
+
 def node_candidates(rep: np.ndarray, words: np.ndarray, root: np.ndarray, side: np.ndarray, marks: np.ndarray | None, sizes: np.ndarray | None, least: float, most: int, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs (u, v) of a node's members, sorted by id, and the members that have open candidates beyond them.
 
@@ -91,27 +131,33 @@ def node_candidates(rep: np.ndarray, words: np.ndarray, root: np.ndarray, side:
     """
     n, more, u, v = len(rep), False, [], []
     open_ = np.zeros(n, bool)
-    step = max(1, PAIRS // n)
-    for at in range(1, n, step):
-        to = min(at + step, n)
-        apart = np.bitwise_count(words[at:to, None] ^ words[None, :to]).sum(2, dtype=np.int16)
-        apart[np.arange(to)[None, :] >= np.arange(at, to)[:, None]] = 1000
-        cross = (apart <= most) & (root[None, :to] != root[at:to, None]) & ((side[None, :to] != side[at:to, None]) | (side[at:to, None] < 0))
+    gray = gray_order(words) if n > 4 * LEAF else np.arange(n)
+    left = pruned(words[gray], most) if n > 4 * LEAF else None
+    leaf = np.empty(n, np.int64)
+    leaf[gray] = np.arange(n) // LEAF
+    step = max(LEAF, PAIRS // n // LEAF * LEAF)
+    for at in range(0, n, step):
+        rows = gray[at : at + step]
+        others = np.arange(n) if left is None else np.flatnonzero(left[at // LEAF : (at + step) // LEAF].any(0)[leaf])
+        apart = np.bitwise_count(words[rows, None] ^ words[None, others]).sum(2, dtype=np.int16)
+        apart[others[None, :] >= rows[:, None]] = 1000
+        cross = (apart <= most) & (root[None, others] != root[rows, None]) & ((side[None, others] != side[rows, None]) | (side[rows, None] < 0))
         if marks is not None:
             i, j = np.nonzero(cross)
             # sets differ in as many elements at least as the parities of their buckets' counts do
-            cross[i, j] = np.bitwise_count(marks[at + i] ^ marks[j]).sum(1, dtype=np.int16) <= (sizes[at + i] + sizes[j]) * (1 - least) / (1 + least) + 1e-6
-        open_[:to] |= cross.any(0)
-        rows = np.flatnonzero(cross.any(1))
-        if not len(rows):
+            cross[i, j] = np.bitwise_count(marks[rows[i]] ^ marks[others[j]]).sum(1, dtype=np.int16) <= (sizes[rows[i]] + sizes[others[j]]) * (1 - least) / (1 + least) + 1e-6
+        open_[others[cross.any(0)]] = True
+        some = np.flatnonzero(cross.any(1))
+        if not len(some):
             continue
-        open_[at + rows] = True
-        apart, cross = apart[rows], cross[rows]
+        rows = rows[some]
+        open_[rows] = True
+        apart, cross = apart[some], cross[some]
         order = apart.argmin(1)[:, None] if hi == 1 else apart.argsort(1, kind="stable")
         one, two = np.nonzero(np.take_along_axis(cross, order[:, lo:hi], 1))
         more |= bool((cross.sum(1) > 1).any() if hi == 1 else np.take_along_axis(cross, order[:, hi:], 1).any())
-        u.append(rep[at + rows[one]])
-        v.append(rep[order[one, lo + two]])
+        u.append(rep[rows[one]])
+        v.append(rep[others[order[one, lo + two]]])
     join = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
     return join(u), join(v), rep[open_] if more else rep[:0]
 
@@ -188,7 +234,6 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     fingerprints of other sets are pairs like any others; texts shorter than a shingle are one shingle; rows with a null id take no part; an empty table gives an empty table.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     names = [f"f{k}" for k in range(WORDS)]
     same = [*names, "whole"]  # and a hash of the set itself
     of_set = [f"p{k}" for k in range(WORDS)] + ["size"]

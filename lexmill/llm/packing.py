@@ -1,10 +1,10 @@
 """Best-fit packing of tokenised documents.
 
 Planning needs only how many pieces there are of each length, at most ``capacity`` numbers, whatever the corpus
-size. The plan is made on that histogram by exact-complement hashing: lengths are the hash keys; for each free
-length, largest first, its complement is looked up as one, two or three remaining lengths under their counts, whole
-batches of equal bins at a time. What finds no exact filling goes through best fit, again over counts. The plan is a
-bounded table of runs; pieces get their place in it by rank within their length, computed in salted parts.
+size. The plan is made on that histogram by exact-complement hashing: single lengths and the sums of pairs, and with
+them those of triples, are indexed under the counts that remain; a gap's exact filling is looked up there and taken
+for whole batches of equal bins at a time. What finds no exact filling goes through best fit, again over counts. The
+plan is a bounded table of runs; pieces get their place in it by rank within their length, computed in salted parts.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import small_batches, written
+from lexmill.llm.common import slices, written
 
 #: Texts of these characters alone take the remembered path; there, one lower-casing and splitting at blanks is what
 #: the file's normaliser and splitter do. All others go through the library as they are.
@@ -102,7 +102,7 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
     def cut(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode, end = tokenizer(path).encode, np.array([end_id], "<u4").tobytes()
-        for batch in rows:
+        for batch in slices(rows):
             out = []
             for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
                 ids = encode(text or "") + end
@@ -113,40 +113,132 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
             names = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])]
             yield pd.DataFrame(out, columns=names).astype({"doc_id": "Int64"})
 
-    small_batches(docs.sparkSession)
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * with_ids
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(cut, schema)
 
 
+class Sums:
+    """An index of what remains: how many pairs of lengths have each sum, kept up as lengths run out.
+
+    A single length is its own sum, and a triple's sum is a length and a pair's, so both are looked up in it too.
+    """
+
+    def __init__(self, histogram: dict[int, int], capacity: int):
+        self.have = np.zeros(capacity + 1, np.int64)
+        for n, c in histogram.items():
+            self.have[n] = max(c, 0)
+        self.left = self.have > 0
+        self.pairs = np.zeros(2 * capacity + 1, np.int64)
+        for n in np.flatnonzero(self.left):
+            self.pairs[n : n + capacity + 1][self.left & (np.arange(capacity + 1) >= n)] += 1
+        for n in np.flatnonzero(self.have == 1):
+            self.pairs[2 * n] -= 1
+
+    def take(self, n: int, count: int) -> None:
+        """Removes ``count`` of a length, and the pairs that there are no more."""
+        was, now = self.have[n], self.have[n] - count
+        self.have[n] = now
+        if was > 1 >= now:
+            self.pairs[2 * n] -= 1
+        if not now:
+            self.left[n] = False
+            self.pairs[n : n + len(self.left)][self.left] -= 1
+
+    def enough(self, lengths: tuple[int, ...]) -> bool:
+        return all(self.have[n] >= k for n, k in Counter(lengths).items())
+
+    def pair(self, gap: int, with_: tuple[int, ...]) -> tuple[int, ...]:
+        """Two lengths that fill a gap, the larger first and as large as can be; none if there are none."""
+        if gap < 2 or not self.pairs[gap]:
+            return ()
+        top = min(gap - 1, len(self.left) - 1)
+        ones = np.arange(top, (gap + 1) // 2 - 1, -1)
+        for n in ones[self.left[ones] & self.left[gap - ones]].tolist():
+            if self.enough((*with_, n, gap - n)):
+                return n, gap - n
+        return ()
+
+    def exact(self, gap: int, with_: tuple[int, ...], most: int = 3) -> tuple[int, ...]:
+        """One, two or three lengths that fill a gap exactly, beside those of ``with_``; fewest and largest first."""
+        if gap < len(self.left) and self.left[gap] and self.enough((*with_, gap)):
+            return (gap,)
+        if most > 1 and (found := self.pair(gap, with_)):
+            return found
+        if most > 2 and gap > 2:
+            ones = np.arange(min(gap - 2, len(self.left) - 1), (gap + 2) // 3 - 1, -1)
+            for n in ones[self.left[ones] & (self.pairs[gap - ones] > 0)].tolist():
+                if self.enough((*with_, n)) and (found := self.pair(gap - n, (*with_, n))) and found[0] <= n:
+                    return n, *found
+        return ()
+
+
 def plan(histogram: dict[int, int], capacity: int = 2048) -> list[tuple[tuple[int, ...], int]]:
-    """Bins as (lengths, how many such bins), using each length as often as the histogram has it."""
-    have = {n: c for n, c in histogram.items() if c > 0}
-    bins: Counter[tuple[int, ...]] = Counter()
+    """Bins as (lengths, how many such bins), using each length as often as the histogram has it.
+
+    Exact fillings that are greedy spend small lengths which best fit could use better, so the plan is made in several
+    ways on the same few numbers, from best fit alone to fillings by three, and the one with the fewest bins counts.
+    """
+    ways = [best_fit(histogram, capacity)]
+    ways += [complements(histogram, capacity, most) for most in (1, 2, 3)] + [filled(histogram, capacity, most) for most in (1, 2, 3)]
+    return min(ways, key=lambda bins: sum(times for _, times in bins))
+
+
+def _most(sums: Sums, lengths: tuple[int, ...]) -> int:
+    return int(min(sums.have[n] // k for n, k in Counter(lengths).items()))
+
+
+def _spend(sums: Sums, bins: Counter, lengths: tuple[int, ...], times: int) -> None:
+    bins[lengths] += times
+    for n, k in Counter(lengths).items():
+        sums.take(n, k * times)
 
-    def take(lengths: tuple[int, ...]) -> None:
-        need = Counter(lengths)
-        times = min(have[n] // k for n, k in need.items())
+
+def _together(bins: Counter, sums: Sums, capacity: int) -> list[tuple[tuple[int, ...], int]]:
+    """The bins made so far, and best fit of what remains."""
+    for lengths, times in best_fit({int(n): int(sums.have[n]) for n in np.flatnonzero(sums.left)}, capacity):
         bins[lengths] += times
-        for n, k in need.items():
-            have[n] -= k * times
-            if not have[n]:
-                del have[n]
-
-    def enough(lengths: tuple[int, ...]) -> bool:
-        return all(have.get(n, 0) >= k for n, k in Counter(lengths).items())
-
-    if capacity in have:
-        take((capacity,))
-    for size in (2, 3, 4):  # a length with its exact complement as a single, a pair, a triple sum
-        for big in sorted(have, reverse=True):
-            while big in have and (found := _complement(have, big, capacity - big, size - 1, enough)):
-                take(found)
-    gaps: dict[int, list[list]] = {}  # free space -> open bins of it, as [lengths, count]
-    order: list[int] = []  # the free spaces, ascending
+    return list(bins.items())
+
+
+def complements(histogram: dict[int, int], capacity: int, most: int) -> list[tuple[tuple[int, ...], int]]:
+    """First all lengths with an exact single complement, then with a pair, then with a triple; the rest by best fit."""
+    sums, bins = Sums(histogram, capacity), Counter()
+    if sums.left[capacity]:
+        _spend(sums, bins, (capacity,), int(sums.have[capacity]))
+    for size in range(1, most + 1):
+        for big in np.flatnonzero(sums.left)[::-1].tolist():
+            while sums.left[big] and (found := sums.exact(capacity - big, (big,), size)):
+                _spend(sums, bins, (big, *found), _most(sums, (big, *found)))
+    return _together(bins, sums, capacity)
+
+
+def filled(histogram: dict[int, int], capacity: int, most: int) -> list[tuple[tuple[int, ...], int]]:
+    """Bin after bin, from the largest length left: an exact filling of its gap if there is one, else the largest
+    length that fits, and so on; equal bins at once, as long as the counts last."""
+    sums, bins = Sums(histogram, capacity), Counter()
+    while sums.left.any():
+        lengths: tuple[int, ...] = (int(np.flatnonzero(sums.left)[-1]),)
+        gap = capacity - lengths[0]
+        while gap:
+            if found := sums.exact(gap, lengths, most):
+                lengths += found
+                break
+            held = Counter(lengths)
+            fits = next((n for n in np.flatnonzero(sums.left[: gap + 1])[::-1].tolist() if sums.have[n] > held[n]), 0)
+            if not fits:
+                break
+            lengths, gap = (*lengths, fits), gap - fits
+        _spend(sums, bins, lengths, _most(sums, lengths))
+    return list(bins.items())
 
 
-    for n in sorted(have, reverse=True):
-        left = have[n]
+def best_fit(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
+    """Best fit of decreasing lengths over counts: each into the open bin with the least room that takes it."""
+    bins: Counter[tuple[int, ...]] = Counter()
+    gaps: dict[int, list[list]] = {}  # free space -> open bins of it, as [lengths, count]
+    order: list[int] = []  # the free spaces, ascending
+    for n in sorted((n for n, c in histogram.items() if c > 0), reverse=True):
+        left = histogram[n]
         while left:
             i = bisect.bisect_left(order, n)
             if i == len(order):
@@ -177,33 +269,6 @@ def plan(histogram: dict[int, int], capacity: int = 2048) -> list[tuple[tuple[in
     return list(bins.items())
 
 
-def _complement(have: dict[int, int], big: int, gap: int, parts: int, enough) -> tuple[int, ...] | None:
-    """``big`` with ``parts`` lengths summing to exactly ``gap``, the larger ones first; None if there are none left."""
-    if parts == 1:
-        return (big, gap) if gap in have and enough((big, gap)) else None
-    sizes = [n for n in sorted(have, reverse=True) if n <= min(gap, big)]
-    if parts == 2:
-        for n in sizes:
-            if 2 * n < gap:
-                return None
-            if gap - n in have and enough((big, n, gap - n)):
-                return (big, n, gap - n)
-        return None
-    for n in sizes:
-        if 3 * n < gap:
-            return None
-        if enough((big, n)) and gap > n:
-            rest = gap - n
-            for m in sizes:
-                if m > n or m >= rest:
-                    continue
-                if 2 * m < rest:
-                    break
-                if rest - m in have and enough((big, n, m, rest - m)):
-                    return (big, n, m, rest - m)
-    return None
-
-
 def packed(parts: DataFrame, capacity: int = 2048, salt: int = 64) -> DataFrame:
     """``parts`` (doc_id, piece, length, ...) with ``sequence_id`` and ``offset``.
 

@@ -53,7 +53,7 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.features(media.stored(_table(spark, sf_dir, "documents")))
+    return media.features(media.metadata(media.dealt(media.stored(_table(spark, sf_dir, "documents")))))
 
 
 def op10_interleaved_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,4 +66,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": line_dedup.ORACLE, "op3_vantage_point": vantage.ORACLE}
+    return {"op1_line_dedup": line_dedup.ORACLE, "op3_vantage_point": vantage.ORACLE, "op10_interleaved_sharding": sharding.ORACLE}

@@ -3,7 +3,8 @@
 Fingerprints are made by document; equal ones collapse to one representative (its smallest id). The index's upper
 nodes are masked bit patterns: the bits are cut into ``distance + 2`` blocks, so two fingerprints within ``distance``
 agree on at least two whole blocks, and each pair of blocks with its bits is an upper node. Nodes are shuffled, never
-broadcast; one with too many members is split again by its free bits. Below an upper node the fingerprints stand in Gray rank; runs of neighbours are factored into nodes that
+broadcast; one with too many members is split by the blocks of another cut, and so on, until none has too many: a
+split fixes about a third of the bits that are still free. Below an upper node the fingerprints stand in Gray rank; runs of neighbours are factored into nodes that
 keep the bits which all members share, and those into wider nodes. Two nodes are compared by the bits fixed in both:
 beyond ``distance`` the whole pair of groups is pruned, and where even all free bits could not exceed it the groups
 are linked without looking at their members. A node emits a spanning forest, not its pairs. Components are joined
@@ -13,6 +14,7 @@ across nodes by alternating stars on the distributed edges.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -22,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexmill.llm.common import small_batches, written
+from lexmill.llm.common import released, written
 from lexmill.llm.components import components
 
 SEED, BITS = 42, 64
@@ -53,7 +55,6 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def fp(texts: pd.Series) -> pd.Series:
         return pd.Series(np.array([fingerprint(t, words) for t in texts], np.uint64).view(np.int64))
 
-    small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).alias("doc_id"), fp(F.col(text_col)).alias("fp"))
 
 
@@ -64,36 +65,17 @@ def gray_rank(fp: Column) -> Column:
     return fp
 
 
-def blocks(bits: int, distance: int) -> list[tuple[int, int]]:
-    """(lowest bit, width) of ``distance + 2`` blocks of a pattern."""
-    edges = [bits * i // (distance + 2) for i in range(distance + 3)]
-    return [(lo, hi - lo) for lo, hi in zip(edges, edges[1:], strict=False)]
+def blocks(level: int, distance: int) -> list[int]:
+    """``distance + 2`` masks that share out the bits: runs of neighbours on the first level, a shuffle of its own on each other."""
+    order = np.arange(BITS) if not level else np.random.default_rng(level).permutation(BITS)
+    return [sum(1 << int(bit) for bit in part) for part in np.array_split(order, distance + 2)]
 
 
-def upper_nodes(fp: Column, distance: int, bits: int = BITS) -> Column:
-    """Keys of the masked bit patterns that hold a fingerprint: two whole blocks each, below the number of their pair."""
-    parts = blocks(bits, distance)
-    width = 2 * max(w for _, w in parts)
-    keys = []
-    for k, ((a, wa), (b, wb)) in enumerate(combinations(parts, 2)):
-        one, two = (F.shiftrightunsigned(fp, at).bitwiseAND(F.lit((1 << w) - 1)) for at, w in ((a, wa), (b, wb)))
-        keys.append(F.lit(k << width).cast("long") + F.shiftleft(one, wb) + two)
-    return F.array(*keys)
-
-
-def lower_nodes(key: Column, fp: Column, distance: int) -> Column:
-    """Keys below an upper node that holds too many: its members agree on the node's two blocks, so what differs
-    lies in the others, and these bits alone are cut into blocks again."""
-    parts = blocks(BITS, distance)
-    width, free, bits = 2 * max(w for _, w in parts), F.lit(0).cast("long"), 0
-    for k, pair in enumerate(combinations(range(len(parts)), 2)):
-        packed, at = F.lit(0).cast("long"), 0
-        for i, (lo, w) in enumerate(parts):
-            if i not in pair:
-                packed = packed.bitwiseOR(F.shiftleft(F.shiftrightunsigned(fp, lo).bitwiseAND(F.lit((1 << w) - 1)), at))
-                at += w
-        free, bits = F.when(F.shiftright(key, width) == k, packed).otherwise(free), max(bits, at)
-    return F.transform(upper_nodes(free, distance, bits), lambda x: F.lit(1 << 60) + F.shiftleft(key, 24) + x)
+def nodes(key: Column, fp: Column, level: int, distance: int) -> Column:
+    """Keys of a level's masked bit patterns that hold a fingerprint: two whole blocks each, below the node of ``key``."""
+    signed = lambda x: x - (1 << BITS) if x >> (BITS - 1) else x
+    pairs = [signed(a | b) for a, b in combinations(blocks(level, distance), 2)]
+    return F.array(*[F.xxhash64(key, F.lit(k), fp.bitwiseAND(F.lit(mask))) for k, mask in enumerate(pairs)])
 
 
 def merged(labels: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
@@ -190,17 +172,30 @@ def forest(rows: Iterator[pd.DataFrame], distance: int) -> Iterator[pd.DataFrame
         yield of(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
 
+def dealt(fps: DataFrame, distance: int, hot: int) -> DataFrame:
+    """(key, fp, rep): the fingerprints below each node of the index's top, none of which has over ``hot`` members.
+
+    Levels end by themselves: each fixes bits, and a node has one member once all are fixed.
+    """
+    keyed, done, level = fps.select("fp", "rep", F.explode(nodes(F.lit(0), F.col("fp"), 0, distance)).alias("key")), [], 0
+    while True:
+        large = written(keyed.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > hot).select("key"), "large")  # a row for ``hot`` members
+        if large.isEmpty():
+            released(fps.sparkSession, large)
+            return reduce(DataFrame.unionByName, [*done, keyed])
+        level += 1
+        done.append(keyed.join(large, "key", "left_anti"))
+        below = keyed.join(large, "key", "left_semi").select("fp", "rep", F.explode(nodes(F.col("key"), F.col("fp"), level, distance)).alias("key"))
+        keyed = written(below, "lower")
+
+
 def simhash_links(fps: DataFrame, distance: int = 4, hot: int = 50_000) -> DataFrame:
     """(u, v) spanning edges between representatives of (fp, rep) rows that have distinct fingerprints.
 
     An upper node with more than ``hot`` members is split into lower ones, so that no task gets it whole.
     """
-    keyed = fps.select("fp", "rep", F.explode(upper_nodes(F.col("fp"), distance)).alias("key"))
-    large = keyed.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > hot).select("key", F.lit(True).alias("large"))
-    keys = F.when(F.col("large"), lower_nodes(F.col("key"), F.col("fp"), distance)).otherwise(F.array("key"))
-    keyed = keyed.join(large, "key", "left").select("fp", "rep", F.explode(keys).alias("key"))
-    dealt = keyed.repartition("key").sortWithinPartitions(F.col("key"), gray_rank(F.col("fp")))
-    return dealt.select("key", "fp", "rep").mapInPandas(lambda rows: forest(rows, distance), "u long, v long")
+    sorted_ = dealt(fps, distance, hot).repartition("key").sortWithinPartitions(F.col("key"), gray_rank(F.col("fp")))
+    return sorted_.select("key", "fp", "rep").mapInPandas(lambda rows: forest(rows, distance), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, distance: int = 4) -> DataFrame:

@@ -7,15 +7,19 @@ tasks, so the refinement of a text needs no other text.
 
 What the corpus must sort is a sparse set of suffixes. Every window of ``width`` bytes has one anchor, the position
 of its smallest bucket of depth ``depth``; equal windows have their anchors at equal places. An anchor owns a run of
-window starts. Its bucket is refined in two steps over the whole corpus, each a map-side combined count:
+window starts. A task first sorts the anchors of its own portion on their buckets and refined buckets, and sends on
+one of each. Over the whole corpus the buckets are then counted, which is combined before the shuffle, and those with
+one member are done: no window that they own occurs twice. The others are refined in two steps:
 
-1. by the identifiers at both ends of its run (and the run's shape), which name all bytes that its windows cover;
+1. by the identifiers at both ends of their run (and the run's shape), which name all bytes that its windows cover;
    a refined bucket with two members settles all their windows at once, as repeated;
 2. where a bucket fell into several refined ones, one member of each goes on: its run is cut into blocks, each with
    the bucket of the bytes that all its windows share and the refined bucket of those that any has, and step 1
    holds again. Blocks that are still open after it are spelled out window by window.
 
-A bucket with one member is done: no window that it owns occurs twice. Copies never meet in pairs or lists.
+Members learn what became of their bucket by joins in which the largest buckets are split over many tasks; copies
+never meet in pairs or lists. Identifiers stand for their bytes unread: two are compared, of 64 bits each, so among n
+members two unequal strings pass for equal with a probability of about n^2 / 2^129.
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import released, small_batches, with_text, written
+from lexmill.llm.common import released, salted_join, slices, with_text, written
 
 #: Odd multipliers of the mixing step (fixed values: 64-bit fractions of the golden ratio and two finalisers).
 GOLDEN, MIX1, MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -135,9 +139,13 @@ def owned(keys: pd.DataFrame, parts: list[bytes], width: int, depth: int) -> pd.
     rows = {c: keys[c].to_numpy()[doc] for c in ("k", "mark")}
     rows |= {"bucket": fine[anchor].view(np.int64), "refined": refined.view(np.int64), "start": first - cuts[doc] + keys["base"].to_numpy()[doc], "length": last - first + 1, "lead": anchor - first}
     found = pd.DataFrame(rows)
-    found["whole"] = found.duplicated(["bucket", "refined"], keep=False)
-    found["goes"] = ~found.duplicated(["bucket", "refined"])
-    return found
+    order = np.lexsort((rows["refined"], rows["bucket"]))
+    sorted_ = np.stack([rows["bucket"][order], rows["refined"][order]])
+    same = np.r_[False, (sorted_[:, 1:] == sorted_[:, :-1]).all(0), False]  # as the one before
+    goes, whole = np.ones(len(order), bool), np.zeros(len(order), bool)
+    goes[order] = ~same[:-1]
+    whole[order] = same[:-1] | same[1:]
+    return found.assign(whole=whole, goes=goes)
 
 
 def opened(batch: pd.DataFrame, width: int) -> tuple[bytes, pd.DataFrame]:
@@ -191,9 +199,11 @@ def spelled(batch: pd.DataFrame, width: int) -> pd.DataFrame:
 
 
 def covered(runs: list, width: int) -> list[tuple[int, int]]:
-    """Maximal spans of bytes that windows with these (lo, hi) starts cover."""
+    """Maximal spans of bytes that windows cover: with starts from lo to hi, or those of 64 from lo on that ``bits`` has."""
+    starts = [(r["lo"], r["hi"]) for r in runs if not r["bits"]]
+    starts += [(r["lo"] + i, r["lo"] + i) for r in runs if r["bits"] for i in range(64) if r["bits"] >> i & 1]
     out: list[list[int]] = []
-    for lo, hi in sorted((r["lo"], r["hi"]) for r in runs):
+    for lo, hi in sorted(starts):
         if out and lo <= out[-1][1]:
             out[-1][1] = max(out[-1][1], hi + width)
         else:
@@ -208,7 +218,6 @@ def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     bytes, with ``whole_characters`` without those of characters that a cut has split. Rows with equal ``k`` and text share one row here, but count as two places.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     texts = keyed(docs, id_col, text_col).filter(F.octet_length("text") >= width).select("k", "mark", "text")
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -216,7 +225,7 @@ def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
             yield owned(keys, parts, width, depth)
 
     found = written(texts.mapInPandas(find, f"{RUN}, whole boolean, goes boolean"), "anchors")
-    settled = written(refine(found.filter("goes").drop("goes").withColumnRenamed("whole", "many")), "settled")
+    settled = refine(found.filter("goes").drop("goes").withColumnRenamed("whole", "many"), "settled")
     copies = found.filter("whole and not goes").select("k", "mark", "start", "length")
     whole = written(settled.filter("many").select("k", "mark", "start", "length").union(copies), "whole")
     released(spark, found)
@@ -232,19 +241,24 @@ def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
 
     def named(runs: DataFrame, make, schema: str) -> DataFrame:
         jobs = runs.groupBy("k", "mark").agg(F.collect_set(F.struct("start", "length", "lead", "many")).alias("jobs"))
-        return affected.join(jobs, ["k", "mark"]).mapInPandas(lambda batches: (make(b) for b in batches if len(b)), schema)
+        return affected.join(jobs, ["k", "mark"]).mapInPandas(lambda batches: (make(b) for b in slices(batches)), schema)
 
-    parts = written(refine(named(settled.filter("open"), lambda b: blocks(b, width, BLOCK), f"{RUN}, many boolean")), "blocks")
-    released(spark)
+    blocked = written(named(settled.filter("open"), lambda b: blocks(b, width, BLOCK), f"{RUN}, many boolean"), "blocks")
+    parts = refine(blocked, "parts")
+    released(spark, blocked)
     windows = written(named(parts.filter("open"), lambda b: spelled(b, width), "w1 long, w2 long, k long, mark long, at long, many boolean"), "windows")
-    common = windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
-    partly = windows.filter("not many").join(common, ["w1", "w2"]).select("k", "mark", F.col("at").alias("start"), F.lit(1).alias("length"))
-    runs = whole.union(parts.filter("many").select("k", "mark", "start", "length")).union(partly)
-    runs = written(runs.groupBy("k", "mark").agg(F.collect_set(F.struct(F.col("start").alias("lo"), (F.col("start") + F.col("length") - 1).alias("hi"))).alias("runs")), "runs")
-    released(spark, windows, parts, whole, settled)
+    common = written(windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).filter("n > 1"), "common")
+    partly = salted_join(windows.filter("not many"), common, ["w1", "w2"], "n", ["k", "mark", "at"])
+    # 64 starts to a number, so that single windows of a long text take less room than itself
+    bits = F.expr("bit_or(shiftleft(1L, cast(pmod(at, 64) as int)))")
+    partly = partly.groupBy("k", "mark", F.expr("at div 64").alias("_q")).agg(bits.alias("bits")).select("k", "mark", (F.col("_q") * 64).alias("lo"), F.lit(-1).cast("long").alias("hi"), "bits")
+    runs = whole.union(parts.filter("many").select("k", "mark", "start", "length"))
+    runs = runs.select("k", "mark", F.col("start").alias("lo"), (F.col("start") + F.col("length") - 1).alias("hi"), F.lit(0).cast("long").alias("bits"))
+    runs = written(runs.union(partly).groupBy("k", "mark").agg(F.collect_set(F.struct("lo", "hi", "bits")).alias("runs")), "runs")
+    released(spark, windows, common, parts, whole, settled)
 
     def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for k, mark, data, found in zip(batch["k"], batch["mark"], batch["packed"], batch["runs"], strict=True):
                 data, spans = zstandard.decompress(data), covered(found, width)
@@ -258,20 +272,25 @@ def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     return joined.mapInPandas(apply, "k long, mark long, spans array<struct<start long, end long>>, kept binary")
 
 
-def refine(runs: DataFrame) -> DataFrame:
-    """Runs that may hold repeated windows, of rows (k, mark, bucket, refined, start, length, lead, many).
+def refine(runs: DataFrame, name: str) -> DataFrame:
+    """Runs that may hold repeated windows, of rows (k, mark, bucket, refined, start, length, lead, many) of a table.
 
     ``many``: the refined bucket has several members (or came so), which settles the run. ``open``: the bucket has
-    several refined ones, and this run stands for its own. Runs alone in their bucket are gone.
+    several refined ones, and this run stands for its own. Runs alone in their bucket are gone. The result is written.
     """
-    bucket, refined = Window.partitionBy("bucket"), Window.partitionBy("bucket", "refined")
-    return (
-        runs.withColumn("one", F.row_number().over(refined.orderBy("k", "mark", "start")) == 1)
-        .withColumn("many", (F.count("*").over(refined) > 1) | F.max("many").over(refined))
-        .withColumn("open", (F.min("refined").over(bucket) != F.max("refined").over(bucket)) & F.col("one"))
-        .filter("many or open")
-        .select("k", "mark", "start", "length", "lead", "many", "open")
-    )
+    place = F.xxhash64("k", "mark", "start")
+    several = written(runs.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1"), "several")
+    held = salted_join(runs, several.withColumn("of", F.col("members")), ["bucket"], "members", ["k", "mark", "start"])
+    held = written(held.withColumn("place", place), "held")
+    released(runs.sparkSession, several)
+    # a refined bucket with fewer members than its bucket is not the only one; the member with the least name stands for it
+    refined = held.groupBy("bucket", "refined").agg(F.count("*").alias("n"), F.max("many").alias("came"), F.min("place").alias("one"), F.max("of").alias("all"))
+    verdict = written(refined.select("bucket", "refined", "n", ((F.col("n") > 1) | F.col("came")).alias("_many"), F.when(F.col("n") < F.col("all"), F.col("one")).alias("_one")), "refined")
+    joined = salted_join(held.drop("many", "of"), verdict, ["bucket", "refined"], "n", ["place"])
+    out = joined.select("k", "mark", "start", "length", "lead", F.col("_many").alias("many"), F.coalesce(F.col("_one") == F.col("place"), F.lit(False)).alias("open"))
+    out = written(out.filter("many or open"), name)
+    released(runs.sparkSession, held, verdict)
+    return out
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -1,21 +1,27 @@
 """Approximate nearest neighbours by vantage-point trees, one per shard.
 
-Vectors are dealt into shards of bounded size by a hash of their id; each shard builds a tree whose inner nodes hold
-a vantage point and the median distance to it, and whose leaves hold small blocks. Blocks of queries of bounded size
-meet every shard (the stated query set against all rows) as one task each; a task keeps the k best of its shard,
-and a window by query joins the shards' lists. A subtree is skipped if the triangle inequality puts it
-``factor`` times beyond its reach: with factor 1 that is the exact bound, above 1 the reach is the k-th distance
-divided by the factor, so more is skipped and far neighbours may be missed.
+Vectors are dealt into shards of bounded size by a hash of their id and components. A tree is built once per shard:
+inner nodes hold a vantage point and the median distance to it, leaves hold small blocks. It is written to the shared
+folder as flat arrays, under a name of the task's own attempt, and the table of trees names the files that count.
+The queries, the stated set against all rows, are sent to the shards; a task opens a shard's tree and takes its
+queries in blocks. It keeps the k best of its shard, and a window by query joins the shards' lists. A subtree is
+skipped if the triangle inequality puts it ``factor`` times beyond its reach: with factor 1 that is the exact bound,
+above 1 the reach is the k-th distance divided by the factor, so more is skipped and far neighbours may be missed.
 """
 
 from __future__ import annotations
 
+import io
+import uuid
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import written
+from lexmill.llm.common import new_path, written
 
 
 class VantageTree:
@@ -26,6 +32,46 @@ class VantageTree:
         self.random = np.random.default_rng(seed)
         self.root = self._node(np.arange(len(ids)))
 
+    def packed(self) -> bytes:
+        """The tree as flat arrays: rows in the order of the leaves, and a row per inner node, children after it."""
+        order, inner, bounds = [], [], []
+
+        def add(node) -> int:
+            """The place of an inner node, or of a leaf as -1 - its place among the leaves."""
+            if isinstance(node, np.ndarray):
+                order.append(node)
+                return -len(order)
+            vantage, middle, one, two, most, least = node
+            at = len(inner)
+            inner.append([vantage, 0, 0])
+            bounds.append([middle, most, least])
+            inner[at][1], inner[at][2] = add(one), add(two)
+            return at
+
+        add(self.root)
+        out = io.BytesIO()
+        sizes = np.array([len(x) for x in order], np.int64)
+        np.savez(out, ids=self.ids, points=self.points, rows=np.concatenate(order), sizes=sizes, inner=np.array(inner, np.int64).reshape(-1, 3), bounds=np.array(bounds, float).reshape(-1, 3))
+        return out.getvalue()
+
+    @classmethod
+    def unpacked(cls, data: bytes) -> VantageTree:
+        """The tree that ``packed`` gave."""
+        held, tree = np.load(io.BytesIO(data)), cls.__new__(cls)
+        tree.ids, tree.points = held["ids"], held["points"]
+        leaves = np.split(held["rows"], np.cumsum(held["sizes"])[:-1])
+        inner, bounds = held["inner"].tolist(), held["bounds"].tolist()
+        made: list = [None] * len(inner)
+
+        def child(i: int):
+            return made[i] if i >= 0 else leaves[-i - 1]
+
+        for i in range(len(inner) - 1, -1, -1):
+            (vantage, one, two), (middle, most, least) = inner[i], bounds[i]
+            made[i] = (vantage, middle, child(one), child(two), most, least)
+        tree.root = child(0 if inner else -1)
+        return tree
+
     def _node(self, rows: np.ndarray):
         if len(rows) <= self.leaf:
             return rows
@@ -56,8 +102,10 @@ class VantageTree:
             d[own[who, None] == self.ids[rows]] = np.inf
             return d
 
+        repeats = len(np.unique(self.ids)) < len(self.ids)  # then a leaf may hold fewer than its rows' number of ids
+
         def home(node, who: np.ndarray) -> None:
-            if not len(who):
+            if not len(who) or repeats:
                 return
             if isinstance(node, np.ndarray):
                 if len(node) >= k:
@@ -73,6 +121,11 @@ class VantageTree:
             all_d = np.hstack([best[who], d])
             all_n = np.hstack([names[who], np.broadcast_to(self.ids[rows], d.shape)])
             all_n[np.isinf(all_d)] = np.iinfo(np.int64).max
+            if repeats:  # of an id's vectors only the nearest counts
+                order = np.lexsort((all_d, all_n), axis=1)
+                all_d, all_n = np.take_along_axis(all_d, order, 1), np.take_along_axis(all_n, order, 1)
+                again = np.c_[np.zeros(len(all_n), bool), all_n[:, 1:] == all_n[:, :-1]]
+                all_d[again], all_n[again] = np.inf, np.iinfo(np.int64).max
             order = np.lexsort((all_n, all_d), axis=1)[:, :k]
             best[who] = np.take_along_axis(all_d, order, 1)
             names[who] = np.take_along_axis(all_n, order, 1)
@@ -104,35 +157,60 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return vectors.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v")).filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & ~F.coalesce(bad, F.lit(True)) & F.exists("v", lambda x: x != 0))
 
 
+def opened(path: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+
+
+def trees(rows: DataFrame, shards: int) -> DataFrame:
+    """(shard, width, path): a tree per shard and length of vectors of (vec_id, v), in a file of the shared folder."""
+    folder = new_path(rows.sparkSession, "trees")
+
+    def build(points: pd.DataFrame) -> pd.DataFrame:
+        out, (where, top) = [], opened(folder)
+        where.create_dir(top, recursive=True)
+        for width in points["v"].map(len).unique():
+            p = points[points["v"].map(len) == width].sort_values("vec_id", kind="stable")
+            name = f"{uuid.uuid4().hex}.npz"
+            with where.open_output_stream(f"{top}/{name}") as sink:
+                sink.write(VantageTree(p["vec_id"].to_numpy(), np.array(p["v"].tolist(), float)).packed())
+            out.append((points["shard"].iloc[0], width, f"{folder}/{name}"))
+        return pd.DataFrame(out, columns=["shard", "width", "path"])
+
+    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id", "v"), F.lit(shards)).cast("int"))
+    return written(dealt.groupBy("shard").applyInPandas(build, "shard int, width int, path string"), "trees")
+
+
 def nearest(vectors: DataFrame, every: int = 100, k: int = 10, factor: float = 1.0, id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int = 16384, block_rows: int = 2048) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each row whose id is divisible by ``every``.
 
     Defined cases: rows with a null id, and vectors that are null, zero or hold null or non-finite components, take no
     part; vectors only meet vectors of their own length; rows repeating an id and vector count once, and an id with
-    several vectors has each of them as a candidate; fewer candidates than k give fewer rows; an empty table gives
-    an empty table; other columns play no part.
+    several vectors has each of them as a candidate and asks with each, a candidate's distance being the least; fewer
+    candidates than k give fewer rows; an empty table gives an empty table; other columns play no part.
     """
     rows = written(usable(vectors, id_col, vector_col).distinct(), "vectors")
-    n, queries = rows.agg(F.count("*"), F.count(F.when(F.col("vec_id") % every == 0, 1))).first()
-    shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-queries // block_rows))
-    place = F.xxhash64("vec_id", "v")
-    dealt = rows.withColumn("shard", F.pmod(place, F.lit(shards)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    asked = rows.filter(F.col("vec_id") % every == 0).withColumn("block", F.pmod(place, F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-
-    def search(points: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for width in wanted["v"].map(len).unique() if len(points) else ():
-            p, q = (x[x["v"].map(len) == width].sort_values("vec_id", kind="stable") for x in (points, wanted))
-            if not len(p):
-                continue
-            tree = VantageTree(p["vec_id"].to_numpy(), np.array(p["v"].tolist(), float))
-            own = q["vec_id"].to_numpy()
-            best, names = tree.search(np.array(q["v"].tolist(), float), own, k, factor)
-            found = pd.DataFrame({"query_id": np.repeat(own, k), "vec_id": names.ravel(), "score": best.ravel()})
-            out.append(found[np.isfinite(found["score"])])
-        return pd.concat(out) if out else pd.DataFrame({"query_id": np.zeros(0, "i8"), "vec_id": np.zeros(0, "i8"), "score": np.zeros(0)})
-
-    found = dealt.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInPandas(search, "query_id long, vec_id long, score double")
+    shards = max(1, -(-rows.count() // shard_rows))
+    asked = rows.filter(F.col("vec_id") % every == 0).withColumn("width", F.size("v")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    # a shard's queries are dealt in runs by a hash, so that few shards still keep many tasks busy
+    sent = asked.join(trees(rows, shards), ["shard", "width"]).withColumn("run", F.pmod(F.xxhash64("vec_id", "v"), F.lit(max(1, 64 // shards))))
+    sent = sent.select("path", "run", "vec_id", "v").repartition("path", "run").sortWithinPartitions("path")
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        name, tree = None, None
+        for batch in batches:
+            for path, part in batch.groupby("path", sort=False):
+                if path != name:
+                    where, file = opened(path)
+                    with where.open_input_file(file) as source:
+                        name, tree = path, VantageTree.unpacked(source.read())
+                for at in range(0, len(part), block_rows):
+                    block = part.iloc[at : at + block_rows]
+                    own = block["vec_id"].to_numpy()
+                    best, names = tree.search(np.array(block["v"].tolist(), float), own, k, factor)
+                    found = pd.DataFrame({"query_id": np.repeat(own, k), "vec_id": names.ravel(), "score": best.ravel()})
+                    yield found[np.isfinite(found["score"])]
+
+    found = sent.mapInPandas(search, "query_id long, vec_id long, score double")
     found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")))
     return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

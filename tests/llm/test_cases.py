@@ -26,7 +26,7 @@ OPERATORS = {
     "line_dedup": (line_dedup.line_dedup, None), "simhash": (simhash.near_duplicates, None), "near_copies": (near_copies.keep_one, None), "pieces": (lambda d: packing.pieces(d, WORDS), None),
     "pack": (lambda d: packing.pack(d, WORDS), None), "encoded": (lambda d: piece_encoding.encoded(d, PIECES), None), "round_trips": (lambda d: piece_encoding.round_trips(d, PIECES), None),
     "suffix_counted": (suffix_dedup.counted, None), "suffix_dedup": (suffix_dedup.dedup, None), "quality": (scored, None), "licenses": (licenses.scan, None),
-    "media": (lambda d: media.features(media.stored(d)), None), "headers": (lambda d: media.metadata(media.stored(d)), None), "sharding": (sharding.sharded, None),
+    "media": (lambda d: media.features(media.metadata(media.dealt(media.stored(d)))), None), "headers": (lambda d: media.metadata(media.stored(d)), None), "sharding": (sharding.sharded, None),
 }
 FEWER = {"near_copies"}
 MORE = {"pieces", "pack"}

@@ -12,7 +12,9 @@ from pathlib import Path
 
 import numpy as np
 import pytest
+import sentencepiece
 import xxhash
+import zstandard
 
 sys.path.insert(0, str(Path(__file__).parent))
 
@@ -123,6 +125,7 @@ def test_split_nodes_lose_no_link(spark, hot):
     base = [rng.getrandbits(64) for _ in range(5)]
     fps = list({b ^ sum({1 << rng.randrange(64) for _ in range(rng.randrange(6))}) for b in base for _ in range(60)})
     df = spark.createDataFrame([(np.uint64(f).astype(np.int64).item(), i) for i, f in enumerate(fps)], "fp long, rep long")
+    assert max(r["count"] for r in simhash.dealt(df, 4, hot).groupBy("key").count().collect()) <= hot
     roots = {r.node: r.root for r in components(simhash.simhash_links(df, hot=hot), "u", "v").collect()}
     assert {i: roots.get(i, i) for i in range(len(fps))} == plain_components(dict(enumerate(fps)), 4)
 
@@ -262,6 +265,31 @@ def test_vantage_recall_and_odd_vectors(spark):
     assert len(out[1.3] & want) >= 0.9 * len(want)
 
 
+def test_vantage_ids_with_several_vectors(spark):
+    rng = np.random.default_rng(6)
+    data = [(int(i), rng.normal(size=4).tolist()) for i in rng.integers(0, 300, 900)]
+    df = spark.createDataFrame(data + data[:50], "vec_id long, embedding array<double>")
+    found = defaultdict(list)
+    for r in sorted(vantage.nearest(df, shard_rows=100, block_rows=3).collect(), key=lambda r: r["rank"]):
+        found[r.query_id].append((r.vec_id, round(r.score, 9)))
+    by = defaultdict(list)
+    for i, v in data:
+        by[i].append(np.array(v))
+    for q in (i for i in by if i % 100 == 0):
+        want = sorted((min(float(np.sqrt(((a - b) ** 2).sum())) for a in by[q] for b in by[c]), c) for c in by if c != q)[:10]
+        assert found[q] == [(c, round(d, 9)) for d, c in want]
+
+
+def test_trees_survive_packing():
+    rng = np.random.default_rng(7)
+    for n in (1, 64, 65, 1000):
+        tree = vantage.VantageTree(np.arange(n), rng.normal(size=(n, 3)))
+        again = vantage.VantageTree.unpacked(tree.packed())
+        q = rng.normal(size=(20, 3))
+        for one, two in zip(tree.search(q, np.full(20, -1), 5, 1.0), again.search(q, np.full(20, -1), 5, 1.0), strict=True):
+            assert np.array_equal(one, two)
+
+
 def test_tokenizer_is_the_librarys(docs):
     tokens = packing.WordTokenizer(public_tokenizers.path("word_bpe_49k.json"))
     rng = random.Random(6)
@@ -289,6 +317,50 @@ def test_packing(spark, small, docs):
     assert len(sequences) <= -(-total // 2048) * 1.02 + 1
 
 
+def plain_best_fit(histogram, capacity):
+    room = []
+    for n in sorted((n for n, c in histogram.items() for _ in range(c)), reverse=True):
+        fits = [k for k, r in enumerate(room) if r >= n]
+        if fits:
+            room[min(fits, key=room.__getitem__)] -= n
+        else:
+            room.append(capacity - n)
+    return len(room)
+
+
+@pytest.mark.parametrize("kind", ["uniform", "odd", "lognormal", "tight"])
+def test_plan_is_never_worse_than_best_fit(kind):
+    rng = random.Random(12)
+    lengths = {
+        "uniform": lambda: rng.randint(1, 512), "odd": lambda: rng.randrange(1, 512, 2), "lognormal": lambda: min(512, max(1, int(rng.lognormvariate(4, 1.2)))), "tight": lambda: rng.randint(100, 260)
+    }[kind]
+    histogram = Counter(lengths() for _ in range(1500))
+    made = packing.plan(dict(histogram), 512)
+    assert Counter(n for parts, times in made for n in parts * times) == histogram and all(sum(parts) <= 512 for parts, _ in made)
+    assert sum(t for _, t in made) <= plain_best_fit(histogram, 512)
+
+
+def test_sums_are_those_of_what_remains():
+    rng = random.Random(13)
+    have = {n: rng.randint(1, 3) for n in rng.sample(range(1, 65), 30)}
+    sums = packing.Sums(have, 64)
+    for _ in range(40):
+        pairs = Counter(a + b for a in have for b in have if a <= b and have[a] + have[b] - (a == b) * (have[a] - (have[a] > 1)) > 1 and (a < b or have[a] > 1))
+        assert {s: int(c) for s, c in enumerate(sums.pairs) if c} == dict(pairs)
+        gap = rng.randint(1, 64)
+        singles = [n for n, c in have.items() for _ in range(min(c, 3))]
+        some = gap in have or gap in pairs or any(a + b + c == gap for i, a in enumerate(singles) for j, b in enumerate(singles) if j > i for c in singles[j + 1 :])
+        found = sums.exact(gap, ())
+        assert (sum(found) == gap and all(have.get(n, 0) >= k for n, k in Counter(found).items())) if some else found == ()
+        n = rng.choice(list(have))
+        sums.take(n, 1)
+        have[n] -= 1
+        if not have[n]:
+            del have[n]
+        if not have:
+            break
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_plan_uses_every_piece_once(seed):
     rng = random.Random(seed)
@@ -305,19 +377,30 @@ def test_plan_uses_every_piece_once(seed):
 
 def test_pieces_of_the_library(spark, small, docs):
     path = public_tokenizers.path("piece_bpe_32k.model")
-    library = piece_encoding.model(path).library
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
     for r in rows(spark, small, "op5_sentencepiece"):
-        ids = library.encode(docs[r.doc_id])
+        text = docs[r.doc_id]
+        ids = library.encode(text)
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), sha(",".join(map(str, ids))), sha(library.decode(ids)))
+        # the library's own alignment, in characters, but for bytes of a character, which it gives an empty span
+        at = np.cumsum([0, *(len(c.encode()) for c in text)])
+        spans = [(int(at[p.begin]), int(at[p.end])) for p in library.encode(text, return_type="proto").pieces]
+        whole = [k for k in range(len(ids)) if not library.is_byte(ids[k])]
+        mine = piece_encoding.model(path).encode(text)
+        assert [mine[k][1:] for k in whole] == [spans[k] for k in whole]
+        assert r.spans_sha256 == sha(struct.pack(f"<{2 * len(ids)}q", *(a for _, a, _ in mine), *(b for _, _, b in mine)))
 
 
 def test_piece_spans_and_random_texts():
     model = piece_encoding.model(public_tokenizers.path("piece_bpe_32k.model"))
+    library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
     rng = random.Random(7)
     pool = [*"abc  \n\t\r.,<>|0x19é▁ß​漢字🎉\x00́", "<s>", "</s>", "<unk>", "<0x41>", "the", " of"]
-    for text in ["", " ", "▁", "  \n  ", *("".join(rng.choices(pool, k=rng.randint(1, 30))) for _ in range(3000))]:
-        ids = model.library.encode(text)
-        assert model.round_trips([text]) == [(",".join(map(str, ids)), model.library.decode(ids), len(ids))]
+    long = ["".join(rng.choices("aeinrst漢 ", (9, 9, 9, 9, 9, 9, 9, 1, 1), k=rng.randint(60, 400))).replace(" ", "") for _ in range(200)]
+    for text in [*long, "the" * 30000, "", " ", "▁", "  \n  ", *("".join(rng.choices(pool, k=rng.randint(1, 30))) for _ in range(3000))]:
+        ids = library.encode(text)
+        ((found, _, _),) = model.encoded([text])
+        assert (found.tolist(), model.decimals(found), model.decoded(found)) == (ids, ",".join(map(str, ids)), library.decode(ids))
         spans = model.encode(text)
         assert [i for i, _, _ in spans] == ids
         data, whole = text.encode(), b""
@@ -328,8 +411,6 @@ def test_piece_spans_and_random_texts():
 
 @pytest.mark.parametrize("rule", ["nmt_nfkc", "nfkc_cf"])
 def test_character_map_of_the_library(rule):
-    import sentencepiece
-
     library = sentencepiece.SentencePieceNormalizer(rule_name=rule, add_dummy_prefix=False, escape_whitespaces=False, remove_extra_whitespaces=False)
     blob = dict(piece_encoding.fields(dict(piece_encoding.fields(library.serialized_model_proto()))[3]))[2]
     model = piece_encoding.PieceModel(public_tokenizers.path("piece_bpe_32k.model"))
@@ -403,6 +484,36 @@ def test_quality_on_held_out_rows(spark, small):
     assert np.mean(good) >= 0.98 and np.mean(bad) <= 0.2
 
 
+def test_quality_scores_by_brute_force(spark, small):
+    from lexmill.llm import quality
+
+    docs, labels = (spark.read.parquet(f"{small}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.fit(docs, labels)
+    assert quality.fit(docs, labels) == model
+    good, bad = (zstandard.ZstdCompressor(level=model.level, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_checksum=False) for d in (model.good, model.bad))
+    found = {r.doc_id: (r.score, r.predicted) for r in rows(spark, small, "op7_quality")}
+    for r in docs.select("doc_id", "text").collect():
+        data = (r.text or "").encode()
+        a, b, n = len(good.compress(data)), len(bad.compress(data)), len(data)
+        x = ((b - a) / n, (b - a) / (a + b), a / n, (a / n) ** 2) if data else (0.0,) * 4
+        score = 1 / (1 + np.exp(-np.clip(model.weights[0] + np.dot(x, model.weights[1:]), -40, 40)))
+        assert found[r.doc_id][0] == pytest.approx(score, abs=1e-9) and found[r.doc_id][1] == (found[r.doc_id][0] >= 0.3)
+
+
+def test_quality_sample_is_bounded_and_of_whole_texts(spark, monkeypatch):
+    from lexmill.llm import quality
+
+    seen = []
+    monkeypatch.setattr(quality.zstandard, "train_dictionary", lambda size, data: seen.append(data) or (_ for _ in ()).throw(zstandard.ZstdError("none")))
+    long = "x" * 9000
+    texts = spark.createDataFrame([(i, f"{i} {long}") for i in range(1, 60) for _ in range(3)] + [(i, f"{i} other") for i in range(1, 60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 60)], "doc_id long, quality int")
+    quality.fit(texts, labels, per_class=10, most_bytes=60_000)
+    for data in seen:
+        assert all(len(x) > 9000 and x.endswith(b"x" * 9000) for x in data)  # one text an id, whole
+        assert 1 <= len(data) <= 3 and len(set(data)) == len(data)  # half of what 60,000 bytes hold
+
+
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 
 
@@ -437,12 +548,52 @@ def test_license_rules(spark):
     assert got[0][2:] == (2, 0, 2)
 
 
+def plain_image(data):
+    """Width, height, depth and samples of a grey image without filters, read chunk by chunk."""
+    assert data[:8] == b"\x89PNG\r\n\x1a\n"
+    at, chunks = 8, []
+    while at < len(data):
+        (size,) = struct.unpack(">I", data[at : at + 4])
+        kind, body = data[at + 4 : at + 8], data[at + 8 : at + 8 + size]
+        assert struct.unpack(">I", data[at + 8 + size : at + 12 + size])[0] == zlib.crc32(kind + body)
+        chunks.append((kind, body))
+        at += size + 12
+    width, height, depth, colour, *rest = struct.unpack(">IIBBBBB", dict(chunks)[b"IHDR"])
+    assert (colour, *rest) == (0, 0, 0, 0) and chunks[-1] == (b"IEND", b"")
+    raw = zlib.decompress(b"".join(body for kind, body in chunks if kind == b"IDAT"))
+    lines = [raw[k : k + width + 1] for k in range(0, len(raw), width + 1)]
+    assert len(lines) == height and all(x[0] == 0 for x in lines)
+    return width, height, depth, b"".join(x[1:] for x in lines)
+
+
+def plain_feature(data):
+    rows = [data[k : k + 64] for k in range(0, len(data), 64)]
+    mean = lambda x: sum(x) / len(x) if len(x) else 0.0
+    spread = (sum((b - mean(data)) ** 2 for b in data) / len(data)) ** 0.5
+    entropy = -sum(c / len(data) * np.log2(c / len(data)) for c in Counter(data).values())
+    each, more = divmod(len(rows), 4)
+    cuts = [0]
+    for k in range(4):
+        cuts.append(cuts[-1] + each + (k < more))
+    return [mean(data), spread, entropy, *(mean(b"".join(rows[a:b])) for a, b in zip(cuts, cuts[1:], strict=False))]
+
+
 def test_media(spark, small, docs):
+    stored = media.stored(spark.read.parquet(f"{small}/documents.parquet")).collect()
+    images = {}
+    for r in stored:
+        where, path = media.opened(r.shard)
+        with where.open_input_file(path) as f:
+            images[r.digest] = f.read_at(r.length, r.offset)
+    assert len({(r.shard, r.offset) for r in stored}) == len(set(docs.values()))  # equal texts are stored once
     for r in rows(spark, small, "op9_media"):
         data = docs[r.doc_id].encode()
         full = data + bytes(-len(data) % 64 or (0 if data else 64))
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(data), len(full), sha(full), zlib.crc32(full[-64:]))
-        assert (r.media_bytes, r.media_sha256) == (len(media.png(full)), sha(media.png(full)))
+        image = images[r.media_sha256]
+        assert plain_image(image) == (r.width, r.height, r.bits, full)
+        assert (r.media_bytes, r.media_sha256) == (len(image), sha(image))
+        assert [float(x) for x in r.feature.split(";")] == pytest.approx(plain_feature(full), abs=6e-5)
 
 
 def test_media_headers_and_shared_entries(spark):
@@ -470,6 +621,17 @@ def test_sharding(spark, small, docs):
     assert max(map(len, by.values())) - min(map(len, by.values())) <= 1
 
 
+def test_parts_follow_the_count():
+    assert sharding.parts(0, 100) == (0, 1) and sharding.parts(100, 100) == (0, 1) and sharding.parts(1601, 100) == (2, 17)
+    assert sharding.parts(10**11, 100_000) == (5, 10**6)
+
+
+@pytest.mark.parametrize("part_rows", [7, 100_000])
+def test_shards_do_not_depend_on_the_parts(spark, small, part_rows):
+    df = spark.read.parquet(f"{small}/documents.parquet")
+    assert sorted(sharding.sharded(df, part_rows=part_rows).collect()) == sorted(sharding.sharded(df, part_rows=50).collect())
+
+
 def test_shards_match_the_mixture_and_sql(spark, small):
     import duckdb
 
@@ -480,8 +642,8 @@ def test_shards_match_the_mixture_and_sql(spark, small):
         assert all(abs(per[s] - n / 16) <= 2 for s in range(16))
     connection = duckdb.connect()
     connection.execute(f"create view documents as select * from '{small}/documents.parquet'")
-    want = {r[0]: r[1:] for r in connection.execute(f"select doc_id, size, shard, slot from ({sharding.ORACLE})").fetchall()}
-    assert {r.doc_id: (r.size, r.shard, r.slot) for r in rows(spark, small, "op10_interleaved_sharding")} == want
+    want = {r[0]: r[1:] for r in connection.execute(f"select doc_id, size, text_crc32, shard, slot from ({sharding.ORACLE})").fetchall()}
+    assert {r.doc_id: (r.size, r.text_crc32, r.shard, r.slot) for r in rows(spark, small, "op10_interleaved_sharding")} == want
 
 
 def test_oracles_name_queries():
