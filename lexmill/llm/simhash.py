@@ -175,7 +175,9 @@ def forest(rows: Iterator[pd.DataFrame], distance: int) -> Iterator[pd.DataFrame
 def dealt(fps: DataFrame, distance: int, hot: int) -> DataFrame:
     """(key, fp, rep): the fingerprints below each node of the index's top, none of which has over ``hot`` members.
 
-    Levels end by themselves: each fixes bits, and a node has one member once all are fixed.
+    Levels end by themselves: each fixes a third of the free bits, and with so few that they tell less than ``hot``
+    members apart no node is too large (50,000: four levels at most). A level costs 15 copies of the members of the
+    nodes that it splits; of copies that are edited here and there, most nodes hold few.
     """
     keyed, done, level = fps.select("fp", "rep", F.explode(nodes(F.lit(0), F.col("fp"), 0, distance)).alias("key")), [], 0
     while True:

@@ -279,7 +279,8 @@ def refine(runs: DataFrame, name: str) -> DataFrame:
     several refined ones, and this run stands for its own. Runs alone in their bucket are gone. The result is written.
     """
     place = F.xxhash64("k", "mark", "start")
-    several = written(runs.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1"), "several")
+    several = runs.groupBy("bucket").agg(F.count("*").alias("members"), F.max("many").alias("came"))
+    several = written(several.filter("members > 1 or came").drop("came"), "several")
     held = salted_join(runs, several.withColumn("of", F.col("members")), ["bucket"], "members", ["k", "mark", "start"])
     held = written(held.withColumn("place", place), "held")
     released(runs.sparkSession, several)

@@ -117,7 +117,7 @@ def test_chain_of_links_in_pieces(spark):
     assert {r.root for r in roots} == {0} and len(roots) == len(set(fps)) - 1
 
 
-@pytest.mark.parametrize("hot", [3, 1000])
+@pytest.mark.parametrize("hot", [25, 1000])
 def test_split_nodes_lose_no_link(spark, hot):
     from lexmill.llm.components import components
 
@@ -382,9 +382,8 @@ def test_pieces_of_the_library(spark, small, docs):
         text = docs[r.doc_id]
         ids = library.encode(text)
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), sha(",".join(map(str, ids))), sha(library.decode(ids)))
-        # the library's own alignment, in characters, but for bytes of a character, which it gives an empty span
-        at = np.cumsum([0, *(len(c.encode()) for c in text)])
-        spans = [(int(at[p.begin]), int(at[p.end])) for p in library.encode(text, return_type="proto").pieces]
+        # the library's own alignment, but for bytes of a character, of which it gives the last the span
+        spans = [(p.begin, p.end) for p in library.encode(text, return_type="proto").pieces]
         whole = [k for k in range(len(ids)) if not library.is_byte(ids[k])]
         mine = piece_encoding.model(path).encode(text)
         assert [mine[k][1:] for k in whole] == [spans[k] for k in whole]
@@ -506,7 +505,7 @@ def test_quality_sample_is_bounded_and_of_whole_texts(spark, monkeypatch):
     seen = []
     monkeypatch.setattr(quality.zstandard, "train_dictionary", lambda size, data: seen.append(data) or (_ for _ in ()).throw(zstandard.ZstdError("none")))
     long = "x" * 9000
-    texts = spark.createDataFrame([(i, f"{i} {long}") for i in range(1, 60) for _ in range(3)] + [(i, f"{i} other") for i in range(1, 60)], "doc_id long, text string")
+    texts = spark.createDataFrame([(i, f"{i} {long}") for i in range(1, 60) for _ in range(3)] + [(i, f"{i} z") for i in range(1, 60)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(1, 60)], "doc_id long, quality int")
     quality.fit(texts, labels, per_class=10, most_bytes=60_000)
     for data in seen:
