@@ -26,34 +26,42 @@ def edit_score(a: Column, b: Column) -> Column:
 
     From the ends of both arrays backwards, a cell is the least of its three neighbours plus one if the two tokens
     differ; where the tokens agree, inserting and deleting are free. It never exceeds the Levenshtein distance.
+
+    Cells are filled by diagonals, each from the two before it, so that the work is that of the table's cells.
     """
-    back = F.reverse(b)
-    first = F.transform(F.sequence(F.lit(0), F.size(b)), lambda x: x.cast("int"))
+    one, two = F.reverse(a), F.reverse(b)
+    m, n = F.size(a), F.size(b)
+    ints = "array<int>"
+
+    def cell(k: Column, i: Column, last: Column, before: Column) -> Column:
+        j = k - i
+        inner = F.least(F.get(before, i - 1), F.get(last, i - 1), F.get(last, i)) + F.when(F.get(one, i - 1) == F.get(two, j - 1), 0).otherwise(1)
+        return F.when((j < 0) | (j > n), F.lit(None)).when(i == 0, j).when(j == 0, i).otherwise(inner).cast("int")
+
+    def step(acc: Column, k: Column) -> Column:
+        row = F.transform(F.sequence(F.lit(0), m), lambda i: cell(k, i, acc["last"], acc["before"]))
+        return F.struct(row.cast(ints).alias("last"), acc["last"].alias("before"))
 
-    def row(prev: Column, token: Column) -> Column:
-        places = F.when(F.size(b) > 0, F.sequence(F.lit(1), F.size(b))).otherwise(F.array().cast("array<int>"))
-        return F.aggregate(
-            places,
-            F.array(F.get(prev, F.lit(0)) + 1),
-            lambda acc, j: F.concat(acc, F.array(F.least(F.get(prev, j), F.get(prev, j - 1), F.get(acc, j - 1)) + F.when(F.get(back, j - 1) == token, 0).otherwise(1))),
-        )
+    start = F.struct(F.array(F.lit(0)).cast(ints).alias("last"), F.array().cast(ints).alias("before"))
+    steps = F.when(m + n > 0, F.sequence(F.lit(1), m + n)).otherwise(F.array().cast(ints))
+    return F.aggregate(steps, start, step, lambda acc: F.get(acc["last"], m))
 
-    return F.aggregate(F.reverse(a), first, row, lambda last: F.element_at(last, -1))
+
+#: The word that a part came from: without lower-case letters, without upper-case ones, or with an upper-case first
+#: letter; and a part cut at its first letter (fixed values, as patterns).
+ALL_UPPER, ALL_LOWER, CAPITAL = "\\A[\\p{Lu}[^\\p{L}]]+\\z", "\\A[\\p{Ll}[^\\p{L}]]+\\z", "\\A[^\\p{L}]*\\p{Lu}.*\\z"
+FIRST_LETTER = "(?s)^([^\\p{L}]*)(\\p{L})(.*)$"
 
 
 def recase(part: Column, original: Column) -> Column:
-    """A part in the case of the word that it came from: all upper, all lower, or capitalised; else unchanged."""
-    letters = F.regexp_replace(original, "[^\\p{L}]", "")
-    title = F.concat(F.upper(F.left(part, F.lit(1))), F.substr(part, F.lit(2)))
-    first = F.left(original, F.lit(1))
-    return (
-        F.when(letters == F.upper(letters), F.upper(part))
-        .when(letters == F.lower(letters), F.lower(part))
-        .when((first == F.upper(first)) & (first != F.lower(first)), title)
-        .otherwise(part)
-    )
-
-
-def highlight(hypothesis: Column, reference: Column, mark: str = "*") -> Column:
-    """The hypothesis' words, those that the reference has between marks."""
-    return F.array_join(F.transform(hypothesis, lambda w: F.when(F.array_contains(reference, w), F.concat(F.lit(mark), w, F.lit(mark))).otherwise(w)), " ")
+    """A part in the case of the word that it came from: all upper, all lower, or its first letter raised; else unchanged."""
+    cut = lambda i: F.regexp_extract(part, FIRST_LETTER, i)
+    title = F.when(part.rlike("\\p{L}"), F.concat(cut(1), F.upper(cut(2)), cut(3))).otherwise(part)
+    return F.when(original.rlike(ALL_UPPER), F.upper(part)).when(original.rlike(ALL_LOWER), F.lower(part)).when(original.rlike(CAPITAL), title).otherwise(part)
+
+
+def highlight(hypothesis: Column, reference: Column, mark: str = "*", lower: bool = False) -> Column:
+    """The hypothesis' words, those that the reference has (``lower``: in any case) between marks."""
+    key = F.lower if lower else lambda x: x
+    known = F.transform(reference, key)
+    return F.array_join(F.transform(hypothesis, lambda w: F.when(F.array_contains(known, key(w)), F.concat(F.lit(mark), w, F.lit(mark))).otherwise(w)), " ")

@@ -7,8 +7,8 @@ letters before a word boundary count as an ending, or a linking element as glue;
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -18,73 +18,96 @@ from pyspark.sql import types as T
 #: Linking elements between parts, in the order in which they are tried (fixed values).
 LINKS = ("s", "e", "en", "er", "n")
 #: One or two characters that end a word, with whatever follows the boundary (fixed value, as a pattern).
-ENDING = re.compile(r"..?\b.*", re.S)
-#: Parts that a German segmentation may hold alone and that also count as the end of the part before (fixed values).
-PLURALS = ("e", "n", "s", "en")
+ENDING = re.compile(r"..?\b")
+#: Parts that a German segmentation may hold alone and that also count as the end of the part before, and what follows
+#: them, in the order in which they are replaced (fixed values).
+PLURALS = (("e", ","), ("e", "]"), ("n", ","), ("s", ","), ("s", "]"), ("en", ","), ("en", "]"))
+#: Characters that are left out between parts (fixed values).
+BLANKS = " \t\n\x0b\f\r"
 #: Terms that a broadcast term base may have; beyond, filter the terms of each word by the join in ``filter_terms``.
 MOST_TERMS = 5_000_000
+#: The longest term of a term base, which bounds the strings that are looked up; one entry a worker and term base.
+LONGEST: dict[frozenset[str], int] = {}
 
 
 def subterms(word: str, terms: frozenset[str]) -> frozenset[str]:
     """The terms inside a word, of two characters or more, that do not start in its last two characters."""
-    low = word.lower()
-    return frozenset(low[i:j] for i in range(len(low) - 2) for j in range(i + 2, len(low) + 1) if low[i:j] in terms)
-
-
-def segmentations(word: str, known: frozenset[str]) -> set[tuple[str, ...]]:
-    """All segmentations of a word into known terms."""
-
-    @lru_cache(maxsize=None)
-    def of(rest: str) -> frozenset[tuple[str, ...]]:
-        if not rest:
-            return frozenset([()])
-        found = set()
-        low = rest.lower()
-        for end in range(2, len(low) + 1):
-            term = low[:end]
+    low, longest = word.lower(), LONGEST.get(terms) or LONGEST.setdefault(terms, max(map(len, terms), default=0))
+    return frozenset(low[i:j] for i in range(len(low) - 2) for j in range(i + 2, min(len(low), i + longest) + 1) if low[i:j] in terms)
+
+
+def steps(word: str, known: frozenset[str]) -> list[list[tuple[str, int]]]:
+    """For each place of a word: the parts that may begin there, each with the place after it, if the rest has parts too.
+
+    Places are done from the end, once each, so that long words take no more than their number of terms.
+    """
+    low, longest = word.lower(), max(map(len, known), default=0)
+    out: list[list[tuple[str, int]]] = [[] for _ in range(len(low) + 1)]
+    blank = [at + len(low[at:]) - len(low[at:].lstrip(BLANKS)) if low[at : at + 1] in tuple(BLANKS) else at for at in range(len(low) + 1)]
+    done = lambda at: at == len(low) or bool(out[at])
+    for at in range(len(low) - 1, -1, -1):
+        for end in range(at + 2, min(len(low), at + longest) + 1):
+            term = low[at:end]
             if term not in known:
                 continue
-            after = low[end:].lstrip(" \t\n\x0b\f\r")
-            tails, extra = of(after), ""
-            if not tails and ENDING.fullmatch(after):
-                extra = after[: 2 if len(after) >= 2 and after[1].isalpha() else 1]
-                tails = of(after[len(extra) :].lstrip(" \t\n\x0b\f\r"))
-            elif not tails and (extra := next((x for x in LINKS if after.startswith(x)), "")):
-                tails = of(after[len(extra) :])
-            part = term + extra if extra and term + extra in known else term
-            found.update((part, *tail) for tail in tails)
-        return frozenset(found)
-
-    return set(of(word))
+            to, extra = blank[end], ""
+            if not done(to):
+                after = low[to : to + 3]
+                if ENDING.match(low, to):
+                    extra = after[: 2 if len(after) >= 2 and after[1].isalpha() else 1]
+                    to = blank[to + len(extra)]
+                else:
+                    extra = next((x for x in LINKS if after.startswith(x)), "")
+                    to += len(extra)
+                if not extra or not done(to):
+                    continue
+            out[at].append((term + extra if extra and term + extra in known else term, to))
+    return out
 
 
 def recased(parts: tuple[str, ...], word: str) -> tuple[str, ...]:
-    """Parts in the case of their word: all upper, all lower, or each with a first capital; else as they are."""
-    letters = "".join(c for c in word if c.isalpha())
-    if letters == letters.upper():
+    """Parts in the case of their word: all upper, all lower, or each with its first letter raised; else as they are."""
+    letters = [c for c in word if c.isalpha()]
+    if word and all(unicodedata.category(c) == "Lu" for c in letters):
         return tuple(p.upper() for p in parts)
-    if letters == letters.lower():
+    if all(unicodedata.category(c) == "Ll" for c in letters):
         return tuple(p.lower() for p in parts)
-    return tuple(p[:1].upper() + p[1:] for p in parts) if word[:1].isupper() else parts
-
-
-def ranked(word: str, terms: frozenset[str], language: str = "en") -> list[tuple[float, tuple[str, ...]]]:
-    """(score, parts), best first: fewer parts score more; stops and blanks weigh a tenth; ties go by the parts."""
-    found = segmentations(word, subterms(word, terms))
-    if language == "de":
-        for parts in list(found):
-            merged = list(parts[:1])
-            for part in parts[1:]:
-                if part in PLURALS:
-                    merged[-1] += part
-                else:
-                    merged.append(part)
-            found.add(tuple(merged))
+    if letters and unicodedata.category(letters[0]) == "Lu":
+        return tuple(next((p[:i] + c.upper() + p[i + 1 :] for i, c in enumerate(p) if c.isalpha()), p) for p in parts)
+    return parts
+
+
+def merged(parts: tuple[str, ...]) -> tuple[str, ...]:
+    """A segmentation whose plural endings have joined the part before: as text, one replacement after another."""
+    text = f"[{', '.join(parts)}]"
+    for ending, close in PLURALS:
+        text = text.replace(f", {ending}{close}", f"{ending}{close}")
+    return tuple(text[1:-1].split(", "))
+
+
+def ranked(word: str, terms: frozenset[str], language: str = "en", most: int | None = None) -> list[tuple[float, tuple[str, ...]]]:
+    """(score, parts), best first: fewer parts score more; ties go by the parts. ``most``: so many of the best at most.
+
+    Each place keeps the ``most`` best of what may follow it (without ``most``: all, whose number may grow
+    exponentially with the word). Where endings can merge, as in German, what they join counts as one part.
+    """
+    known = subterms(word, terms)
+    ways, plural = steps(word, known), language == "de" and "en" in known
+    # (parts that count, parts, the parts in their case, the parts) of what may follow a place, the best first
+    held: list[list[tuple[int, int, tuple[str, ...], tuple[str, ...]]]] = [[] for _ in ways]
+    held[-1] = [(0, 0, (), ())]
+    cased = {part: recased((part,), word)[0] for part in {part for way in ways for part, _ in way}}
+    for at in range(len(ways) - 2, -1, -1):
+        found = {(n + (not plural or part != "en"), k + 1, (cased[part], *case), (part, *tail)) for part, to in ways[at] for n, k, case, tail in held[to]}
+        held[at] = sorted(found)[: most and (8 * most if plural else most)]
+    found = {parts for *_, parts in held[0]}
+    if plural:
+        found |= {merged(p) for p in found}
     scored = {}
     for parts in sorted(found):
         weight = sum(0.1 if p in (".", " ") else 1 for p in parts)
         scored[recased(parts, word)] = 1 / weight if weight else float("inf")
-    return [(s, p) for p, s in sorted(scored.items(), key=lambda x: (-x[1], -len(x[0]), x[0]))]
+    return [(s, p) for p, s in sorted(scored.items(), key=lambda x: (-x[1], -len(x[0]), x[0]))][:most]
 
 
 def held_terms(terms: DataFrame, column: str = "term"):
@@ -113,7 +136,7 @@ def decompose_best(words: DataFrame, terms: DataFrame, column: str = "word", lan
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def best(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield pd.Series([list(next(iter(ranked(w, known.value, language)), (0, ()))[1]) if w is not None else None for w in batch])
+            yield pd.Series([list(next(iter(ranked(w, known.value, language, 1)), (0, ()))[1]) if w is not None else None for w in batch])
 
     return words.withColumn("parts", best(F.col(column)))
 
@@ -140,7 +163,7 @@ def decompose_lines(lines: DataFrame, terms: DataFrame, column: str = "value", l
 
         def one(word: str) -> str:
             if word not in cache:
-                found = ranked(word, known.value, language)
+                found = ranked(word, known.value, language, 1)
                 cache[word] = " ".join(found[0][1]) if found and len(found[0][1]) > 1 else word
                 if len(cache) > 200_000:
                     cache.clear()

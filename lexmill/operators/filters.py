@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.functions.stats import hypergeometric_tail
@@ -64,9 +64,9 @@ def fisher_filter(df: DataFrame, population: int, threshold: float, order: list[
     rows = df.withColumn("_order", F.struct(*order))
     single = rows.filter(~F.col("f").contains(" ") & ~F.col("t").contains(" "))
     scored = single.withColumn("score", hypergeometric_tail(population)("c_first", "c_second", "c_both"))
-    group = Window.partitionBy("f")
-    kept = scored.withColumn("_least", F.min("score").over(group)).withColumn("_rank", F.row_number().over(group.orderBy("score", F.desc("_order"))))
-    kept = kept.filter((F.col("score") < threshold) | ((F.col("_least") >= threshold) & (F.col("_rank") == 1))).drop("_least", "_rank")
+    # the least score of each f, and of equal ones the last row's, combined before the shuffle
+    best = scored.groupBy("f").agg(F.max(F.struct((-F.col("score")).alias("s"), "_order")).alias("_best"))
+    kept = scored.join(best, "f").filter((F.col("score") < threshold) | ((-F.col("_best.s") >= threshold) & (F.col("_order") == F.col("_best._order")))).drop("_best")
     if not repaired:
         ends = rows.groupBy("f").agg(F.max_by("t", "_order").alias("_t")).filter(~F.col("_t").contains(" ")).select("f")
         last = rows.agg(F.max_by("f", "_order").alias("f"))  # one row

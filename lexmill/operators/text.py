@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.functions.text import edit_score, highlight
+from lexmill.functions.text import edit_score, highlight, words
 
-LITERAL = '"([^"]*)"'
+#: A quoted literal of one character at least, and a language tag of two or three characters at the end (fixed values).
+LITERAL, TAG = '"([^"]+)"', "@...?$"
 
 
 def literals(df: DataFrame, column: str = "value", lang: str | None = None) -> DataFrame:
@@ -20,10 +21,10 @@ def translate_literals(df: DataFrame, dictionary: DataFrame, key: list[str], col
     """Each quoted literal, quotes included, replaced by its translation, one after another over the whole line.
 
     ``dictionary`` has (label, translation[, line_no]); of equal labels the last line counts; a trailing language tag
-    of two or three letters goes. A literal without a translation fails the query, or stays (``on_bad="skip"``).
+    of two or three characters goes. Two quotes with nothing between are no literal. A literal without a translation fails the query, or stays (``on_bad="skip"``).
     """
     order = "line_no" if "line_no" in dictionary.columns else "translation"
-    known = dictionary.groupBy("label").agg(F.regexp_replace(F.max_by("translation", order), "@[a-z]{2,3}$", "").alias("_to"))
+    known = dictionary.groupBy("label").agg(F.regexp_replace(F.max_by("translation", order), TAG, "").alias("_to"))
     found = df.select(*key, column, F.regexp_extract_all(F.col(column), F.lit(LITERAL), F.lit(1)).alias("_all"))
     each = found.select(*key, F.posexplode("_all").alias("_pos", "label")).join(known, "label", "left")
     to = F.coalesce("_to", F.raise_error(F.concat(F.lit("no translation: "), F.col("label"))).cast("string")) if on_bad == "fail" else F.coalesce("_to", F.concat(F.lit('"'), F.col("label"), F.lit('"')))
@@ -33,13 +34,13 @@ def translate_literals(df: DataFrame, dictionary: DataFrame, key: list[str], col
 
 
 def compared(df: DataFrame, hypothesis: str, reference: str, lower: bool = False, repaired: bool = False, mark: str = "*") -> DataFrame:
-    """``df`` with ``shown``: the hypothesis' words, those in the reference marked, then the reference.
+    """``df`` with ``shown``: the hypothesis' words, those in the reference marked, then the reference, all as they are.
 
-    As is, the hypothesis is compared with itself, so that every word is marked.
+    ``lower`` compares words without case. As is, the hypothesis is compared with itself, so that every word is marked.
     """
-    low = (lambda c: F.lower(F.col(c))) if lower else F.col
-    mine, other = F.split(low(hypothesis), " "), F.split(low(reference), " ")
-    return df.withColumn("shown", F.concat_ws(" ||| ", highlight(mine, other if repaired else mine, mark), low(reference)))
+    split = lambda c: words(F.col(c), "\\s+")
+    mine, other = split(hypothesis), split(reference if repaired else hypothesis)
+    return df.withColumn("shown", F.concat_ws(" ||| ", highlight(mine, other, mark, lower), F.col(reference)))
 
 
 def edit_scores(df: DataFrame, left: str, right: str, lower: bool = False) -> DataFrame:

@@ -155,9 +155,9 @@ def language_pairs(spark, d):
     return both.select(F.col("a").alias("l1"), F.col("b").alias("l2"))
 
 
-@query("select line_no, case when value like '%\"EUROPE\"' then 'europe' else value end as value from ldp_src", "ldp_src")
+@query("select line_no, case when value like '%\"EUROPE\" \"\"' then 'europe' else value end as value from ldp_src", "ldp_src")
 def config_rewrite(spark, d):
-    return relation(spark, d, "ldp_src").withColumn("value", F.when(F.col("value").endswith('"EUROPE"'), F.lit("europe")).otherwise(F.col("value")))
+    return relation(spark, d, "ldp_src").withColumn("value", F.when(F.col("value").endswith('"EUROPE" ""'), F.lit("europe")).otherwise(F.col("value")))
 
 
 # zips, counts, extraction
@@ -354,23 +354,23 @@ def compositional_entropy(spark, d):
 
 
 def _fisher(repaired: bool) -> str:
-    extra = "" if repaired else "and r.f in (select f from p group by f having not contains(arg_max(t, (f, t, shard)), ' ')) and r.f <> (select arg_max(f, (f, t, shard)) from p)"
+    extra = "" if repaired else "and r.f in (select f from p group by f having not contains(arg_max(t, (c_both, t, shard)), ' ')) and r.f <> (select arg_max(f, (c_both, f, t, shard)) from p)"
     return f"""with p as (select * from pt_shards),
     a as (select shard, f, t, c_first, c_second, c_both, least(c_first + 1, 200)::bigint as k, least(c_second + 1, 200)::bigint as n from p where not contains(f, ' ') and not contains(t, ' ')),
     x as (select *, coalesce(list_sum(list_transform(range(greatest(c_both + 1, n - (200 - k)), least(k, n) + 1), lambda x:
       exp(lgamma(k + 1) - lgamma(x + 1) - lgamma(k - x + 1.0) + lgamma(200 - k + 1) - lgamma(n - x + 1.0) - lgamma(200 - k - (n - x) + 1.0) - (lgamma(201) - lgamma(n + 1) - lgamma(200 - n + 1))))), 0) as score from a),
-    r as (select *, min(score) over (partition by f) as least_, row_number() over (partition by f order by score, t desc, shard desc) as rk from x)
+    r as (select *, min(score) over (partition by f) as least_, row_number() over (partition by f order by score, c_both desc, t desc, shard desc) as rk from x)
     select shard, f, t, round(score, 9) as score from r where (score < 0.2 or (least_ >= 0.2 and rk = 1)) {extra}"""
 
 
 @query(_fisher(False), "pt_shards")
 def fisher_filter(spark, d):
-    return filters.fisher_filter(relation(spark, d, "pt_shards"), 200, 0.2, ["f", "t", "shard"]).select("shard", "f", "t", F.round("score", 9).alias("score"))
+    return filters.fisher_filter(relation(spark, d, "pt_shards"), 200, 0.2, ["c_both", "f", "t", "shard"]).select("shard", "f", "t", F.round("score", 9).alias("score"))
 
 
 @query(_fisher(True), "pt_shards")
 def fisher_filter_repaired(spark, d):
-    return filters.fisher_filter(relation(spark, d, "pt_shards"), 200, 0.2, ["f", "t", "shard"], repaired=True).select("shard", "f", "t", F.round("score", 9).alias("score"))
+    return filters.fisher_filter(relation(spark, d, "pt_shards"), 200, 0.2, ["c_both", "f", "t", "shard"], repaired=True).select("shard", "f", "t", F.round("score", 9).alias("score"))
 
 
 # ranking
@@ -400,7 +400,7 @@ def top_n_sweep(spark, d):
 
 # texts
 
-LITERALS = "select unnest(regexp_extract_all(value, '\"([^\"]*)\"{}', 1)) as literal from ldp_src"
+LITERALS = "select unnest(regexp_extract_all(value, '\"([^\"]+)\"{}', 1)) as literal from ldp_src"
 
 
 @query(LITERALS.format(""), "ldp_src")
@@ -413,35 +413,38 @@ def rdf_extract_tagged(spark, d):
     return text.literals(relation(spark, d, "ldp_src"), lang="en")
 
 
-@query("select n_nationkey as line_no, concat('<n', n_nationkey, '> ', lower(n_name), '@en in ', lower(r_name)) as value from nation join region on n_regionkey = r_regionkey")
+@query("select n_nationkey as line_no, concat('<n', n_nationkey, '> ', lower(n_name), '@en in ', lower(r_name), ' \"\"') as value from nation join region on n_regionkey = r_regionkey")
 def ldp_merge(spark, d):
     return text.translate_literals(relation(spark, d, "ldp_src"), relation(spark, d, "ldp_dict"), ["line_no"])
 
 
-SHOWN = "select conv_id, turn, array_to_string(list_transform(string_split({h}, ' '), lambda w: case when list_contains(string_split({r}, ' '), w) then '*' || w || '*' else w end), ' ') || ' ||| ' || {t} as shown from pairs"
+SHOWN = r"""with w as (select *, regexp_split_to_array(regexp_replace(src, '\s+$', ''), '\s+') as h, regexp_split_to_array(regexp_replace({r}, '\s+$', ''), '\s+') as r from pairs)
+select conv_id, turn, array_to_string(list_transform(h, lambda x: case when list_contains(list_transform(r, lambda y: {low}(y)), {low}(x)) then '*' || x || '*' else x end), ' ') || ' ||| ' || trg as shown from w"""
 
 
-@query(SHOWN.format(h="src", r="src", t="trg"), "pairs")
+@query(SHOWN.format(r="src", low=""), "pairs")
 def compare_translation(spark, d):
     return text.compared(relation(spark, d, "pairs"), "src", "trg").select(*SENTENCE, "shown")
 
 
-@query(SHOWN.format(h="lower(src)", r="lower(trg)", t="lower(trg)"), "pairs")
+@query(SHOWN.format(r="trg", low="lower"), "pairs")
 def compare_translation_repaired(spark, d):
     return text.compared(relation(spark, d, "pairs"), "src", "trg", lower=True, repaired=True).select(*SENTENCE, "shown")
 
 
-EDIT = """with recursive w as (select conv_id, turn, string_split(src, ' ')[:12] as a, string_split(trg, ' ')[:12] as b from pairs),
-e(conv_id, turn, a, b, i, d) as (select conv_id, turn, list_reverse(a), list_reverse(b), 0, range(0, len(b) + 1) from w
-union all select conv_id, turn, a, b, i + 1, list_reduce(range(1, len(b) + 1), lambda acc, j: list_append(acc, least(d[j + 1], d[j], acc[j]) + case when b[j] = a[i + 1] then 0 else 1 end), [d[1] + 1]) from e where i < len(a))"""
+#: One table of cells a pair, by diagonals k: entry i + 1 of d is the cell (i, k - i).
+EDIT = """with recursive w as (select conv_id, turn, list_reverse(string_split(src, ' ')) as a, list_reverse(string_split(trg, ' ')) as b from pairs),
+e(conv_id, turn, a, b, k, d, c) as (select conv_id, turn, a, b, 0, [0::bigint], []::bigint[] from w
+union all select conv_id, turn, a, b, k + 1, list_transform(range(0, len(a) + 1), lambda i: case when k + 1 - i < 0 or k + 1 - i > len(b) then null when i = 0 then k + 1 when k + 1 = i then i
+  else least(case when i > 0 then c[i] end, case when i > 0 then d[i] end, d[i + 1]) + case when a[i] = b[k + 1 - i] then 0 else 1 end end), d from e where k < len(a) + len(b))"""
 
 
-@query(EDIT + " select conv_id, turn, d[len(b) + 1]::int as edit from e where i = len(a)", "pairs")
+@query(EDIT + " select conv_id, turn, d[len(a) + 1]::int as edit from e where k = len(a) + len(b)", "pairs")
 def edit_score(spark, d):
     return text.edit_scores(relation(spark, d, "pairs"), "src", "trg").select(*SENTENCE, "edit")
 
 
-@query(EDIT + " select round(avg(d[len(b) + 1]), 9) as score from e where i = len(a)", "pairs")
+@query(EDIT + " select round(avg(d[len(a) + 1]), 9) as score from e where k = len(a) + len(b)", "pairs")
 def word_error_rate(spark, d):
     return text.mean_edit_score(relation(spark, d, "pairs"), "src", "trg").select(F.round("score", 9).alias("score"))
 

@@ -17,8 +17,8 @@ RELATIONS: dict[str, str | tuple[str, str]] = {
         "select u.conv_id, u.turn, replace(u.text, chr(10), ' ') as src, replace(a.text, chr(10), ' ') as trg from conversations u join conversations a on u.conv_id = a.conv_id and a.turn = u.turn + 1 where u.role = 'user' and a.role = 'assistant'",
     ),
     "links": (
-        "select conv_id, turn, p as l, p + d as r from (select conv_id, turn, size(split(src, ' ')) n, size(split(trg, ' ')) m, explode(sequence(0, 19)) p from pairs) lateral view explode(array(0, 1)) y as d where p < n and p + d < m and ((d = 0 and p % 4 <> 3) or (d = 1 and p % 5 = 0))",
-        "select conv_id, turn, p as l, p + d as r from (select conv_id, turn, len(string_split(src, ' ')) n, len(string_split(trg, ' ')) m from pairs), (select unnest(range(0, 20)) p), (select unnest([0, 1]) d) where p < n and p + d < m and ((d = 0 and p % 4 <> 3) or (d = 1 and p % 5 = 0))",
+        "select conv_id, turn, p as l, p + d as r from (select conv_id, turn, size(split(src, ' ')) n, size(split(trg, ' ')) m, explode(sequence(0, size(split(src, ' ')) - 1)) p from pairs) lateral view explode(array(0, 1)) y as d where p < n and p + d < m and ((d = 0 and p % 4 <> 3) or (d = 1 and p % 5 = 0))",
+        "select conv_id, turn, p as l, p + d as r from (select conv_id, turn, len(string_split(src, ' ')) n, len(string_split(trg, ' ')) m, unnest(range(0, len(string_split(src, ' ')))) p from pairs), (select unnest([0, 1]) d) where p < n and p + d < m and ((d = 0 and p % 4 <> 3) or (d = 1 and p % 5 = 0))",
     ),
     "pt_base": "select l_suppkey % 4 as shard, case when l_linenumber % 2 = 0 then split_part(p_name, ' ', 1) else p_name end as f, case when l_returnflag = 'A' then lower(p_type) else concat(lower(p_type), ' ', lower(l_returnflag)) end as t, count(*) as c_both from lineitem join part on l_partkey = p_partkey group by 1, 2, 3",
     "pt_shards": "select shard, f, t, cast(sum(c_both) over (partition by shard, t) as bigint) as c_first, cast(sum(c_both) over (partition by shard, f) as bigint) as c_second, c_both, cast(1 + c_both % 7 as double) / 10 as lft, cast(1 + c_both % 5 as double) / 10 as ltf, case when f like '% %' and t like '% %' then '0-0 1-1' else '0-0' end as align from pt_base",
@@ -29,8 +29,8 @@ RELATIONS: dict[str, str | tuple[str, str]] = {
     "rot": "select shard, f, t, c_both % 3 as s1, c_both % 5 as s2, c_both % 7 as s3 from pt_base",
     "sim": "select doc_id as line_no, cast(n_chars % 1000 as double) / 1000 as score from documents",
     "arpa": "select c_custkey as line_no, c_acctbal / 1000.0 - 5.0 as logp, c_name as ngram, case when c_nationkey % 3 = 0 then null else cast(c_nationkey as double) / (-10) end as backoff from customer",
-    "ldp_src": "select n_nationkey as line_no, concat('<n', n_nationkey, '> \"', n_name, '\"@en in \"', r_name, '\"') as value from nation join region on n_regionkey = r_regionkey",
-    "ldp_dict": "select n_name as label, concat(lower(n_name), '@de') as translation from nation union all select r_name, concat(lower(r_name), '@de') from region",
+    "ldp_src": "select n_nationkey as line_no, concat('<n', n_nationkey, '> \"', n_name, '\"@en in \"', r_name, '\" \"\"') as value from nation join region on n_regionkey = r_regionkey",
+    "ldp_dict": "select n_name as label, concat(lower(n_name), '@DE') as translation from nation union all select r_name, concat(lower(r_name), '@deu') from region",
 }
 NEEDS = {"links": ["pairs"], "pt_shards": ["pt_base"], "lex": ["pt_base"], "rot": ["pt_base"]}
 

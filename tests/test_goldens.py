@@ -1,6 +1,7 @@
 """Small cases worked out by hand or by plain models."""
 
 import random
+import re
 from collections import Counter
 from math import comb
 
@@ -113,6 +114,13 @@ def test_recase(spark, word, parts):
     assert [r.x for r in df.select(recase(F.col("p"), F.col("w")).alias("x")).collect()] == parts
 
 
+def test_recase_goes_by_the_first_letter(spark):
+    df = spark.createDataFrame([("haus", "(Hausamt"), ("'haus", "Hausamt"), ("haus", "hausAmt"), ("haus", "(12)")], "p string, w string")
+    assert [r.x for r in df.select(recase(F.col("p"), F.col("w")).alias("x")).collect()] == ["Haus", "'Haus", "haus", "HAUS"]
+    for part, word in (("haus", "(Hausamt"), ("'haus", "Hausamt"), ("haus", "hausAmt"), ("haus", "(12)")):
+        assert decompose.recased((part,), word) == {"(Hausamt": ("Haus",), "Hausamt": ("'Haus",), "hausAmt": ("haus",), "(12)": ("HAUS",)}[word]
+
+
 TERMS = "dampf schiff fahrt arbeit arbeits amt versicherung haft pflicht tangible intangible fixed asset assets".split()
 
 
@@ -128,11 +136,58 @@ def test_decomposition(spark, word, parts):
     assert list(found[0][1] if found else ()) == parts
 
 
+def plain_segmentations(word, known):
+    """Every segmentation, term by term from the front."""
+
+    def of(rest):
+        if not rest:
+            return {()}
+        out = set()
+        for term in known:
+            if rest.startswith(term):
+                after = rest[len(term) :].lstrip()
+                tails, extra = of(after), ""
+                if not tails and re.match(r"..?\b", after):
+                    extra = after[: 2 if len(after) >= 2 and after[1].isalpha() else 1]
+                    tails = of(after[len(extra) :].lstrip())
+                elif not tails and (glue := re.match("s|e|en|er|n", after)):
+                    extra = glue[0]
+                    tails = of(after[len(extra) :])
+                out |= {(term + extra if extra and term + extra in known else term, *tail) for tail in tails}
+        return out
+
+    return of(word.lower())
+
+
+@pytest.mark.parametrize("language", ["en", "de"])
+def test_decomposition_by_position_is_that_of_all_segmentations(language):
+    rng = random.Random(3)
+    for _ in range(1500):
+        terms = frozenset("".join(rng.choices("abens", k=rng.randint(2, 4))) for _ in range(rng.randint(1, 9))) | ({"en"} if rng.random() < 0.4 else set())
+        word = "".join(rng.choices("abens ABr", (6, 6, 6, 6, 6, 1, 1, 1, 1), k=rng.randint(1, 10)))
+        want = plain_segmentations(word, decompose.subterms(word, terms))
+        want |= {decompose.merged(p) for p in want} if language == "de" else set()
+        scores = {decompose.recased(p, word): 1 / len(p) for p in sorted(want)}
+        best = [(s, p) for p, s in sorted(scores.items(), key=lambda x: (-x[1], -len(x[0]), x[0]))]
+        assert decompose.ranked(word, terms, language) == best
+        assert decompose.ranked(word, terms, language, 1) == best[:1]
+
+
+def test_plural_endings_join_the_part_before():
+    assert decompose.merged(("haus", "en", "bau")) == ("hausen", "bau") and decompose.merged(("en", "haus", "en")) == ("en", "hausen")
+    assert decompose.merged(("haus", "en", "en", "bau")) == ("hausen", "en", "bau")
+
+
+def test_long_words_are_decomposed():
+    assert len(decompose.ranked("ab" * 5000, frozenset(["ab", "abab", "ba"]), "en", 1)[0][1]) == 2500
+
+
 def test_decomposition_queries(spark):
     words = spark.createDataFrame([("Arbeitsamt",), ("xyz",), (None,)], "word string")
     terms = spark.createDataFrame([(t,) for t in TERMS], "term string")
     assert {r.word: r.parts for r in decompose.decompose_best(words, terms).collect()} == {"Arbeitsamt": ["Arbeits", "Amt"], "xyz": [], None: None}
-    assert {(r.word, r.rank) for r in decompose.decompose_ranked(words, terms).collect()} == {("Arbeitsamt", 1), ("Arbeitsamt", 2)} or decompose.decompose_ranked(words, terms).count() >= 1
+    found = [(r.word, r["rank"], r.parts) for r in decompose.decompose_ranked(words, terms).collect()]
+    assert ("Arbeitsamt", 1, ["Arbeits", "Amt"]) in found and {w for w, _, _ in found} == {"Arbeitsamt"}
     assert {(r.word, r.term) for r in decompose.filter_terms(words, terms).collect()} == {("Arbeitsamt", "arbeit"), ("Arbeitsamt", "arbeits"), ("Arbeitsamt", "amt")}
     lines = spark.createDataFrame([("Das Arbeitsamt",)], "value string")
     assert decompose.decompose_lines(lines, terms).first().value == "Das Arbeits Amt"
@@ -144,6 +199,11 @@ def test_literals(spark):
     assert [r.literal for r in text.literals(df, lang="en").collect()] == ["x"]
     words = spark.createDataFrame([("x", "eks@de", 0), ("y", "old", 1), ("y", "wai", 2), ("z", "zed", 3)], "label string, translation string, line_no int")
     assert {r.line_no: r.value for r in text.translate_literals(df, words, ["line_no"]).collect()} == {0: "a eks@en b wai@de c zed", 1: "none"}
+    odd = spark.createDataFrame([(0, 'a "x" b ""')], "line_no int, value string")
+    assert [r.literal for r in text.literals(odd).collect()] == ["x"]
+    assert [r.literal for r in text.literals(spark.createDataFrame([('a "" b "x"',)], "value string")).collect()] == [" b "]
+    tags = spark.createDataFrame([("x", "eks@EN", 0)], "label string, translation string, line_no int")
+    assert text.translate_literals(odd, tags, ["line_no"]).first().value == 'a eks b ""'
     with pytest.raises(Exception, match="no translation"):
         text.translate_literals(df, words.filter("label <> 'z'"), ["line_no"]).collect()
 
@@ -152,6 +212,8 @@ def test_highlight(spark):
     df = spark.createDataFrame([("a b", "b c")], "h string, r string")
     assert text.compared(df, "h", "r").first().shown == "*a* *b* ||| b c"
     assert text.compared(df, "h", "r", repaired=True).first().shown == "a *b* ||| b c"
+    mixed = spark.createDataFrame([("A  b\tC ", "c  B")], "h string, r string")
+    assert text.compared(mixed, "h", "r", lower=True, repaired=True).first().shown == "A *b* *C* ||| c  B"
 
 
 def test_tokens_drop_trailing_blanks(spark):
