@@ -66,7 +66,7 @@ NAMES = [
     ("open-software", "open", "software licen", r"open software licen[sc]e", "osl"),
     ("eupl", "eupl", "eupl", r"eupl", "eupl"),
     ("eupl", "european", "union public", r"european union public licen[sc]e", "eupl"),
-    ("cecill", "cecill", "cecill", r"cecill (?:free software )?(?:licen[sc]e )?(?:agreement)?", "cecill"),
+    ("cecill", "cecill", "cecill", r"cecill(?: free software)?(?: licen[sc]e)?(?: agreement)?", "cecill"),
     ("open-font", "font", "sil open", r"sil open font licen[sc]e", "ofl"),
     ("open-database", "odbl", "odbl", r"odbl", "odbl"),
     ("open-database", "database", "open database", r"open database licen[sc]e", "odbl"),
@@ -105,7 +105,7 @@ CC_PARTS = {
 CC_VERSIONS = ("1 0", "2 0", "2 5", "3 0", "4 0")
 #: Sentences of licences and notices: label, priority, keyword, second literal, pattern.
 SENTENCES = [
-    ("mit", 90, "merchantability", "permission is hereby granted", r"permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
+    ("mit", 90, "documentation", "permission is hereby granted", r"permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
     ("isc", 90, "fee", "permission to use copy modify", r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
     ("bsd", 90, "redistribution", "binary forms", r"redistribution and use in source and binary forms with or without modification are permitted"),
     ("bsd-3-clause", 92, "endorse", "endorse or promote", r"neither the names? of .{1,160}? may be used to endorse or promote products derived from this software"),
@@ -148,9 +148,14 @@ def rules() -> list[tuple[str, int, str, str, str]]:
         out.append((label, 95, "spdx", short, rf"spdx licen[sc]e identifier {short}(?: or later| only)?"))
         for version in VERSIONS.get(label, ()):
             number = version.removesuffix(" 0") + ("(?: 0)?" if version.endswith(" 0") else "")
-            exact, later = f"{label}-{version.replace(' ', '.')}", r"(?: or(?: \(at your option\))?(?: any)? later(?: version)?| only)?"
+            exact, later = f"{label}-{version.replace(' ', '.')}", r"(?: or(?: at your option)?(?: any)? later(?: version)?| only)?"
             out.append((exact, 60, keyword, also, rf"{name} (?:version |v ?)?{number}{later}"))
             out.append((exact, 85, keyword, also, rf"{GRANT}{name} (?:version |v ?)?{number}{later}"))
+            out.append((exact, 62, short.split()[0], short, rf"{short} {number}{later}"))
+            if " " not in short:
+                major, _, minor = version.partition(" ")
+                joined = f"{short}v{major}"
+                out.append((exact, 62, joined, joined, joined + (f" {minor}" if minor != "0" else "(?: 0)?") + later))
             out.append((exact, 97, "spdx", short, rf"spdx licen[sc]e identifier {short} {number}{later}"))
     for part, (short, name) in CC_PARTS.items():
         out += [(f"cc-{part}", 55, "cc", f"cc {short}", f"cc {short}"), (f"cc-{part}", 58, "creative", "attribution", f"creative commons {name}")]
@@ -201,12 +206,14 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     gated = base.withColumn("keyword", F.explode(F.array_intersect(F.split(F.trim("w"), " "), keywords))).join(F.broadcast(table), "keyword")  # a fixed table
     gated = gated.filter(F.contains("w", "also"))
     hits = gated.select("doc_id", "mark", "rule", "label", "priority", F.expr("regexp_extract_all(w, pattern, 0)").alias("m"), F.expr("split(w, pattern, -1)").alias("p")).filter(F.size("m") > 0)
+    # from here on only numbers of words move, not texts
+    hits = hits.withColumn("m", F.transform("m", gaps)).withColumn("p", F.transform("p", gaps))
     places = hits.select("doc_id", "mark", "rule", "label", "priority", F.posexplode(F.arrays_zip("m", "p")).alias("i", "x")).filter("x.m is not null").distinct().repartition("doc_id", "mark")
     doc = Window.partitionBy("doc_id", "mark")
     before = Window.partitionBy("doc_id", "mark", "rule").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     spans = (
-        places.withColumn("to", F.sum(gaps("x.p") + gaps("x.m")).over(before))
-        .withColumn("first", F.col("to") - gaps("x.m") - 1)
+        places.withColumn("to", F.sum(F.col("x.p") + F.col("x.m")).over(before))
+        .withColumn("first", F.col("to") - F.col("x.m") - 1)
         .withColumn("last", F.col("to") - 1)
     )
     ahead = doc.orderBy("first", F.desc("last"), F.desc("priority"), "rule").rowsBetween(Window.unboundedPreceding, -1)

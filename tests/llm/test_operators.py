@@ -539,6 +539,8 @@ def test_license_rules(spark):
     cases = {
         "MIT License mit license x": ("mit", "mit"), "Licensed under the Apache License, Version 2.0": ("apache", "apache,apache-2.0"), "CC-BY-SA-4.0": ("cc-by", "cc-by,cc-by-sa-4.0"),
         "SPDX-License-Identifier: GPL-3.0-or-later": ("", "gpl-3.0"), "This is free and unencumbered software released into the public domain.": ("", "unlicense"),
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software)": ("", "mit"),
+        "CeCILL license": ("", "cecill"), "Apache-2.0": ("", "apache-2.0"), "GPLv3 or, at your option, any later version": ("", "gpl-3.0"), "LGPLv2.1+": ("", "lgpl-2.1"),
         "mit der Lizenz": ("", ""), "Redistribution and use in source and binary forms, with or without modification, are permitted": ("", "bsd"),
     }
     df = spark.createDataFrame([(i, t) for i, t in enumerate(cases)], "doc_id long, text string")
