@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +15,22 @@ def aligned(pairs: DataFrame, links: DataFrame, on: list[str]) -> DataFrame:
     return pairs.join(links.groupBy(*on).agg(F.sort_array(F.collect_list(F.struct("l", "r"))).alias("links")), on)
 
 
+def from_lines(alignments: DataFrame, corpus: DataFrame, on: Sequence[str] = ("line_no",), column: str = "value") -> DataFrame:
+    """Sentences (src, trg, links) of alignment lines (``0-0 1-2``) and corpus lines (``src ||| trg``) at the same place.
+
+    Links keep the order of their line. Corpus lines without exactly two sides and blank alignment lines are left
+    out, and an empty alignment line gives no links; another link than two numbers fails the query.
+    """
+    sides = F.split(F.col(column), " \\|\\|\\| ")
+    text = corpus.select(*on, sides.alias("_s")).filter(F.size("_s") == 2).select(*on, F.get("_s", F.lit(0)).alias("src"), F.get("_s", F.lit(1)).alias("trg"))
+    number = lambda x, k: F.get(F.split(x, "-"), F.lit(k)).cast("int").alias("lr"[k])
+    pairs = F.filter(F.split(F.col(column), "\\s+"), lambda x: x != "")
+    good = F.when(F.col(column).rlike("^\\s*(?:\\d+-\\d+(?:\\s+|$))*$"), F.transform(pairs, lambda x: F.struct(number(x, 0), number(x, 1))))
+    bad = F.raise_error(F.concat(F.lit("bad alignment: "), F.col(column))).cast("array<struct<l:int,r:int>>")
+    links = alignments.filter(~F.col(column).rlike("^\\s+$")).select(*on, F.coalesce(good, bad).alias("links"))
+    return text.join(links, list(on))
+
+
 def candidates(links: Column, most: int, repaired: bool) -> Column:
     """Runs of consecutive links. As is, the last link is in none; no good run is longer than ``most`` squared."""
     last = F.size(links) - (0 if repaired else 1)

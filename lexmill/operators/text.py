@@ -33,6 +33,12 @@ def translate_literals(df: DataFrame, dictionary: DataFrame, key: list[str], col
     return found.drop("_all").join(pairs, key, "left").select(*key, line.alias(column))
 
 
+def rewritten(df: DataFrame, suffixes: dict[str, str], column: str = "value") -> DataFrame:
+    """``df`` with each line that ends in a key of ``suffixes`` replaced by its value; the first such key counts."""
+    ends = [F.when(F.col(column).endswith(F.lit(k)), F.lit(v)) for k, v in suffixes.items()]
+    return df.withColumn(column, F.coalesce(*ends, F.col(column)))
+
+
 def compared(df: DataFrame, hypothesis: str, reference: str, lower: bool = False, repaired: bool = False, mark: str = "*") -> DataFrame:
     """``df`` with ``shown``: the hypothesis' words, those in the reference marked, then the reference, all as they are.
 

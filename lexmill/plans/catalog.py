@@ -157,7 +157,7 @@ def language_pairs(spark, d):
 
 @query("select line_no, case when value like '%\"EUROPE\" \"\"' then 'europe' else value end as value from ldp_src", "ldp_src")
 def config_rewrite(spark, d):
-    return relation(spark, d, "ldp_src").withColumn("value", F.when(F.col("value").endswith('"EUROPE" ""'), F.lit("europe")).otherwise(F.col("value")))
+    return text.rewritten(relation(spark, d, "ldp_src"), {'"EUROPE" ""': "europe"})
 
 
 # zips, counts, extraction

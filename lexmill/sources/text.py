@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -29,9 +29,23 @@ def cat(*parts: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, [p.withColumn("ord", F.lit(i)) for i, p in enumerate(parts)])
 
 
-def find(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
-    """(path, length) of the files below a folder; contents are not read."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root).select("path", "length")
+def find(spark: SparkSession, root: str, glob: str = "*", wanted: Callable[[Column], Column] | None = None) -> DataFrame:
+    """(path, length) of the files below a folder; contents are not read.
+
+    With ``wanted``, a condition on paths: the uppermost folders that meet it, with the sum of their files' lengths,
+    in place of all below them, and the files that meet it elsewhere. A folder without files is not seen.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root).select("path", "length")
+    if wanted is None:
+        return files
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    where = jvm.org.apache.hadoop.fs.Path(root)
+    top = where.getFileSystem(conf).makeQualified(where).toString().rstrip("/")
+    # the root itself, then each longer prefix of the path that ends before a slash, and the path
+    below = F.split(F.substring(F.col("path"), F.instr("path", where.toUri().getPath()) + len(where.toUri().getPath().rstrip("/")), F.length("path")), "/")
+    steps = F.transform(F.sequence(F.lit(1), F.size(below)), lambda n: F.concat(F.lit(top), F.array_join(F.slice(below, 1, n), "/")))
+    first = F.get(F.filter(steps, wanted), F.lit(0))
+    return files.select(first.alias("path"), "length").filter("path is not null").groupBy("path").agg(F.sum("length").alias("length"))
 
 
 def zip_lines(left: DataFrame, right: DataFrame, on: Sequence[str] = ("line_no",)) -> DataFrame:
@@ -50,7 +64,10 @@ def write_lines(df: DataFrame, path: str, column: str = "value", compression: st
 
 
 def write_chunks(df: DataFrame, path: str, size: int, column: str = "value", line_no: str = "line_no") -> None:
-    """One folder of text per chunk of consecutive lines."""
+    """One folder of text per chunk of consecutive lines; no lines at all give the first chunk, empty."""
+    if df.isEmpty():
+        write_lines(df, f"{path}/chunk=1", column)
+        return
     df.select(chunk(F.col(line_no), size).alias("chunk"), F.col(column)).write.mode("overwrite").partitionBy("chunk").text(path)
 
 
@@ -59,9 +76,10 @@ def terms(df: DataFrame, column: str = "value") -> DataFrame:
     return df.select(F.trim(F.col(column)).alias("term")).filter("term <> ''").distinct()
 
 
-def jdbc_terms(spark: SparkSession, url: str, table: str, column: str, **options: str) -> DataFrame:
-    """A term base from a database column."""
-    return spark.read.jdbc(url, table, properties=options).select(F.col(column).alias("term"))
+def jdbc_terms(spark: SparkSession, url: str, table: str, column: str, parts: Sequence[str] | None = None, **options: str) -> DataFrame:
+    """A term base from a database column, read in one task, or in one for each of the conditions in ``parts``."""
+    read = spark.read.jdbc(url, table, properties=options) if parts is None else spark.read.jdbc(url, table, predicates=list(parts), properties=options)
+    return read.select(F.col(column).alias("term"))
 
 
 def similarity(spark: SparkSession, path: str) -> DataFrame:

@@ -13,7 +13,9 @@ import urllib.request
 from collections.abc import Callable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from itertools import islice
 from pathlib import Path
+from threading import Thread
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -102,12 +104,35 @@ def do(*command: str, stdin: str | None = None, stdout: str | None = None, appen
 
 
 def pipe(df: DataFrame, command: Sequence[str], column: str = "value") -> DataFrame:
-    """Lines of a column through an external program, one process per task; what it prints are the new lines."""
+    """Lines of a column through an external program, one process per task; what it prints are the new lines.
+
+    A null is an empty line, and a value with line breaks is several lines. The program may end before it has read all.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            done = subprocess.run(list(command), input="".join(f"{x}\n" for x in batch[column]), capture_output=True, text=True, check=True)
-            yield pd.DataFrame({column: done.stdout.splitlines()})
+        failures: list[Exception] = []
+        with subprocess.Popen(list(command), stdin=subprocess.PIPE, stdout=subprocess.PIPE) as process:
+
+            def feed() -> None:
+                try:
+                    with process.stdin as into:
+                        for batch in batches:
+                            into.write("".join(f"{x}\n" for x in batch[column].fillna("")).encode())
+                except BrokenPipeError:
+                    for _ in batches:
+                        pass
+                except Exception as failure:
+                    failures.append(failure)
+
+            writer = Thread(target=feed, daemon=True)
+            writer.start()
+            while part := list(islice(process.stdout, 10_000)):
+                yield pd.DataFrame({column: [x.decode().removesuffix("\n") for x in part]})
+            writer.join()
+        if failures:
+            raise failures[0]
+        if process.returncode:
+            raise StepFailed(f"{' '.join(command)}: status {process.returncode}")
 
     return df.select(column).mapInPandas(run, f"{column} string")
 
@@ -180,7 +205,7 @@ def rewrite_config(lines: Sequence[str], suffixes: dict[str, str]) -> list[str]:
 def decoder_config(root: str, language_model: str, order: int, scores: int = 5, reordering: int = 6, binary: bool = False, weights: Sequence[str] = ()) -> str:
     """A decoder's configuration; ``weights`` are the lines of a tuned one from its first weight section on."""
     table = f"{root}/phrase-table{'' if binary else '.gz'}"
-    parts = [
+    parts = [  # names and numbers of the format (fixed values)
         ("input-factors", ["0"]),
         ("mapping", ["0 T 0"]),
         ("ttable-file", [f"{1 if binary else 0} 0 0 {scores} {table}"]),
@@ -189,7 +214,7 @@ def decoder_config(root: str, language_model: str, order: int, scores: int = 5,
         ("distortion-file", [f"0-0 wbe-msd-bidirectional-fe-allff {reordering} {root}/reordering-table{'' if binary else '.gz'}"]),
     ]
     if not weights:
-        parts += [("weight-d", ["0.3"] * (reordering + 1)), ("weight-l", ["0.5"]), ("weight-t", ["0.2"] * scores), ("weight-w", ["-1"])]
+        parts += [("weight-d", ["0.3"] * (reordering + 1)), ("weight-l", ["0.5"]), ("weight-t", ["0.2"] * scores), ("weight-w", ["-1"]), ("distortion-limit", ["6"])]
     text = "\n\n".join("\n".join([f"[{name}]", *rows]) for name, rows in parts)
     return "\n\n".join([text, "\n".join(weights)] if weights else [text]) + "\n"
 

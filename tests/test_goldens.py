@@ -31,6 +31,17 @@ def test_extraction(spark):
     assert found == {("the", "das"): 1, ("the red", "das rote"): 1, ("the red house", "das rote haus"): 1, ("red", "rote"): 1, ("red house", "rote haus"): 1, ("house", "haus"): 1}
 
 
+def test_alignment_lines_keep_their_order(spark):
+    lines = [(0, "1-0 0-1 2-2", "a b c ||| x y z"), (1, "0-0", "no second side"), (2, "  ", "a ||| x"), (3, "", "a ||| x"), (4, "0-0 1-1", "a b ||| x y")]
+    df = spark.createDataFrame(lines, "line_no int, links string, text string")
+    found = extract.from_lines(df.selectExpr("line_no", "links as value"), df.selectExpr("line_no", "text as value"))
+    assert {r.line_no: [tuple(x) for x in r.links] for r in found.collect()} == {0: [(1, 0), (0, 1), (2, 2)], 3: [], 4: [(0, 0), (1, 1)]}
+    pairs_ = {(r.foreign, r.translation): r.n for r in extract.pair_counts(extract.phrases(found)).collect()}
+    assert pairs_ == {("b", "x"): 1, ("a b", "x y"): 1, ("a", "y"): 1, ("a", "x"): 1}
+    with pytest.raises(Exception, match="bad alignment"):
+        extract.from_lines(df.selectExpr("line_no", "'0-a' as value"), df.selectExpr("line_no", "text as value")).collect()
+
+
 def test_one_link_gives_nothing_unless_repaired(spark):
     df = pairs(spark, [(0, 0)], "a", "b")
     assert extract.phrases(df).count() == 0

@@ -36,6 +36,32 @@ def test_sinks(spark, tmp_path):
     assert sorted(p.name for p in (tmp_path / "chunks").glob("chunk=*")) == ["chunk=1", "chunk=2", "chunk=3"]
 
 
+def test_no_lines_give_one_empty_chunk(spark, tmp_path):
+    source.write_chunks(spark.createDataFrame([], "line_no long, value string"), str(tmp_path / "chunks"), 2)
+    assert [p.name for p in (tmp_path / "chunks").glob("chunk=*")] == ["chunk=1"]
+    assert spark.read.text(str(tmp_path / "chunks" / "chunk=1")).count() == 0
+
+
+def test_find_takes_folders(spark, tmp_path):
+    for name, size in (("a/x/one.txt", 1), ("a/x/y/two.txt", 2), ("b/three.x", 3), ("b/four.txt", 4)):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("." * size)
+    root = f"file:{tmp_path}"
+    assert {r.path.removeprefix(root): r.length for r in source.find(spark, root, "*.txt").collect()} == {"/a/x/one.txt": 1, "/a/x/y/two.txt": 2, "/b/four.txt": 4}
+    assert {r.path.removeprefix(root): r.length for r in source.find(spark, root, wanted=lambda p: p.endswith("x")).collect()} == {"/a/x": 3, "/b/three.x": 3}
+    assert [(r.path, r.length) for r in source.find(spark, root, wanted=lambda p: p.startswith("file:")).collect()] == [(root, 10)]
+    assert source.find(spark, root, wanted=lambda p: p.endswith("none")).isEmpty()
+
+
+def test_terms_of_a_database(spark, tmp_path):
+    spark.sparkContext._jvm.java.lang.System.setProperty("derby.stream.error.file", f"{tmp_path}/derby.log")
+    url = f"jdbc:derby:{tmp_path}/terms"
+    spark.createDataFrame([(i, f"term {i}") for i in range(6)], "id int, word string").write.jdbc(f"{url};create=true", "words")
+    assert {r.term for r in source.jdbc_terms(spark, url, "words", "word").collect()} == {f"term {i}" for i in range(6)}
+    parts = source.jdbc_terms(spark, url, "words", "word", parts=['"id" < 2', '"id" >= 2'])
+    assert parts.rdd.getNumPartitions() == 2 and {r.term for r in parts.collect()} == {f"term {i}" for i in range(6)}
+
+
 def test_bad_rows(spark):
     df = spark.createDataFrame([("a ||| b ||| 1 2 3 4 5 ||| 0-0 ||| 1 2 3",), ("junk",), ("a ||| b ||| 1 ||| 0-0 ||| x",)], "value string")
     assert [(r.f, r.c_both) for r in phrase_table.parse_phrase_table(df).collect()] == [("a", 3)]

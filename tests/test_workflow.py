@@ -5,6 +5,7 @@ import tarfile
 import pytest
 
 from lexmill import workflow as w
+from lexmill.operators.text import rewritten
 
 
 def test_order_listing_and_resume():
@@ -71,12 +72,28 @@ def test_process(tmp_path):
         w.do("no-such-program")
 
 
+def test_one_process_a_task(spark):
+    df = spark.range(25000).coalesce(1).selectExpr("cast(id as string) as value")
+    assert [r.value.strip() for r in w.pipe(df, ["wc", "-l"]).collect()] == ["25000"]
+    assert [r.value for r in w.pipe(df, ["head", "-n", "2"]).collect()] == ["0", "1"]
+    assert w.pipe(df, ["cat"]).count() == 25000
+    odd = spark.createDataFrame([("a\nb",), (None,), ("é",)], "value string").coalesce(1)
+    assert [r.value for r in w.pipe(odd, ["cat"]).collect()] == ["a", "b", "", "é"]
+    with pytest.raises(Exception, match="status 1"):
+        w.pipe(df, ["false"]).collect()
+
+
 def test_helpers():
     assert w.language_pair("en", "de") == ("de", "en")
     assert w.groups(7, 3) == [[0, 1, 2], [3, 4], [5, 6]]
     assert w.groups(1, 2) == [[0], []]
     text = w.decoder_config("/m", "/lm", 3)
-    assert "[weight-d]" in text and text.endswith("\n")
+    assert "[weight-d]" in text and text.endswith("[distortion-limit]\n6\n")
     tuned = w.tuned_weights(["x", "[weight-d]", "1"])
     assert w.decoder_config("/m", "/lm", 3, weights=tuned).endswith("[weight-d]\n1\n")
     assert w.rewrite_config(["a/phrase-table.gz", "b"], {"phrase-table.gz": "new"}) == ["new", "b"]
+
+
+def test_rewritten_lines(spark):
+    df = spark.createDataFrame([("a/phrase-table.gz",), ("b",), (None,)], "value string")
+    assert [r.value for r in rewritten(df, {"phrase-table.gz": "new", ".gz": "later"}).collect()] == ["new", "b", None]
