@@ -1,15 +1,17 @@
 """Alignment of two tokenizers over a corpus: which tokens of one end where tokens of the other do, and how often.
 
-Texts are taken in blocks of BLOCK bytes, within Arrow batches. A block's tokens are two interval tables (place, id, end)
-for DuckDB, one connection a task: tokens that end together are joined, a window over the joined ends says how many
-tokens came before each group, and an ASOF join gives every token its group, and so its place in the text that is
-hashed. Places come back in Arrow. Blocks keep their different pairs once and each document's share of them as places in
-that list; Spark adds the blocks' counts, finds the highest of each second id, and sends each block the counts of its own
-pairs. So pairs are shuffled once a block and not once a document, and no task holds more than a block's.
-
 Both encoders part a text at a space between two other characters: the byte-level one by its pattern, the other one since
-none of its pieces has a space after another character (checked when it is loaded). So words are encoded once and
-remembered, and a long text goes through DuckDB in parts. Tokens are those of whole texts, as the tests say.
+none of its pieces has a space after another character (checked when it is loaded; else a text is one word). So texts are
+taken in blocks, within Arrow batches, and each block's different words are encoded once. Tokens are those of whole texts,
+as the tests say.
+
+A block's words laid end to end are two interval tables (place, id, end) for DuckDB, one connection a task: tokens that
+end together are joined, a window over the joined ends says how many tokens came before each group, and an ASOF join gives
+every token its group, and so its place in the text that is hashed. Another ASOF join gives groups their words, and joins
+with the documents' words the documents' sums and pairs, all in Arrow. Blocks keep their different pairs once and each
+document's share of them as places in that list; Spark adds the blocks' counts, finds the highest of each second id, and
+sends each block the counts of its own pairs. So pairs are shuffled once a block and not once a document, and no task
+holds more than a block's.
 
 Defined cases: null and empty texts, and texts that either encoder does not give back byte by byte, have no tokens: zeros
 and an empty hash column. Rows that repeat an id, or have none, are documents of their own. Other columns are not read.
@@ -20,7 +22,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 from itertools import chain
@@ -37,18 +39,26 @@ from pyspark.sql import functions as F
 
 from lexmill.llm.common import removed_tables, written
 
-#: Bytes and rows of a block, and words that a worker remembers.
-BLOCK, MOST_ROWS, REMEMBERED = 4 << 20, 50_000, 300_000
+#: Characters, different words and rows that close a block.
+BLOCK, MOST_WORDS, MOST_ROWS = 2 << 20, 60_000, 20_000
 #: A space between two other characters, and what tells that a text has other white space beside a space or at an end.
 SPACE, ODD = re.compile(r"(?<=\S) (?=\S)"), re.compile(r"\s\s|\A\s|\s\Z")
 FOUND = "block long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, places array<int>, times array<long>, a array<int>, b array<int>"
+ARROW = pa.schema([("block", pa.int64()), ("doc_id", pa.int64()), *((c, pa.int64()) for c in ("n_a", "n_b", "n_groups", "n_links")), ("groups_sha256", pa.string()), ("places", pa.list_(pa.int32())), ("times", pa.list_(pa.int64())), ("a", pa.list_(pa.int32())), ("b", pa.list_(pa.int32()))])
 RESULT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 
-#: a, b (place n from 0, id, stop: bytes up to the token's end) -> groups, the tokens' places, the pairs of a block.
+#: From a, b (place n from 0, id, stop: bytes up to the token's end), words (w, start, n_a, n_b), uses (doc, w): the groups,
+#: the tokens' places, the block's pairs, how often words hold them, and the sums and pairs of each document.
 GROUPS = "create or replace temp table groups as select *, coalesce(lag(bn) over (order by stop), -1) + 1 as before from (select a.stop, a.n as an, b.n as bn, a.id as a, b.id as b from a join b using (stop))"
 PLACES = """select a.n + g.before as place, a.id, a.stop = g.stop as last, false as other from a asof join groups g on a.stop <= g.stop
 union all select b.n + g.an + 1, b.id, b.stop = g.stop, true from b asof join groups g on b.stop <= g.stop"""
-PAIRS = "select unit, a, b, count(*) as times from groups asof join units on groups.stop > units.start group by all order by unit, a, b"
+HOLDS = "create or replace temp table holds as select w, a, b, count(*) as n from groups asof join words on groups.stop > words.start group by all"
+PAIRS = "create or replace temp table pairs as select a, b, (row_number() over (order by a, b) - 1)::int as place from (select distinct a, b from holds)"
+TIMES = "create or replace temp table times as select doc, w, count(*) as n from uses group by all"
+SUMS = "select doc, sum(t.n * n_a)::bigint as n_a, sum(t.n * n_b)::bigint as n_b from times t join words using (w) group by doc"
+SHARES = """select doc, sum(n)::bigint as n_links, list(place) as places, list(n) as times from
+(select doc, place, sum(t.n * h.n)::bigint as n from times t join holds h using (w) join pairs using (a, b) group by all) group by doc"""
+TOTALS = "select list(n order by place) as times, list(a order by place) as a, list(b order by place) as b from (select a, b, place, sum(t.n * h.n)::bigint as n from times t join holds h using (w) join pairs using (a, b) group by all)"
 
 
 def byte_characters() -> dict[str, int]:
@@ -60,7 +70,7 @@ def byte_characters() -> dict[str, int]:
 
 @dataclass
 class Encoders:
-    """Both encoders with the bytes of their tokens, and what is remembered of words."""
+    """Both encoders with the bytes of their tokens."""
 
     one: tiktoken.Encoding
     two: sentencepiece.SentencePieceProcessor
@@ -69,7 +79,6 @@ class Encoders:
     parts: bool  #: no piece has a space after another character
     lengths: tuple[np.ndarray, np.ndarray] = field(init=False)
     texts: list[str] = field(init=False)  #: an id with what follows it, for all places of either encoder
-    known: dict[str, tuple[tuple[int, ...], tuple[int, ...]] | None] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         self.lengths = tuple(np.array([len(x) for x in side], np.int32) for side in (self.bytes_one, self.bytes_two))
@@ -81,15 +90,12 @@ class Encoders:
             return [text]
         return SPACE.split(text) if ODD.search(text) else text.split(" ")
 
-    def learn(self, words: Iterable[str]) -> None:
-        """Remembers words: both lists of ids, or None if one of them does not give the word back."""
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = [w for w in dict.fromkeys(words) if w not in self.known]
-        for word, two in zip(new, self.two.encode(new, num_threads=1) if new else [], strict=True):
-            one, data = self.one.encode_ordinary(f" {word}"), f" {word}".encode()
+    def encoded(self, texts: list[str]) -> Iterator[tuple[list[int], list[int]] | None]:
+        """Both lists of ids of each text, or None where one of them does not give the text's bytes back."""
+        for text, two in zip(texts, self.two.encode(texts, num_threads=1), strict=True):
+            one, data = self.one.encode_ordinary(f" {text}"), f" {text}".encode()
             same = b"".join([self.bytes_one[i] for i in one]) == data == b"".join([self.bytes_two[i] for i in two])
-            self.known[word] = (tuple(one), tuple(two)) if same else None
+            yield (one, two) if same else None
 
 
 @lru_cache(maxsize=2)
@@ -111,125 +117,107 @@ def encoders(byte_level: str, pieces: str) -> Encoders:
     )
 
 
-def interval_table(ids: list[Iterable[int]], lengths: np.ndarray) -> pa.Table:
+def interval_table(ids: list[list[int]], lengths: np.ndarray) -> pa.Table:
     flat = np.fromiter(chain.from_iterable(ids), np.int32)
     return pa.table({"n": np.arange(len(flat), dtype=np.int32), "id": flat, "stop": np.cumsum(lengths[flat], dtype=np.int64)})
 
 
 @dataclass
-class Document:
-    """What is gathered of a text, part by part."""
-
-    good: bool = True
-    n_a: int = 0
-    n_b: int = 0
-    n_links: int = 0
-    digest: object = None
-    pairs: dict[tuple[int, int], int] = field(default_factory=dict)
-
-
-def aligned(units: list[tuple[Document, list[str]]], two: Encoders, db: duckdb.DuckDBPyConnection) -> None:
-    """Adds parts of texts, as words, to their documents. The parts are laid end to end, as each ends with a group."""
-    for at in range(0, len(units), 1000):
-        two.learn(chain.from_iterable(words for _, words in units[at : at + 1000]))
-        for k, (doc, words) in enumerate(units[at : at + 1000], at):
-            if not all(w in two.known for w in words):  # forgotten meanwhile
-                two.learn(words)
-            units[k] = (doc, [two.known[w] for w in words])
-    for doc, found in units:
-        doc.good = doc.good and None not in found
-    units = [(doc, found) for doc, found in units if doc.good]
-    if not units:
-        return
-    sides = [[list(chain.from_iterable([f[side] for f in found])) for _, found in units] for side in (0, 1)]
-    a, b = (interval_table(ids, lengths) for ids, lengths in zip(sides, two.lengths, strict=True))
-    sizes = [np.array([len(x) for x in side], np.int64) for side in sides]
-    starts = np.r_[0, a["stop"].to_numpy()[np.cumsum(sizes[0])[:-1] - 1]] if len(units) > 1 else np.zeros(1, np.int64)
-    for name, table in (("a", a), ("b", b), ("units", pa.table({"unit": np.arange(len(units), dtype=np.int32), "start": starts}))):
-        db.register(name, table)
-    db.execute(GROUPS)
-    places, pairs = (db.sql(query).to_arrow_table() for query in (PLACES, PAIRS))
-    code = np.empty(len(a) + len(b), np.int32)
-    n = [len(x) for x in (two.bytes_one, two.bytes_two)]
-    other = places["other"].to_numpy().astype(np.int32)
-    code[places["place"].to_numpy()] = places["id"].to_numpy() + other * 2 * n[0] + places["last"].to_numpy() * np.where(other, n[1], n[0])
-    at = 0
-    for (doc, _), n_a, n_b in zip(units, *(s.tolist() for s in sizes), strict=True):
-        text = "".join([two.texts[c] for c in code[at : at + n_a + n_b].tolist()])
-        at += n_a + n_b
-        doc.n_a, doc.n_b = doc.n_a + n_a, doc.n_b + n_b
-        if doc.digest is None:
-            doc.digest = hashlib.sha256(text[:-1].encode())
-        else:
-            doc.digest.update(f";{text[:-1]}".encode())
-    for unit, x, y, times in zip(*(pairs[c].to_pylist() for c in ("unit", "a", "b", "times")), strict=True):
-        doc = units[unit][0]
-        doc.n_links += times
-        doc.pairs[x, y] = doc.pairs.get((x, y), 0) + times
-
-
-def parts_of(text: str, two: Encoders) -> Iterator[list[str]]:
-    """The words of a text in parts of about BLOCK bytes."""
-    words = two.words(text)
-    if len(text) * 4 <= BLOCK:
-        yield words
-        return
-    begun, size = 0, 0
-    for k, word in enumerate(words):
-        size += len(word.encode()) + 1
-        if size >= BLOCK:
-            yield words[begun : k + 1]
-            begun, size = k + 1, 0
-    if begun < len(words):
-        yield words[begun:]
+class Block:
+    """Documents as numbers of words."""
+
+    number: int
+    index: dict[str, int] = field(default_factory=dict)
+    ids: list[int | None] = field(default_factory=list)
+    uses: list[np.ndarray] = field(default_factory=list)
+    size: int = 0
+
+    def add(self, i: int | None, text: str | None, two: Encoders) -> None:
+        numbers = [np.zeros(0, np.int32)]
+        for part in parts_of(text, two) if text else ():
+            numbers.append(np.array([self.index.setdefault(w, len(self.index)) for w in two.words(part)], np.int32))
+        self.ids.append(i)
+        self.uses.append(np.concatenate(numbers))
+        self.size += len(text or "")
+
+    def full(self) -> bool:
+        return self.size >= BLOCK or len(self.index) >= MOST_WORDS or len(self.ids) >= MOST_ROWS
+
+    def closed(self, two: Encoders, db: duckdb.DuckDBPyConnection) -> pa.Table:
+        """A row with the block's pairs, and one for each document."""
+        found = list(two.encoded(list(self.index)))
+        bad = np.array([x is None for x in found], bool)
+        good = [bool(len(u)) and not bad[u].any() for u in self.uses]
+        empty = {"block": self.number, "doc_id": None, "n_a": 0, "n_b": 0, "n_groups": 0, "n_links": 0, "groups_sha256": "", "places": [], "times": [], "a": None, "b": None}
+        rows = [empty | {"doc_id": i} for i in self.ids]
+        pairs = empty | {"a": [], "b": []}
+        if any(good):
+            strings = self.prepared([x or ([], []) for x in found], good, two, db)
+            for doc, n_a, n_b in db.sql(SUMS).fetchall():
+                rows[doc] |= {"n_a": n_a, "n_b": n_b}
+            for doc, n, places, times in db.sql(SHARES).fetchall():
+                rows[doc] |= {"n_groups": n, "n_links": n, "places": places, "times": times}
+            for k, u in enumerate(self.uses):
+                if good[k]:
+                    rows[k]["groups_sha256"] = digest(u, strings)
+            pairs |= dict(zip(("times", "a", "b"), db.sql(TOTALS).fetchall()[0], strict=True))
+        return pa.Table.from_pylist([pairs, *rows], ARROW)
+
+    def prepared(self, found: list[tuple[list[int], list[int]]], good: list[bool], two: Encoders, db: duckdb.DuckDBPyConnection) -> list[str]:
+        """Fills DuckDB's tables; the text of the groups of each word."""
+        a, b = (interval_table([f[side] for f in found], lengths) for side, lengths in enumerate(two.lengths))
+        sizes = [np.array([len(f[side]) for f in found], np.int64) for side in (0, 1)]
+        ends = np.r_[0, a["stop"].to_numpy()][np.cumsum(sizes[0])]
+        uses = [u for u, fine in zip(self.uses, good, strict=True) if fine]
+        tables = {
+            "a": a, "b": b,
+            "words": pa.table({"w": np.arange(len(found), dtype=np.int32), "start": np.r_[0, ends[:-1]], "n_a": sizes[0], "n_b": sizes[1]}).filter(sizes[0] > 0),
+            "uses": pa.table({"doc": np.repeat(np.flatnonzero(good).astype(np.int32), [len(u) for u in uses]), "w": np.concatenate(uses)}),
+        }
+        for name, table in tables.items():
+            db.register(name, table)
+        for step in (GROUPS, HOLDS, PAIRS, TIMES):
+            db.execute(step)
+        places = db.sql(PLACES).to_arrow_table()
+        code, n = np.empty(len(a) + len(b), np.int32), [len(x) for x in (two.bytes_one, two.bytes_two)]
+        other = places["other"].to_numpy()
+        code[places["place"].to_numpy()] = places["id"].to_numpy() + other * 2 * n[0] + places["last"].to_numpy() * np.where(other, n[1], n[0])
+        shown, cuts = [two.texts[c] for c in code.tolist()], np.r_[0, np.cumsum(sizes[0] + sizes[1])].tolist()
+        return ["".join(shown[i:j])[:-1] for i, j in zip(cuts, cuts[1:], strict=False)]
+
+
+def digest(uses: np.ndarray, strings: list[str]) -> str:
+    """Hash of a text's groups, so many words at a time."""
+    out = hashlib.sha256()
+    for at in range(0, len(uses), 1 << 20):
+        out.update((";" * (at > 0) + ";".join([strings[w] for w in uses[at : at + (1 << 20)].tolist()])).encode())
+    return out.hexdigest()
+
+
+def parts_of(text: str, two: Encoders) -> Iterator[str]:
+    """A text in parts of BLOCK characters or more, as far as it has places where it may be parted."""
+    begun = 0
+    while two.parts and len(text) - begun > BLOCK and (place := SPACE.search(text, begun + BLOCK)):
+        yield text[begun : place.start()]
+        begun = place.end()
+    yield text[begun:]
 
 
 def found(docs: DataFrame, byte_level: str, pieces: str, id_col: str, text_col: str) -> DataFrame:
     """For each block a row with its different pairs (``a``, ``b``, ``times``), and one for each of its documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        two = encoders(byte_level, pieces)
+        two, number = encoders(byte_level, pieces), TaskContext.get().partitionId() << 32
         db = duckdb.connect(config={"threads": 1, "temp_directory": "", "python_enable_replacements": False})
-        block = TaskContext.get().partitionId() << 32
-
-        def closed(held: list[tuple[int | None, Document]]) -> pa.RecordBatch:
-            nonlocal block
-            block += 1
-            total: dict[tuple[int, int], int] = {}
-            for _, doc in held:
-                for pair, times in doc.pairs.items() if doc.good else ():
-                    total[pair] = total.get(pair, 0) + times
-            place = {pair: i for i, pair in enumerate(total)}
-            rows = [(block, None, 0, 0, 0, 0, None, None, [*total.values()], [x for x, _ in total], [y for _, y in total])]
-            for i, doc in held:
-                if doc.good and doc.digest:
-                    rows.append((block, i, doc.n_a, doc.n_b, doc.n_links, doc.n_links, doc.digest.hexdigest(), [place[p] for p in doc.pairs], [*doc.pairs.values()], None, None))
-                else:
-                    rows.append((block, i, 0, 0, 0, 0, "", [], [], None, None))
-            ints, longs = pa.list_(pa.int32()), pa.list_(pa.int64())
-            kinds = [pa.int64()] * 6 + [pa.string(), ints, longs, ints, ints]
-            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=[x.split(" ")[0] for x in FOUND.split(", ")])
-
-        held: list[tuple[int | None, Document]] = []
-        units: list[tuple[Document, list[str]]] = []
-        size = 0
+        block = Block(number)
         for batch in batches:
-            for i, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                doc, text, full = Document(), value.as_py(), len(held) >= MOST_ROWS
-                held.append((i, doc))
-                for words in parts_of(text, two) if text else ():
-                    units.append((doc, words))
-                    size += len(text) if len(text) < BLOCK // 4 else BLOCK
-                    if size >= BLOCK:
-                        aligned(units, two, db)
-                        units, size, full = [], 0, True
-                if full:  # between documents
-                    aligned(units, two, db)
-                    yield closed(held)
-                    held, units, size = [], [], 0
-        if held:
-            aligned(units, two, db)
-            yield closed(held)
+            for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                block.add(i, text.as_py(), two)
+                if block.full():
+                    yield from block.closed(two, db).to_batches()
+                    block = Block(block.number + 1)
+        if block.ids:
+            yield from block.closed(two, db).to_batches()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, FOUND)
 
