@@ -30,31 +30,45 @@ from lexmill.llm.common import removed_tables, written
 #: Bytes of a text as lower-case ASCII letters, bytes of other characters, and blanks for all that is in no term.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 #: Terms of an array, counts that close one early, sources of a block, and different (group, term) pairs that a task holds.
-CHUNK, MOST_ENTRIES, BLOCK, HELD = 1024, 2_000_000, 128, 400_000
-COUNTED = "lang string, source string, term binary, n long, docs long"
+CHUNK, MOST_ENTRIES, BLOCK, HELD = 1024, 2_000_000, 128, 1_000_000
+COUNTED = "key binary, lang string, sources array<string>, counts array<long>, docs long"
+NAMES = [x.split(" ")[0] for x in COUNTED.split(", ")]
 ENCODED = "lang string, source string, part int, chunk int, terms array<binary>, ids array<int>, counts array<long>, total long"
 SHARE = 1_000_000_000
 
 
 def term_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """(lang, source, term, n, docs): occurrences of a term and documents with it, as far as one task holds them at once.
+    """For each language and term its counts by source and the documents with it, as far as one task holds them at once.
 
-    Each group also has a row without a term.
+    A term's ``key`` is its language, a zero byte and the term, one value to sort by. Each language has also a row of its
+    sources, without a key.
     """
+    lists = pa.list_(pa.string()), pa.list_(pa.int64())
 
     def flushed(held: dict[tuple[str, str], tuple[Counter, Counter]]) -> Iterator[pa.RecordBatch]:
-        for (lang, source), (n, has) in held.items():
-            size = len(n) + 1
-            yield pa.RecordBatch.from_pydict(
-                {"lang": pa.repeat(lang, size), "source": pa.repeat(source, size), "term": pa.array([None, *n], pa.binary()), "n": pa.array([0, *n.values()], pa.int64()), "docs": pa.array([0, *map(has.__getitem__, n)], pa.int64())}
-            )
+        for lang in dict.fromkeys(lang for lang, _ in held):
+            mine = [(source, n, has) for (of, source), (n, has) in held.items() if of == lang]
+            names = pa.array([source for source, *_ in mine], pa.string())
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.binary()), pa.array([lang]), pa.array([names.to_pylist()], lists[0]), pa.nulls(1, lists[1]), pa.array([0], pa.int64())], names=NAMES)
+            each = pa.table(
+                {
+                    "term": pa.array([x for _, n, _ in mine for x in n], pa.binary()), "source": np.repeat(np.arange(len(mine)), [len(n) for _, n, _ in mine]),
+                    "n": pa.array([x for _, n, _ in mine for x in n.values()], pa.int64()), "docs": pa.array([has[x] for _, n, has in mine for x in n], pa.int64()),
+                }
+            )
+            terms = each.group_by("term").aggregate([("source", "list"), ("n", "list"), ("docs", "sum")]).combine_chunks()
+            for part in terms.to_batches(max_chunksize=10_000):
+                sources = part["source_list"]
+                named = pa.ListArray.from_arrays(pc.subtract(sources.offsets, sources.offsets[0]), names.take(sources.flatten()))
+                keys = pc.binary_join_element_wise(pa.scalar(lang.encode(), pa.binary()), part["term"], pa.scalar(b"\0", pa.binary()))
+                yield pa.RecordBatch.from_arrays([keys, pa.nulls(len(part), pa.string()), named, part["n_list"], part["docs_sum"]], names=NAMES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
         new = 0  # at most so many pairs came since they were counted
         for batch in batches:
-            for text, lang, source in zip(*(batch.column(i).cast(pa.large_binary() if i == 0 else pa.string()) for i in range(3)), strict=True):
-                n, has = held.setdefault((lang.as_py(), source.as_py()), (Counter(), Counter()))
+            for text, lang, source in zip(batch.column(0).cast(pa.large_binary()), *(batch.column(i).to_pylist() for i in (1, 2)), strict=True):
+                n, has = held.setdefault((lang, source), (Counter(), Counter()))
                 words = text.as_buffer().to_pybytes().translate(FOLD).split()
                 n.update(words)
                 has.update(different := set(words))
@@ -70,15 +84,15 @@ def term_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
 def encoded(counts: DataFrame, least_docs: int) -> DataFrame:
     """Kept terms as arrays and, for each, the counts of every group in it and of the language (``source`` null)."""
 
-    def rows_of(lang: str, chunk: int, terms: list[bytes], ids: np.ndarray, sources: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    def rows_of(lang: str, chunk: int, terms: list[bytes], ids: np.ndarray, sources: pa.DictionaryArray, n: np.ndarray) -> pa.RecordBatch:
         part, size = TaskContext.get().partitionId(), len(terms)
-        names, group = np.unique(sources, return_inverse=True)
+        names, group = sources.dictionary.to_pylist(), sources.indices.to_numpy().astype(np.int64)
         # one number a group and term, and the sum of its counts; entries of one number may come from several tasks
         at, place = np.unique(group * size + ids, return_inverse=True)
         total = np.zeros(len(at), np.int64)
         np.add.at(total, place, n)
         cuts = np.searchsorted(at, np.arange(1, len(names)) * size)
-        out = [(str(name), None, i, c) for name, i, c in zip(names, np.split(at % size, cuts), np.split(total, cuts), strict=True)]
+        out = [(name, None, i, c) for name, i, c in zip(names, np.split(at % size, cuts), np.split(total, cuts), strict=True)]
         whole = np.zeros(size, np.int64)
         np.add.at(whole, ids, n)
         out.append((None, terms, np.arange(size), whole))
@@ -91,10 +105,10 @@ def encoded(counts: DataFrame, least_docs: int) -> DataFrame:
 
     def changes(table: pa.Table) -> np.ndarray:
         """Where rows of another term or language begin."""
-        if table.num_rows < 2:
-            return np.zeros(min(table.num_rows, 1), np.int64)
-        differs = [pc.not_equal(c.slice(1), c.slice(0, len(c) - 1)) for c in (table["lang"].combine_chunks(), table["term"].combine_chunks())]
-        return np.r_[0, np.flatnonzero(pc.or_(*differs).to_numpy(zero_copy_only=False)) + 1]
+        keys = table["key"].combine_chunks()
+        if len(keys) < 2:
+            return np.zeros(len(keys), np.int64)
+        return np.r_[0, np.flatnonzero(pc.not_equal(keys.slice(1), keys.slice(0, len(keys) - 1)).to_numpy(zero_copy_only=False)) + 1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk, lang, rest = 0, None, None
@@ -102,23 +116,25 @@ def encoded(counts: DataFrame, least_docs: int) -> DataFrame:
         held: list[pa.Table] = []  # whole terms of one language
 
         def closed() -> pa.RecordBatch:
-            table, keys = pa.concat_tables(held).combine_chunks(), np.array(terms, object)
-            ids = np.searchsorted(keys, np.array(table["term"].to_pylist(), object))
-            return rows_of(lang, chunk, terms, ids, table["source"].to_numpy().astype(object), table["n"].to_numpy())
+            table = pa.concat_tables(held).combine_chunks()
+            ids = np.searchsorted(changes(table), np.arange(table.num_rows), "right") - 1  # rows are in the order of terms
+            sources, counts = table["sources"].combine_chunks(), table["counts"].combine_chunks()
+            return rows_of(lang, chunk, terms, np.repeat(ids, np.asarray(sources.value_lengths())), sources.flatten().dictionary_encode(), counts.flatten().to_numpy())
 
         def taken(table: pa.Table) -> Iterator[pa.RecordBatch]:
             """Takes a table of whole terms; gives the arrays that became full."""
             nonlocal chunk, lang, terms, held
             starts = changes(table)
             sizes = np.diff(np.r_[starts, table.num_rows])
+            entries_of = np.add.reduceat(np.asarray(table["counts"].combine_chunks().value_lengths()), starts)
             kept = np.flatnonzero(np.add.reduceat(table["docs"].to_numpy(), starts) >= least_docs)
             if not len(kept):
                 return
-            langs, keys = table["lang"].take(starts[kept]).to_pylist(), table["term"].take(starts[kept]).to_pylist()
-            entries = sum(t.num_rows for t in held)
+            keys = [key.rpartition(b"\0") for key in table["key"].take(starts[kept]).to_pylist()]
+            entries = sum(len(t["counts"].combine_chunks().flatten()) for t in held)
             begun = 0
             for k in range(len(kept) + 1):
-                full = k < len(kept) and terms and (langs[k] != lang or len(terms) >= CHUNK or entries >= MOST_ENTRIES)
+                full = k < len(kept) and terms and (keys[k][0].decode() != lang or len(terms) >= CHUNK or entries >= MOST_ENTRIES)
                 if full or k == len(kept):
                     mine = kept[begun:k]
                     if len(mine):
@@ -128,9 +144,9 @@ def encoded(counts: DataFrame, least_docs: int) -> DataFrame:
                         yield closed()
                         chunk, terms, held, entries = chunk + 1, [], [], 0
                 if k < len(kept):
-                    lang = langs[k]
-                    terms.append(keys[k])
-                    entries += int(sizes[kept[k]])
+                    lang = keys[k][0].decode()
+                    terms.append(keys[k][2])
+                    entries += int(entries_of[kept[k]])
 
         for batch in batches:
             table = pa.Table.from_batches([batch])
@@ -144,8 +160,8 @@ def encoded(counts: DataFrame, least_docs: int) -> DataFrame:
         if terms:
             yield closed()
 
-    rows = counts.filter("term is not null")
-    return rows.repartitionByRange("lang", "term").sortWithinPartitions("lang", "term").mapInArrow(run, ENCODED)
+    rows = counts.filter("key is not null").select("key", "sources", "counts", "docs")
+    return rows.repartitionByRange("key").sortWithinPartitions("key").mapInArrow(run, ENCODED)
 
 
 def shares(counts: np.ndarray, base: int | np.ndarray) -> np.ndarray:
@@ -161,7 +177,7 @@ def differences(p: np.ndarray, q: np.ndarray) -> np.ndarray:
 def bases(counts: DataFrame, table: DataFrame) -> DataFrame:
     """(lang, source, base, block, blocks): each group's kept occurrences plus twice the kept terms; and, with a null
     source, each language's. Sources are dealt to blocks by a hash."""
-    groups = counts.select("lang", "source").distinct()
+    groups = counts.filter("key is null").select("lang", F.explode("sources").alias("source")).distinct()
     n = table.groupBy("lang", "source").agg(F.sum("total").alias("_n"))
     v = table.filter("source is null").groupBy("lang").agg(F.sum(F.size("terms")).cast("long").alias("_v"))
     sources = groups.groupBy("lang").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
