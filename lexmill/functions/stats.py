@@ -1,15 +1,21 @@
-"""Statistics that Spark's own functions lack."""
+"""Statistics that Spark's own functions lack, as column expressions."""
 
 from __future__ import annotations
 
-from math import exp, lgamma
+from math import exp, lgamma, log, pi
 
-import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Below this number, errors of Stirling's formula come from a table; others from its series, whose next term is below
+#: 1e-13 there.
+EXACT = 32
+#: A tail ends where its terms have shrunk to this share of the first.
+NEGLIGIBLE = 1e-18
+
 
 def tail(population: int, marked: int, drawn: int, seen: int) -> float:
-    """P(X > seen) for X hypergeometric; counts are capped at the population."""
+    """P(X > seen) for X hypergeometric, term by term; counts are capped at the population. A model for the columns below."""
     marked, drawn = min(marked, population), min(drawn, population)
     choose = lambda n, k: lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1)
     low, high = max(seen + 1, drawn - (population - marked)), min(marked, drawn)
@@ -17,11 +23,67 @@ def tail(population: int, marked: int, drawn: int, seen: int) -> float:
     return sum(exp(choose(marked, x) + choose(population - marked, drawn - x) - all_) for x in range(low, high + 1))
 
 
+def stirling_error(n: Column) -> Column:
+    """ln n! less the formula of Stirling for it, of a whole number from 1 on."""
+    x = n.cast("double")
+    table = [0.0] + [lgamma(k + 1) - (k * log(k) - k + log(2 * pi * k) / 2) for k in range(1, EXACT)]
+    series = (1 / F.lit(12.0) - (1 / F.lit(360.0) - (1 / F.lit(1260.0)) / (x * x)) / (x * x)) / x
+    return F.when(n < EXACT, F.get(F.array(*map(F.lit, table)), n.cast("int"))).otherwise(series)
+
+
+def log_binomial(k: Column, n: Column, p: Column) -> Column:
+    """ln of the probability of k successes in n trials of chance p (0 < p < 1).
+
+    Deviances from the mean are taken for themselves, so that large numbers do not cancel each other.
+    """
+    off = k.cast("double") - n * p
+    deviance = lambda x, mean, off: x * F.log1p(off / mean) - off
+    inner = stirling_error(n) - stirling_error(k) - stirling_error(n - k) - deviance(k, n * p, off) - deviance(n - k, n * (1 - p), -off)
+    inner = inner + F.log(n / (2 * pi * k.cast("double") * (n - k))) / 2
+    return F.when(k == 0, n * F.log1p(-p)).when(k == n, n * F.log(p)).otherwise(inner)
+
+
+def terms_that_count(ratio: Column, most: Column) -> Column:
+    """How many terms of a sum to add whose neighbours' ratio never exceeds ``ratio``: all, or until they are negligible."""
+    enough = F.ceil(F.lit(log(NEGLIGIBLE)) / F.log(ratio)) + 1
+    return F.when(most <= 0, F.lit(0).cast("long")).when((ratio > 0) & (ratio < 1), F.least(most, enough.cast("long"))).when(ratio <= 0, F.lit(1).cast("long")).otherwise(most)
+
+
 def hypergeometric_tail(population: int):
-    """Column function (first, second, both) -> P(X > both), X drawn with first + 1 marked and second + 1 drawn."""
+    """Column function (first, second, both) -> P(X > both), X drawn with first + 1 marked and second + 1 drawn.
+
+    Terms follow from one another, so a row needs one term by logarithms of factorials and a product for each further
+    one. The tail above ``both`` is added up if it is the shorter one or beyond the mean, where it is the small one; else
+    the tail below is, and taken from one.
+    """
+    size = F.lit(population).cast("long")
+
+    def score(first: str | Column, second: str | Column, both: str | Column) -> Column:
+        column = lambda c: (F.col(c) if isinstance(c, str) else c).cast("long")
+        marked, drawn, seen = F.least(column(first) + 1, size), F.least(column(second) + 1, size), column(both)
+        least, most = F.greatest(F.lit(0).cast("long"), drawn - (size - marked)), F.least(marked, drawn)
+        low, high = F.greatest(seen + 1, least), F.least(seen, most)  # where the upper and the lower tail begin
+        # of x + 1 to x, and of x - 1 to x
+        up = lambda x: ((marked - x) * (drawn - x)).cast("double") / ((x + 1) * (size - marked - drawn + x + 1))
+        down = lambda x: (x * (size - marked - drawn + x)).cast("double") / ((marked - x + 1) * (drawn - x + 1))
+        above = F.when(low <= most, terms_that_count(up(low), most - low + 1)).otherwise(F.lit(0).cast("long"))
+        below = F.when(high >= least, terms_that_count(down(high), high - least + 1)).otherwise(F.lit(0).cast("long"))
+
+        def summed(start: Column, step: int, n: Column, ratio) -> Column:
+            p = drawn / size.cast("double")
+            head = F.exp(log_binomial(start, marked, p) + log_binomial(drawn - start, size - marked, p) - log_binomial(drawn, size, p))
+            steps = F.when(n > 1, F.sequence(F.lit(0).cast("long"), n - 2)).otherwise(F.array().cast("array<long>"))
+            begin = F.struct(head.alias("term"), head.alias("sum"))
+
+            def added(acc: Column, k: Column) -> Column:
+                term = acc["term"] * ratio(start + k * step)
+                return F.struct(term.alias("term"), (acc["sum"] + term).alias("sum"))
+
+            return F.when(n > 0, F.aggregate(steps, begin, added, lambda acc: acc["sum"])).otherwise(F.lit(0.0))
 
-    @F.pandas_udf("double")
-    def score(first: pd.Series, second: pd.Series, both: pd.Series) -> pd.Series:
-        return pd.Series([tail(population, int(a) + 1, int(b) + 1, int(c)) for a, b, c in zip(first, second, both, strict=True)], dtype="float64")
+        upper = (above <= below) | (seen.cast("double") * population >= marked.cast("double") * drawn)
+        found = F.when(upper, summed(low, 1, above, up)).otherwise(F.greatest(F.lit(0.0), 1 - summed(high, -1, below, down)))
+        certain = F.when((drawn == size) | (marked == size), F.when(most > seen, 1.0).otherwise(0.0))  # all are drawn, or marked
+        return F.coalesce(certain, found)
 
     return score

@@ -31,32 +31,44 @@ def from_lines(alignments: DataFrame, corpus: DataFrame, on: Sequence[str] = ("l
     return text.join(links, list(on))
 
 
-def candidates(links: Column, most: int, repaired: bool) -> Column:
-    """Runs of consecutive links. As is, the last link is in none; no good run is longer than ``most`` squared."""
-    last = F.size(links) - (0 if repaired else 1)
-    runs = F.flatten(
-        F.transform(
-            F.sequence(F.lit(1), last),
-            lambda i: F.transform(F.sequence(i, F.least(last, i + (most * most - 1))), lambda j: F.slice(links, i, j - i + 1)),
-        )
-    )
-    return F.when(last >= 1, runs).otherwise(F.array().cast("array<array<struct<l:int,r:int>>>"))
+def narrow(n: Column, low: Column, high: Column, most: int, rate: float) -> Column:
+    """``n`` different places, ``most`` at most, that fill ``rate`` of their range."""
+    return (n <= most) & ((high == low) | (n >= F.lit(rate) * (high - low)))
 
 
-def narrow(places: Column, most: int, rate: float) -> Column:
-    """At most ``most`` different places that fill ``rate`` of their range."""
-    n, span = F.size(F.array_distinct(places)), F.array_max(places) - F.array_min(places)
-    return (n <= most) & ((span == 0) | (n >= F.lit(rate) * span))
+def good_ends(window: Column, most: int, rate: float) -> Column:
+    """How many links, from the first on, make a good run: different places and bounds of both sides are carried along,
+    and nothing more is done once there are too many."""
+    state = "struct<n:int,ls:array<int>,rs:array<int>,l0:int,l1:int,r0:int,r1:int,ends:array<int>>"
+    ints = F.array().cast("array<int>")
+    first = F.get(window, F.lit(0))
+    start = F.struct(F.lit(0).alias("n"), ints.alias("ls"), ints.alias("rs"), *[first[c].alias(f"{c}{k}") for c in "lr" for k in (0, 1)], ints.alias("ends")).cast(state)
+
+    def step(acc: Column, x: Column) -> Column:
+        sets = {c: F.when(F.array_contains(acc[f"{c}s"], x[c]), acc[f"{c}s"]).otherwise(F.array_append(acc[f"{c}s"], x[c])) for c in "lr"}
+        bounds = {c: (F.least(acc[f"{c}0"], x[c]), F.greatest(acc[f"{c}1"], x[c])) for c in "lr"}
+        good = narrow(F.size(sets["l"]), *bounds["l"], most, rate) & narrow(F.size(sets["r"]), *bounds["r"], most, rate)
+        n = acc["n"] + 1
+        on = F.struct(n.alias("n"), sets["l"].alias("ls"), sets["r"].alias("rs"), *[bounds[c][k].alias(f"{c}{k}") for c in "lr" for k in (0, 1)], F.when(good, F.array_append(acc["ends"], n)).otherwise(acc["ends"]).alias("ends"))
+        return F.when((F.size(acc["ls"]) > most) | (F.size(acc["rs"]) > most), acc).otherwise(on.cast(state))
+
+    return F.aggregate(window, start, step, lambda acc: acc["ends"])
 
 
 def phrases(df: DataFrame, src: str = "src", trg: str = "trg", most: int = 5, rate: float = 0.75, inverse: bool = False, repaired: bool = False) -> DataFrame:
-    """One row per good run of links: both phrases and both lists of places.
+    """One row per good run of consecutive links: both phrases and both lists of places. As is, the last link is in none.
 
     Left places are those of ``src`` words, right ones of ``trg`` words; ``inverse`` exchanges which is the foreign side.
+    Each start is a row of its own, with as many links as a good run may have (``most`` squared, since links differ).
     """
-    left, right = (lambda x: F.transform(x, lambda y: y["l"])), (lambda x: F.transform(x, lambda y: y["r"]))
-    good = F.filter(candidates(F.col("links"), most, repaired), lambda c: narrow(left(c), most, rate) & narrow(right(c), most, rate))
-    rows = df.withColumn("_run", F.explode(good)).withColumn("_l", left(F.col("_run"))).withColumn("_r", right(F.col("_run")))
+    last = F.size("links") - (0 if repaired else 1)
+    starts = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
+    windows = F.transform(starts, lambda i: F.slice("links", i, F.least(F.lit(most * most), last - i + 1)))
+    rest = [c for c in df.columns if c != "links"]
+    rows = df.select(*rest, F.explode(windows).alias("_window"))
+    rows = rows.withColumn("_end", F.explode(good_ends(F.col("_window"), most, rate)))
+    run = F.slice("_window", F.lit(1), F.col("_end"))
+    rows = rows.select(*rest, F.transform(run, lambda y: y["l"]).alias("_l"), F.transform(run, lambda y: y["r"]).alias("_r"))
 
     def text(side: str, places: str) -> Column:
         low = F.array_min(places)
@@ -64,7 +76,7 @@ def phrases(df: DataFrame, src: str = "src", trg: str = "trg", most: int = 5, ra
 
     rows = rows.withColumn("_a", text(src, "_l")).withColumn("_b", text(trg, "_r"))
     names = {"foreign": "_b", "translation": "_a", "f_places": "_r", "t_places": "_l"} if inverse else {"foreign": "_a", "translation": "_b", "f_places": "_l", "t_places": "_r"}
-    return rows.select(*df.columns, *[F.col(v).alias(k) for k, v in names.items()]).drop("links")
+    return rows.select(*rest, *[F.col(v).alias(k) for k, v in names.items()])
 
 
 def pair_counts(found: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from lexmill.functions.stats import hypergeometric_tail
 from lexmill.functions.text import tokens
+from lexmill.operators.adjacent import runs
+from lexmill.shared import written
 
 INFINITY = float("inf")
 
@@ -41,7 +43,9 @@ def compositional_filter(df: DataFrame, threshold: float, short: int = 3) -> Dat
 
     ``best`` is the greatest product of two entries that compose the pair, cut once on each side, in order or
     crossed; entries have up to ``short`` words a side. A pair that nothing composes has an infinite entropy.
+    The pairs are used four times and so written first.
     """
+    df = written(df, "pairs")
     few = df.filter((tokens(F.col("f")) <= short) & (tokens(F.col("t")) <= short)).select("f", "t", "p")
     halves = lambda x, i: (F.array_join(F.slice(x, F.lit(1), i), " "), F.array_join(F.slice(x, i + 1, F.size(x)), " "))
     cut = df.select("f", "t", F.split("f", "\\s+").alias("_f"), F.split("t", "\\s+").alias("_t")).filter((F.size("_f") > 1) & (F.size("_t") > 1))
@@ -55,23 +59,26 @@ def compositional_filter(df: DataFrame, threshold: float, short: int = 3) -> Dat
     return df.join(best, ["f", "t"], "left").withColumn("entropy", entropy).drop("_best").filter((F.col("entropy") > threshold) & ~F.isnan("entropy"))
 
 
-def fisher_filter(df: DataFrame, population: int, threshold: float, order: list[str], repaired: bool = False) -> DataFrame:
+def fisher_filter(df: DataFrame, population: int, threshold: float, order: list[str], repaired: bool = False, line_no: str | None = None) -> DataFrame:
     """``df`` with ``score``: one-word pairs that are significant, or the best one of their f if none is.
 
     ``order`` names the columns that give the input order. As is, an f goes whose last row has a t of several words,
-    and so does the f of the last row of all.
+    and so does the f of the last row of all. With ``line_no``, rows are lines in that order, sorted or not, and only
+    neighbouring lines of an f belong together.
     """
-    rows = df.withColumn("_order", F.struct(*order))
+    rows = df.withColumn("_of", F.struct("f")) if line_no is None else runs(df, ["f"], line_no, "_of")
+    rows = rows.withColumn("_order", F.struct(*([line_no] if line_no else order)))
     single = rows.filter(~F.col("f").contains(" ") & ~F.col("t").contains(" "))
     scored = single.withColumn("score", hypergeometric_tail(population)("c_first", "c_second", "c_both"))
     # the least score of each f, and of equal ones the last row's, combined before the shuffle
-    best = scored.groupBy("f").agg(F.max(F.struct((-F.col("score")).alias("s"), "_order")).alias("_best"))
-    kept = scored.join(best, "f").filter((F.col("score") < threshold) | ((-F.col("_best.s") >= threshold) & (F.col("_order") == F.col("_best._order")))).drop("_best")
+    best = scored.groupBy("_of").agg(F.max(F.struct((-F.col("score")).alias("s"), "_order")).alias("_best"))
+    kept = scored.join(best, "_of").filter((F.col("score") < threshold) | ((-F.col("_best.s") >= threshold) & (F.col("_order") == F.col("_best._order")))).drop("_best")
     if not repaired:
-        ends = rows.groupBy("f").agg(F.max_by("t", "_order").alias("_t")).filter(~F.col("_t").contains(" ")).select("f")
-        last = rows.agg(F.max_by("f", "_order").alias("f"))  # one row
-        kept = kept.join(ends, "f", "left_semi").join(F.broadcast(last), "f", "left_anti")
-    return kept.drop("_order")
+        ends = rows.groupBy("_of").agg(F.max_by("t", "_order").alias("_t")).filter(~F.col("_t").contains(" ")).select("_of")
+        last = rows.agg(F.max_by("_of", "_order").alias("_of"))  # one row
+        kept = kept.join(ends, "_of", "left_semi").join(F.broadcast(last), "_of", "left_anti")
+        kept = kept if line_no is None else kept.filter("f <> ''")
+    return kept.drop("_order", "_of")
 
 
 def clamp_log_probabilities(df: DataFrame, column: str = "logp") -> DataFrame:

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill import workflow
 from lexmill.functions.text import recase
 from lexmill.operators import counts, decompose, extract, filters, merge, rank, text
 from lexmill.plans.fixtures import duck, relation
+from lexmill.shared import new_path
 from lexmill.sources import phrase_table
 from lexmill.sources import text as source
 from lexmill.streaming import counter
@@ -53,7 +54,10 @@ def token_counts(spark, d):
 
 @query("select doc_id, line_no::int as line_no, value from lines", "lines")
 def line_scan(spark, d):
-    return relation(spark, d, "lines")
+    """Lines written as text, in order, and read again."""
+    path = new_path(spark, "lines")
+    source.write_lines(relation(spark, d, "lines").select("doc_id", "line_no", _line("value")), path, order=("doc_id", "line_no"))
+    return source.lines(spark, path, end="\n").select(*_fields()[:2], _fields()[2].alias("value"))
 
 
 @query("select count(*) as n from lines", "lines")
@@ -71,9 +75,23 @@ def find_files(spark, d):
     return source.find(spark, d, "*.parquet").filter(F.col("path").endswith(".parquet"))
 
 
-@query("select doc_id, line_no::int as line_no, (line_no // 10 + 1)::bigint as chunk from lines", "lines")
+@query("select doc_id, line_no::int as line_no, ((row_number() over (order by doc_id, line_no) - 1) // 1000 + 1)::bigint as chunk, ((row_number() over (order by doc_id, line_no) - 1) % 1000)::bigint as place, value from lines", "lines")
 def split_chunks(spark, d):
-    return relation(spark, d, "lines").select("doc_id", "line_no", source.chunk(F.col("line_no"), 10).alias("chunk"))
+    """All lines numbered, written in chunks of 1,000 and read again, with their place in their chunk."""
+    path = new_path(spark, "chunks")
+    rows = source.numbered(relation(spark, d, "lines"), "doc_id", "line_no", name="place")
+    source.write_chunks(rows.select("place", _line("value")), path, 1000, line_no="place")
+    return source.read_chunks(spark, path, end="\n").select(*_fields()[:2], "chunk", F.col("line_no").alias("place"), _fields()[2].alias("value"))
+
+
+def _line(value: str) -> Column:
+    """Document, line and value as one line of text."""
+    return F.concat_ws("\t", "doc_id", "line_no", value).alias("value")
+
+
+def _fields() -> list[Column]:
+    parts = F.split("value", "\t", 3)
+    return [F.get(parts, F.lit(0)).cast("long").alias("doc_id"), F.get(parts, F.lit(1)).cast("int").alias("line_no"), F.get(parts, F.lit(2))]
 
 
 @query("select value, count(*) as n from lines group by value", "lines")
@@ -217,6 +235,15 @@ def extract_pairs(spark, d):
     return extract.pair_counts(_found(spark, d))
 
 
+@query(_extraction(1, PAIR_COUNTS), "pairs", "links")
+def extract_from_lines(spark, d):
+    """Extraction from lines of alignments and of both sides, as text."""
+    pairs = extract.aligned(relation(spark, d, "pairs"), relation(spark, d, "links"), SENTENCE)
+    shown = F.array_join(F.transform("links", lambda x: F.concat_ws("-", x["l"].cast("string"), x["r"].cast("string"))), " ")
+    found = extract.from_lines(pairs.select(*SENTENCE, shown.alias("value")), pairs.select(*SENTENCE, F.concat_ws(" ||| ", "src", "trg").alias("value")), SENTENCE)
+    return extract.pair_counts(extract.phrases(found))
+
+
 @query(_extraction(0, PAIR_COUNTS), "pairs", "links")
 def extract_pairs_repaired(spark, d):
     return extract.pair_counts(_found(spark, d, repaired=True))
@@ -287,6 +314,20 @@ z as (select m.f, m.t, round(c_both::double / c_first, 9) as pft, round(qf.v, 9)
 {tail}"""
 
 
+#: Lines in an order that is not sorted: the pairs of a phrase stand in two places.
+UNSORTED = "md5(concat(f, cast(shard % 2 as varchar))), t, shard"
+
+
+def _merged_lines() -> str:
+    """The same over neighbouring lines; alignments depend on the pair alone here, and so do lexical weights."""
+    text = _merged("select * from z", True)
+    text = text.replace("from pt_shards),", f"from pt_shards), o as (select *, row_number() over (order by {UNSORTED}) - 1 as line_no from s), b1 as (select *, case when f = lag(f) over (order by line_no) and t = lag(t) over (order by line_no) then 0 else 1 end as new from o), b2 as (select *, sum(new) over (order by line_no) as run from b1),")
+    head, _, rest = text.partition("m as (")
+    return f"""{head}ma as (select f, t, run, arg_min(align, line_no) as align, sum(c_first)::bigint as c_first, sum(c_second)::bigint as c_second, sum(c_both)::bigint as c_both from b2 where f <> '' and run <> (select max(run) from b2) group by f, t, run),
+m as (select distinct f, t, align from ma),
+{rest.partition("group by f, t) )")[2].lstrip(",")}""".replace("from m join qf", "from ma m join qf")
+
+
 def _rounded(df: DataFrame) -> DataFrame:
     for name in ("pft", "lft", "ptf", "ltf"):
         df = df.withColumn(name, F.round(name, 9))
@@ -303,6 +344,42 @@ def merge_pts_repaired(spark, d):
     return _rounded(merge.merge_phrase_tables(_shards(spark, d), *_lexicons(spark, d), repaired=True))
 
 
+def _in_lines(df: DataFrame) -> DataFrame:
+    rows = df.withColumn("_key", F.md5(F.concat("f", (F.col("shard") % 2).cast("string"))))
+    return source.numbered(rows, "_key", "t", "shard").drop("_key")
+
+
+@query(_merged_lines(), "pt_shards", "lex")
+def merge_pts_lines(spark, d):
+    """Phrase table lines that are not sorted: each group of neighbours is merged by itself."""
+    return _rounded(merge.merge_phrase_tables(_in_lines(_shards(spark, d)), *_lexicons(spark, d), line_no="line_no"))
+
+
+#: Reordering lines sorted but for some that come late, against a phrase table without some pairs; ||| after each side.
+LATE = "case when md5(concat(f, t)) < '2' then 1 else 0 end"
+
+
+@query(
+    f"""with o as (select *, row_number() over (order by {LATE}, f, t, shard) as line_no from rot),
+    r1 as (select *, case when f = lag(f) over (order by line_no) and t = lag(t) over (order by line_no) then 0 else 1 end as new from o),
+    r2 as (select *, sum(new) over (order by line_no) as run from r1),
+    g as (select run, f, t, f || ' ||| ' || t || ' ||| ' as pair, avg(s1) as s1, avg(s2) as s2, avg(s3) as s3 from r2 group by all),
+    k as (select *, max(pair) over (order by run) as top from g),
+    p as (select distinct f || ' ||| ' || t || ' ||| ' as pair from pt_shards where c_both > 1)
+    select f, t, round(s1, 9) as s1, round(s2, 9) as s2, round(s3, 9) as s3 from k where f <> '' and case when top <= (select max(pair) from p) then pair = top and pair in (from p) else pair = (select max(pair) from p) end""",
+    "rot",
+    "pt_shards",
+)
+def merge_rot_lines(spark, d):
+    """Both tables read side by side, as lines: what comes late is lost."""
+    rot = relation(spark, d, "rot").select("shard", "f", "t", F.array(*[F.col(f"s{i}").cast("double") for i in (1, 2, 3)]).alias("scores"))
+    late = F.when(F.md5(F.concat("f", "t")) < "2", 1).otherwise(0)
+    rot = source.numbered(rot.withColumn("_late", late), "_late", "f", "t", "shard")
+    table = relation(spark, d, "pt_shards").filter("c_both > 1").select("f", "t").distinct().withColumn("_pair", F.concat_ws(" ||| ", "f", "t", F.lit("")))
+    out = merge.merge_reordering(rot, source.numbered(table, "_pair"), "line_no")
+    return out.select("f", "t", *[F.round(F.get("scores", F.lit(i)), 9).alias(f"s{i + 1}") for i in range(3)])
+
+
 @query("select f, t, round(avg(s1), 9) as s1, round(avg(s2), 9) as s2, round(avg(s3), 9) as s3 from rot where f <> '' and (f, t) in (select f, t from pt_shards where c_both > 1) group by f, t", "rot", "pt_shards")
 def merge_rot(spark, d):
     rot = relation(spark, d, "rot").select("f", "t", F.array(*[F.col(f"s{i}").cast("double") for i in (1, 2, 3)]).alias("scores"))
@@ -353,24 +430,46 @@ def compositional_entropy(spark, d):
     return out.select("f", "t", "n", F.round(F.when(F.col("entropy") != filters.INFINITY, F.col("entropy")), 6).alias("entropy"))
 
 
-def _fisher(repaired: bool) -> str:
-    extra = "" if repaired else "and r.f in (select f from p group by f having not contains(arg_max(t, (c_both, t, shard)), ' ')) and r.f <> (select arg_max(f, (c_both, f, t, shard)) from p)"
-    return f"""with p as (select * from pt_shards),
-    a as (select shard, f, t, c_first, c_second, c_both, least(c_first + 1, 200)::bigint as k, least(c_second + 1, 200)::bigint as n from p where not contains(f, ' ') and not contains(t, ' ')),
-    x as (select *, coalesce(list_sum(list_transform(range(greatest(c_both + 1, n - (200 - k)), least(k, n) + 1), lambda x:
-      exp(lgamma(k + 1) - lgamma(x + 1) - lgamma(k - x + 1.0) + lgamma(200 - k + 1) - lgamma(n - x + 1.0) - lgamma(200 - k - (n - x) + 1.0) - (lgamma(201) - lgamma(n + 1) - lgamma(200 - n + 1))))), 0) as score from a),
-    r as (select *, min(score) over (partition by f) as least_, row_number() over (partition by f order by score, c_both desc, t desc, shard desc) as rk from x)
-    select shard, f, t, round(score, 9) as score from r where (score < 0.2 or (least_ >= 0.2 and rk = 1)) {extra}"""
+def _fisher(repaired: bool, table: str = "pt_shards", order: str = "c_both, f, t, shard", population: int = 200, lines: bool = False) -> str:
+    """One-word pairs that are significant, or the best of their f; ``lines``: f are parted where they are not neighbours."""
+    n = population
+    down = ", ".join(f"{c} desc" for c in order.split(", "))
+    group = "run" if lines else "f"
+    extra = "" if repaired else f"and r.{group} in (select {group} from p group by {group} having not contains(arg_max(t, ({order})), ' ')) and r.{group} <> (select arg_max({group}, ({order})) from p)"
+    runs_ = f"select *, sum(new) over (order by {order}) as run from (select *, case when f = lag(f) over (order by {order}) then 0 else 1 end as new from {table})"
+    return f"""with p as ({runs_ if lines else f"select * from {table}"}),
+    a as (select *, least(c_first + 1, {n})::bigint as k, least(c_second + 1, {n})::bigint as n from p where not contains(f, ' ') and not contains(t, ' ')),
+    x as (select *, coalesce(list_sum(list_transform(range(greatest(c_both + 1, n - ({n} - k)), least(k, n) + 1), lambda x:
+      exp(lgamma(k + 1) - lgamma(x + 1) - lgamma(k - x + 1.0) + lgamma({n} - k + 1) - lgamma(n - x + 1.0) - lgamma({n} - k - (n - x) + 1.0) - (lgamma({n} + 1) - lgamma(n + 1) - lgamma({n} - n + 1))))), 0) as score from a),
+    r as (select *, min(score) over (partition by {group}) as least_, row_number() over (partition by {group} order by score, {down}) as rk from x)
+    select {"shard, " if table == "pt_shards" else ""}f, t, round(score, 8) as score from r where (score < 0.2 or (least_ >= 0.2 and rk = 1)) {extra}"""
+
+
+def _shown(df: DataFrame) -> DataFrame:
+    return df.select(*[c for c in ("shard", "f", "t") if c in df.columns], F.round("score", 8).alias("score"))
 
 
 @query(_fisher(False), "pt_shards")
 def fisher_filter(spark, d):
-    return filters.fisher_filter(relation(spark, d, "pt_shards"), 200, 0.2, ["c_both", "f", "t", "shard"]).select("shard", "f", "t", F.round("score", 9).alias("score"))
+    return _shown(filters.fisher_filter(relation(spark, d, "pt_shards"), 200, 0.2, ["c_both", "f", "t", "shard"]))
 
 
 @query(_fisher(True), "pt_shards")
 def fisher_filter_repaired(spark, d):
-    return filters.fisher_filter(relation(spark, d, "pt_shards"), 200, 0.2, ["c_both", "f", "t", "shard"], repaired=True).select("shard", "f", "t", F.round("score", 9).alias("score"))
+    return _shown(filters.fisher_filter(relation(spark, d, "pt_shards"), 200, 0.2, ["c_both", "f", "t", "shard"], repaired=True))
+
+
+@query(_fisher(False, "pt_words", "f, t", 20_000), "pt_words")
+def fisher_filter_words(spark, d):
+    """Linked words of sentences, as is, in their order."""
+    return _shown(filters.fisher_filter(relation(spark, d, "pt_words"), 20_000, 0.2, ["f", "t"]))
+
+
+@query(_fisher(False, "(select *, md5(concat(f, cast(c_both % 3 as varchar))) as o1 from pt_words)", "o1, t", 20_000, lines=True), "pt_words")
+def fisher_filter_lines(spark, d):
+    """The same as lines that are not sorted: the pairs of a word stand in up to three places."""
+    rows = relation(spark, d, "pt_words").withColumn("_key", F.md5(F.concat("f", (F.col("c_both") % 3).cast("string"))))
+    return _shown(filters.fisher_filter(source.numbered(rows, "_key", "t"), 20_000, 0.2, [], line_no="line_no"))
 
 
 # ranking
@@ -378,7 +477,10 @@ def fisher_filter_repaired(spark, d):
 
 @query("with x as (select score as s0, line_no as l0 from sim order by line_no limit 1) select line_no, score from sim, x where (score, line_no) >= (s0, l0) order by score desc, line_no desc limit 100", "sim")
 def top_n_docs(spark, d):
-    return rank.top_n(relation(spark, d, "sim"), 100)
+    """Similarities written as text and read again."""
+    path = new_path(spark, "similarity")
+    relation(spark, d, "sim").select("line_no", F.lit("").alias("other"), "score").write.csv(path, header=True)
+    return rank.top_n(source.similarity(spark, path), 100)
 
 
 @query("select line_no, score from sim order by score desc, line_no desc limit 100", "sim")
@@ -468,19 +570,47 @@ def filter_terms(spark, d):
     return decompose.filter_terms(*_compounds(spark, d))
 
 
-@query()
+#: Terms in words (as above, with their places), what may follow them, and from the end of each word the best parts from
+#: each place on: b has the places in turn, the end first; places without parts have none.
+BEST = r"""with recursive w as (select distinct replace(p_name, ' ', '') as word from part union select unnest(string_split(p_name, ' ')) from part),
+t as (select distinct unnest(string_split(p_name, ' ')) as term from part),
+i as (select word, lower(word) as low, unnest(range(1, length(word))) as i from w where length(word) > 2),
+o1 as (select distinct word, low, i - 1 as pos, substr(low, i, n) as term from (select *, unnest(range(2, length(low) - i + 2)) as n from i) where term in (select term from t)),
+o as (select * from o1 where (word, term) in (select (word, term) from o1 where pos <= length(low) - 3)),
+p as (select *, pos + length(term) as one, substr(low, pos + length(term) + 1) as rest from o),
+q as (select *, regexp_matches(rest, '^..?\b') as ends, case when ends then substr(rest, 1, case when regexp_matches(substr(rest, 2, 1), '\pL') then 2 else 1 end) else regexp_extract(rest, '^(s|e|en|er|n)', 1) end as extra from p),
+e as (select word, pos, one, term, case when extra <> '' then one + length(extra) end as two, case when term || extra in (select x.term from o x where x.word = q.word) then term || extra else term end as longer from q),
+r(word, n, k, b) as (select word, length(word), length(word), [[]::varchar[]] from w
+union all select word, n, k - 1, list_append(b, min(case when c is not null then {'n': len(c), 'c': c} end).c) from
+(select r.word, n, k, b, case when e.pos is null then null when b[n - one + 1] is not null then list_prepend(term, b[n - one + 1]) when b[n - two + 1] is not null then list_prepend(longer, b[n - two + 1]) end as c from r left join e on e.word = r.word and e.pos = k - 1 where k > 0) group by word, n, k, b),
+best as (select word, coalesce(b[n + 1], []::varchar[]) as parts from r where k = 0)"""
+
+
+@query(BEST + " select word, array_to_string(parts, ' ') as parts, len(parts)::int as n from best")
 def decompose_best(spark, d):
-    return decompose.decompose_best(*_compounds(spark, d))
+    found = decompose.decompose_best(*_compounds(spark, d))
+    return found.select("word", F.array_join("parts", " ").alias("parts"), F.size("parts").alias("n"))
 
 
-@query()
+@query(
+    BEST
+    + """, v as (select e.word, pos, case when b[n - one + 1] is not null then one else two end as to_, case when b[n - one + 1] is not null then term else longer end as part
+from e join r on r.word = e.word and r.k = 0 where b[n - one + 1] is not null or b[n - two + 1] is not null),
+s(word, pos, parts) as (select word, 0, []::varchar[] from w union select s.word, v.to_, list_append(parts, part) from s join v on v.word = s.word and v.pos = s.pos)
+select word, row_number() over (partition by word order by len(parts), parts)::int as rank, 1.0::double / len(parts) as score, array_to_string(parts, ' ') as parts from s where pos = length(word) and len(parts) > 0"""
+)
 def decompose_ranked(spark, d):
-    return decompose.decompose_ranked(*_compounds(spark, d))
+    return decompose.decompose_ranked(*_compounds(spark, d)).withColumn("parts", F.array_join("parts", " "))
 
 
-@query()
+@query(
+    BEST
+    + """ select (select string_agg(case when len(parts) > 1 then array_to_string(parts, ' ') else x.word end, ' ' order by x.i) from (select unnest(string_split(q.name, ' ')) as word, generate_subscripts(string_split(q.name, ' '), 1) as i) x left join best on best.word = x.word) as value from (select replace(p_name, ' ', case when p_partkey % 2 = 0 then '' else ' ' end) as name from part) q"""
+)
 def decompose_lines(spark, d):
-    return decompose.decompose_lines(relation(spark, d, "part").select(F.col("p_name").alias("value")), _words(spark, d).toDF("term"))
+    """Names, every other one without its blanks."""
+    name = F.when(F.col("p_partkey") % 2 == 0, F.replace(F.col("p_name"), F.lit(" "), F.lit(""))).otherwise(F.col("p_name"))
+    return decompose.decompose_lines(relation(spark, d, "part").select(name.alias("value")), _words(spark, d).toDF("term"))
 
 
 @query("with w as (select distinct p_name, p_type from part) select p_name, p_type, upper(string_split(p_name, ' ')[1]) as part from w")

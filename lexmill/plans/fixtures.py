@@ -26,13 +26,18 @@ RELATIONS: dict[str, str | tuple[str, str]] = {
         "select shard, w1, w2, cast(sum(c_both) as double) / cast(sum(sum(c_both)) over (partition by shard, w2) as double) / 5 as p from (select shard, w1, explode(split(t, ' ')) w2, c_both from (select shard, t, c_both, explode(split(f, ' ')) w1 from pt_base)) group by shard, w1, w2",
         "select shard, w1, w2, cast(sum(c_both) as double) / cast(sum(sum(c_both)) over (partition by shard, w2) as double) / 5 as p from (select shard, w1, unnest(string_split(t, ' ')) w2, c_both from (select shard, t, c_both, unnest(string_split(f, ' ')) w1 from pt_base)) group by shard, w1, w2",
     ),
+    # linked words of sentence pairs, some with the word after the second one
+    "pt_words": (
+        "select f, t, c_both, cast(sum(c_both) over (partition by t) as bigint) as c_first, cast(sum(c_both) over (partition by f) as bigint) as c_second from (select f, t, count(*) as c_both from (select get(split(src, ' '), l) as f, case when l % 7 = 0 then concat(get(split(trg, ' '), r), ' ', coalesce(get(split(trg, ' '), r + 1), '.')) else get(split(trg, ' '), r) end as t from pairs p join links k on p.conv_id = k.conv_id and p.turn = k.turn) where f <> '' and t <> '' group by f, t)",
+        "select f, t, c_both, cast(sum(c_both) over (partition by t) as bigint) as c_first, cast(sum(c_both) over (partition by f) as bigint) as c_second from (select f, t, count(*) as c_both from (select string_split(src, ' ')[l + 1] as f, case when l % 7 = 0 then concat(string_split(trg, ' ')[r + 1], ' ', coalesce(string_split(trg, ' ')[r + 2], '.')) else string_split(trg, ' ')[r + 1] end as t from pairs p join links k on p.conv_id = k.conv_id and p.turn = k.turn) where f <> '' and t <> '' group by f, t)",
+    ),
     "rot": "select shard, f, t, c_both % 3 as s1, c_both % 5 as s2, c_both % 7 as s3 from pt_base",
     "sim": "select doc_id as line_no, cast(n_chars % 1000 as double) / 1000 as score from documents",
     "arpa": "select c_custkey as line_no, c_acctbal / 1000.0 - 5.0 as logp, c_name as ngram, case when c_nationkey % 3 = 0 then null else cast(c_nationkey as double) / (-10) end as backoff from customer",
     "ldp_src": "select n_nationkey as line_no, concat('<n', n_nationkey, '> \"', n_name, '\"@en in \"', r_name, '\" \"\"') as value from nation join region on n_regionkey = r_regionkey",
     "ldp_dict": "select n_name as label, concat(lower(n_name), '@DE') as translation from nation union all select r_name, concat(lower(r_name), '@deu') from region",
 }
-NEEDS = {"links": ["pairs"], "pt_shards": ["pt_base"], "lex": ["pt_base"], "rot": ["pt_base"]}
+NEEDS = {"links": ["pairs"], "pt_words": ["pairs", "links"], "pt_shards": ["pt_base"], "lex": ["pt_base"], "rot": ["pt_base"]}
 
 
 def relation(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,7 +60,7 @@ def duck(query: str, *names: str) -> str:
     head = ", ".join(parts)
     query = query.strip()
     if query.lower().startswith("with recursive "):
-        return f"with recursive {head}, {query[15:]}"
+        return f"with recursive {head}, {query[15:]}" if head else query
     if query.lower().startswith("with "):
         return f"with {head}, {query[5:]}" if head else query
     return f"with {head} {query}" if head else query

@@ -8,15 +8,22 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lexmill.shared import written
 
-def lines(spark: SparkSession, *paths: str, numbered: bool = True) -> DataFrame:
-    """(value[, line_no]) of text files; ``.gz`` and ``.bz2`` are read by their suffix, line numbers are from 0 per file.
+#: Digits of a chunk's name, so that names are in the order of chunks.
+DIGITS = 10
 
-    Numbers follow block starts and then the order within a block, since splits are not read in file order.
+
+def lines(spark: SparkSession, *paths: str, numbered: bool = True, end: str | None = None) -> DataFrame:
+    """(value[, line_no, file]) of text files; ``.gz`` and ``.bz2`` are read by their suffix, line numbers are from 0 per file.
+
+    Numbers follow block starts and then the order within a block, since splits are not read in file order. ``end``: what
+    ends a line, where not any of the usual line ends does.
     """
+    text = spark.read.text(list(paths), lineSep=end)
     if not numbered:
-        return spark.read.text(list(paths))
-    found = spark.read.text(list(paths)).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("id"))
+        return text
+    found = text.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("id"))
     # blocks are counted apart, so that no task sees a whole file
     inner = Window.partitionBy("file", "at").orderBy("id")
     sizes = found.groupBy("file", "at").agg(F.count("*").alias("n"))
@@ -58,17 +65,57 @@ def chunk(line_no: Column, size: int) -> Column:
     return (F.floor(line_no / F.lit(size)) + 1).cast("long")
 
 
-def write_lines(df: DataFrame, path: str, column: str = "value", compression: str = "none", append: bool = False) -> None:
-    """Writes one column as text files, whole (``append``: beside what is there)."""
-    df.select(column).write.mode("append" if append else "overwrite").option("compression", compression).text(path)
+def numbered(df: DataFrame, *order: str, name: str = "line_no") -> DataFrame:
+    """``df`` with numbers from 0 in the order of some columns, without gaps.
+
+    Rows are dealt by ranges and sorted there, and written once with their place in their part; the parts' sizes, as
+    many as Spark has partitions, say where each begins. No task sees all rows.
+    """
+    placed = written(df.orderBy(*order).withColumn("_id", F.monotonically_increasing_id()), "numbered")
+    part, row = F.shiftright("_id", 33).alias("_part"), F.col("_id").bitwiseAND((1 << 33) - 1)
+    sizes = placed.groupBy(part).agg(F.count("*").alias("_n"))
+    begins = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_begin"))  # a row for each partition
+    return placed.withColumn("_part", part).join(F.broadcast(begins), "_part").withColumn(name, F.col("_begin") + row).drop("_id", "_part", "_begin")
+
+
+def write_lines(df: DataFrame, path: str, column: str = "value", compression: str = "none", append: bool = False, order: Sequence[str] = ()) -> None:
+    """Writes one column as text files, whole (``append``: beside what is there). With ``order``, the files in the order
+    of their names hold the lines in the order of those columns."""
+    rows = df.orderBy(*order) if order else df
+    rows.select(column).write.mode("append" if append else "overwrite").option("compression", compression).text(path)
+
+
+#: How a suffix of an output's path is compressed (fixed values).
+COMPRESSION = {".gz": "gzip", ".bz2": "bzip2"}
+
+
+def put(df: DataFrame, path: str | None = None, column: str = "value", order: Sequence[str] = ()) -> None:
+    """Lines to a path, compressed as its suffix says, or without a path to standard output, a partition at a time."""
+    if path is not None:
+        write_lines(df, path, column, next((v for k, v in COMPRESSION.items() if path.endswith(k)), "none"), order=order)
+        return
+    for row in (df.orderBy(*order) if order else df).select(column).toLocalIterator():
+        print(row[0])
 
 
 def write_chunks(df: DataFrame, path: str, size: int, column: str = "value", line_no: str = "line_no") -> None:
-    """One folder of text per chunk of consecutive lines; no lines at all give the first chunk, empty."""
-    if df.isEmpty():
-        write_lines(df, f"{path}/chunk=1", column)
+    """A folder for each chunk of ``size`` lines, with one file of them in order; folders are named in the order of chunks.
+
+    Lines are dealt by ranges of chunks, so that each is written by one task, and sorted there. No lines at all give the
+    first chunk, empty.
+    """
+    name = F.lpad(chunk(F.col(line_no), size).cast("string"), DIGITS, "0")
+    rows = df.select(name.alias("chunk"), F.col(line_no).alias("_line"), F.col(column).alias("value"))
+    if rows.isEmpty():
+        write_lines(df, f"{path}/chunk={'1'.rjust(DIGITS, '0')}", column)
         return
-    df.select(chunk(F.col(line_no), size).alias("chunk"), F.col(column)).write.mode("overwrite").partitionBy("chunk").text(path)
+    rows.repartitionByRange("chunk").sortWithinPartitions("chunk", "_line").select("chunk", "value").write.mode("overwrite").partitionBy("chunk").text(path)
+
+
+def read_chunks(spark: SparkSession, path: str, end: str | None = None) -> DataFrame:
+    """(chunk, line_no, value) of what ``write_chunks`` wrote; lines are numbered within their chunk."""
+    found = lines(spark, f"{path}/chunk=*", end=end)
+    return found.select(F.regexp_extract("file", "/chunk=(\\d+)/[^/]*$", 1).cast("long").alias("chunk"), "line_no", "value")
 
 
 def terms(df: DataFrame, column: str = "value") -> DataFrame:
@@ -82,6 +129,29 @@ def jdbc_terms(spark: SparkSession, url: str, table: str, column: str, parts: Se
     return read.select(F.col(column).alias("term"))
 
 
+#: Keys of one lookup in a database, and keys that are looked up; of more, the whole column is read instead.
+ASKED, MOST_ASKED = 500, 50_000
+
+
+def jdbc_lookup(spark: SparkSession, url: str, table: str, column: str, words: DataFrame, parts: Sequence[str] | None = None, **options: str) -> DataFrame:
+    """(term): the different words (first column of ``words``) that a database column has.
+
+    Up to MOST_ASKED words are sent to the database in conditions of ASKED each, a task and an index lookup for each, so
+    that only rows of these words are read. Of more words, too many to name, the column is read as by ``jdbc_terms``
+    (in ``parts``) and joined in Spark.
+    """
+    asked = words.select(F.col(words.columns[0]).cast("string").alias("term")).filter("term is not null").distinct()
+    named = [r.term for r in asked.limit(MOST_ASKED + 1).collect()]
+    if len(named) > MOST_ASKED:
+        return jdbc_terms(spark, url, table, column, parts, **options).distinct().join(asked, "term", "left_semi")
+    dialect = spark.sparkContext._jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(url)
+    name = dialect.quoteIdentifier(column)
+    lists = [", ".join("'" + w.replace("'", "''") + "'" for w in named[at : at + ASKED]) for at in range(0, len(named), ASKED)]
+    found = jdbc_terms(spark, url, table, column, [f"{name} IN ({x})" for x in lists] or ["1 = 0"], **options)
+    # what a database takes for equal, as without regard to case, Spark does not
+    return found.distinct().join(asked, "term", "left_semi")
+
+
 def similarity(spark: SparkSession, path: str) -> DataFrame:
     """(line_no, score) of a CSV file with a header and three columns, of which the second is not used."""
     return spark.read.csv(path, header=True, schema="line_no long, other string, score double", mode="FAILFAST").select("line_no", "score")

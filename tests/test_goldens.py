@@ -3,14 +3,16 @@
 import random
 import re
 from collections import Counter
+from itertools import accumulate, groupby
 from math import comb
 
 import pytest
 from pyspark.sql import functions as F
 
-from lexmill.functions.stats import tail
+from lexmill.functions.stats import hypergeometric_tail, tail
 from lexmill.functions.text import edit_score, recase, tokens
-from lexmill.operators import counts, decompose, extract, filters, merge, rank, text
+from lexmill.operators import adjacent, counts, decompose, extract, filters, merge, rank, text
+from lexmill.operators.lookup import lookup
 
 
 def test_counts_of_random_keys(spark):
@@ -55,6 +57,138 @@ def test_hypergeometric_tail(first, second, both, score):
     assert tail(1000, first + 1, second + 1, both) == pytest.approx(exact, rel=1e-9)
 
 
+def test_hypergeometric_columns(spark):
+    rng = random.Random(9)
+    for population in (20, 1000, 5_000_000):
+        rows = [(0, 0, 0), (population, population, population), (3, 1, 0), (1, 3, 5), (population, 2, 1)]
+        for _ in range(400):
+            first, second = (int(10 ** rng.uniform(0, 3.5)) for _ in range(2))
+            rows.append((first, second, rng.randint(0, min(first, second) + 1)))
+        df = spark.createDataFrame(rows, "c_first long, c_second long, c_both long")
+        scored = df.withColumn("x", hypergeometric_tail(population)("c_first", "c_second", "c_both"))
+        assert "Python" not in scored._jdf.queryExecution().toString() and "Arrow" not in scored._jdf.queryExecution().toString()
+        for r in scored.collect():
+            want = tail(population, r.c_first + 1, r.c_second + 1, r.c_both)
+            assert r.x == pytest.approx(want, abs=1e-9, rel=1e-6 if r.c_both * population > 2 * r.c_first * r.c_second else None), r
+
+
+def plain_fisher(lines, population, threshold):
+    """The program line by line."""
+    out, held, f0, t0 = [], [], "", ""
+
+    def closed():
+        scores = [tail(population, a + 1, b + 1, c) for _, _, a, b, c in held]
+        if any(x < threshold for x in scores):
+            out.extend(x[:2] for x, y in zip(held, scores, strict=True) if y < threshold)
+        elif held:
+            out.append(min(zip(scores, range(len(held), 0, -1), held, strict=True))[2][:2])
+
+    for line in lines:
+        f, t, *_ = line
+        single = " " not in f and " " not in t
+        if f != f0:
+            if " " not in f0 and " " not in t0 and f0:
+                closed()
+            held = []
+        held += [line] * single
+        f0, t0 = f, t
+    return sorted(out)
+
+
+def test_fisher_filter_of_unsorted_lines(spark):
+    rng = random.Random(10)
+    lines = [(rng.choice(["a", "b", "c", "c d", ""]), rng.choice(["x", "y", "z", "x y"]), rng.randint(1, 60), rng.randint(1, 60), rng.randint(1, 20)) for _ in range(400)]
+    df = spark.createDataFrame([(i, *x) for i, x in enumerate(lines)], "line_no int, f string, t string, c_first long, c_second long, c_both long").repartition(5)
+    found = sorted((r.f, r.t) for r in filters.fisher_filter(df, 200, 0.05, [], line_no="line_no").collect())
+    assert found == plain_fisher(lines, 200, 0.05) and len(found) > 50
+
+
+def test_merges_of_unsorted_lines(spark):
+    """Phrase tables and reordering tables against the programs that read line by line."""
+    rng = random.Random(11)
+    names = [(f, t) for f in ("", "a", "b c", "d") for t in ("", "x", "y z")]
+    for order in ("random", "nearly", "sorted"):
+        lines = [(*rng.choice(names), rng.randint(1, 9), rng.randint(1, 9), rng.randint(1, 9)) for _ in range(120)]
+        lines = lines if order == "random" else sorted(lines)
+        if order == "nearly":
+            lines = lines[20:] + lines[:20]
+        df = spark.createDataFrame([(i, *x, "0-0", str(i)) for i, x in enumerate(lines)], "line_no int, f string, t string, c_first long, c_second long, c_both long, align string, raw string").repartition(6)
+        lexicon = spark.createDataFrame([("a", "x", 0.5)], "w1 string, w2 string, p double")
+        groups = [(k, [x[2:] for x in g]) for k, g in groupby(lines, key=lambda x: x[:2])]
+        want = [(*k, *map(sum, zip(*g, strict=True))) for k, g in groups[:-1] if k[0]]
+        got = merge.merge_phrase_tables(df, lexicon, lexicon, line_no="line_no").collect()
+        assert sorted((r.f, r.t, r.c_first, r.c_second, r.c_both) for r in got) == sorted(want)
+
+        table_ = rng.sample(names, 8)
+        table_ = table_ if order == "random" else sorted(table_)
+        pairs_ = [f"{f} ||| {t} ||| " for f, t in table_]
+        want, at = [], 0
+        for (f, t), g in groups:
+            key = f"{f} ||| {t} ||| "
+            while pairs_[at] < key and at + 1 < len(pairs_):
+                at += 1
+            if f and pairs_[at] == key:
+                want.append((f, t, round(sum(x[0] for x in g) / len(g), 9)))
+        rot = spark.createDataFrame([(i, f, t, [float(a)]) for i, (f, t, a, _, _) in enumerate(lines)], "line_no int, f string, t string, scores array<double>").repartition(6)
+        place = spark.createDataFrame([(i, f, t) for i, (f, t) in enumerate(table_)], "line_no int, f string, t string").repartition(3)
+        got = merge.merge_reordering(rot, place, "line_no").collect()
+        assert sorted((r.f, r.t, round(r.scores[0], 9)) for r in got) == sorted(want)
+
+
+def test_runs_and_running_maxima(spark):
+    rng = random.Random(12)
+    keys = [rng.choice(["a", "b", None]) for _ in range(300)]
+    df = spark.createDataFrame([(3 * i, k, rng.randint(0, 9) + i // 20) for i, k in enumerate(keys)], "line_no long, key string, x int").repartition(9)
+    rows = adjacent.runs(df, ["key"]).orderBy("line_no").collect()
+    starts = [3 * i for i, k in enumerate(keys) if i == 0 or k != keys[i - 1]]
+    assert [r.run for r in rows] == [max(s for s in starts if s <= r.line_no) for r in rows]
+    tops = adjacent.running_max(df, F.col("x")).orderBy("line_no").collect()
+    assert [r.top for r in tops] == list(accumulate((r.x for r in tops), max))
+    assert adjacent.runs(df.limit(0), ["key"]).count() == 0
+
+
+def test_lookup_deals_hot_keys(spark):
+    """Two thirds of all rows ask for one key: no task gets many more rows than the others."""
+    rows = spark.range(30_000).select("id", F.when(F.col("id") % 3 > 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 200)).alias("key"), F.lit(None).alias("z"))
+    table_ = spark.createDataFrame([("hot", 1), *[(f"k{i}", i) for i in range(100)]], "key string, v int")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        found = lookup(rows, table_, ["key"], ["id"], hot=200)
+        sizes = sorted(r.n for r in found.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect())
+        assert sizes[-1] <= 2 * sizes[len(sizes) // 2]
+        want = rows.join(table_, "key", "left").agg(F.count("v"), F.sum("v"), F.count("*")).first()
+        assert found.agg(F.count("v"), F.sum("v"), F.count("*")).first() == want
+        assert lookup(rows, table_, ["key"], ["id"], "left_semi", hot=200).count() == want[0] and set(found.columns) == {"id", "key", "z", "v"}
+    finally:
+        for key, value in (("spark.sql.autoBroadcastJoinThreshold", "10m"), ("spark.sql.adaptive.enabled", "true"), ("spark.sql.shuffle.partitions", "4")):
+            spark.conf.set(key, value)
+
+
+def plain_runs(links, most, rate, repaired):
+    """Every run of consecutive links that is good, from the definition."""
+    last, out = len(links) - (not repaired), []
+    good = lambda x: len(set(x)) <= most and (max(x) == min(x) or len(set(x)) >= rate * (max(x) - min(x)))
+    for i in range(last):
+        for j in range(i, last):
+            run = links[i : j + 1]
+            if good([x for x, _ in run]) and good([y for _, y in run]):
+                out.append(([x for x, _ in run], [y for _, y in run]))
+    return out
+
+
+@pytest.mark.parametrize("repaired", [False, True])
+def test_extraction_by_starts(spark, repaired):
+    rng = random.Random(13)
+    rows = [(k, " ".join(f"s{i}" for i in range(30)), " ".join(f"t{i}" for i in range(30)), rng.sample([(i, j) for i in range(12) for j in range(max(0, i - 3), i + 3)], rng.randint(0, 20))) for k in range(60)]
+    rows = [(k, s, t, sorted(x) if k % 2 else x) for k, s, t, x in rows]
+    df = spark.createDataFrame(rows, "id int, src string, trg string, links array<struct<l:int,r:int>>")
+    for most, rate in ((5, 0.75), (3, 0.5)):
+        got = Counter((r.id, tuple(r.f_places), tuple(r.t_places)) for r in extract.phrases(df, most=most, rate=rate, repaired=repaired).collect())
+        assert got == Counter((k, tuple(a), tuple(b)) for k, _, _, x in rows for a, b in plain_runs(x, most, rate, repaired))
+
+
 def test_relative_entropy(spark):
     rows = [
         ("haus", "house", 0.5, 0.4, 5, "0-0"), ("das haus", "the house", 0.5, 0.01, 5, "0-0 1-1"), ("das haus", "the house", 0.5, 0.01, 6, "0-0 1-1"),
@@ -107,6 +241,18 @@ def test_edit_score(spark):
     assert found[:3] == [3, 0, 1]
 
 
+def test_edit_scores_of_awkward_and_long_pairs(spark):
+    rng = random.Random(8)
+    long = [[rng.choice("abcdefgh") for _ in range(20_000)] for _ in range(2)]
+    rows = [(None, ["a"]), (["a"], None), ([], []), (["a", None], ["a", None]), (["x"] * 3, ["x"]), *[(["a", "b"] * k, ["b", "a", "c"] * (9 - k)) for k in range(10)], (long[0], long[0]), (long[0], long[1])]
+    df = spark.createDataFrame(rows, "a array<string>, b array<string>")
+    found = [r.d for r in df.select(edit_score(F.col("a"), F.col("b")).alias("d")).collect()]
+    assert found[:5] == [None, None, 0, 1, 0]
+    assert found[5:15] == [plain_edit(a, b) for a, b in rows[5:15]]
+    assert found[15] == 0 and 0 < found[16] < 20_000
+    assert spark.createDataFrame([], "a array<string>, b array<string>").select(edit_score(F.col("a"), F.col("b"))).count() == 0
+
+
 def test_mean_edit_score_of_nothing_is_nan(spark):
     (row,) = text.mean_edit_score(spark.createDataFrame([], "a string, b string"), "a", "b").collect()
     assert row.score != row.score
@@ -120,7 +266,7 @@ def test_top_n(spark):
 
 @pytest.mark.parametrize(("word", "parts"), [("DAMPFSCHIFFFAHRT", ["DAMPF", "SCHIFF", "FAHRT"]), ("Dampfschifffahrt", ["Dampf", "Schiff", "Fahrt"]), ("dampfschifffahrt", ["dampf", "schiff", "fahrt"])])
 def test_recase(spark, word, parts):
-    assert list(decompose.recased(("dampf", "schiff", "fahrt"), word)) == parts
+    assert [decompose.recased(p, word) for p in ("dampf", "schiff", "fahrt")] == parts
     df = spark.createDataFrame([(p, word) for p in ("dampf", "schiff", "fahrt")], "p string, w string")
     assert [r.x for r in df.select(recase(F.col("p"), F.col("w")).alias("x")).collect()] == parts
 
@@ -129,22 +275,29 @@ def test_recase_goes_by_the_first_letter(spark):
     df = spark.createDataFrame([("haus", "(Hausamt"), ("'haus", "Hausamt"), ("haus", "hausAmt"), ("haus", "(12)")], "p string, w string")
     assert [r.x for r in df.select(recase(F.col("p"), F.col("w")).alias("x")).collect()] == ["Haus", "'Haus", "haus", "HAUS"]
     for part, word in (("haus", "(Hausamt"), ("'haus", "Hausamt"), ("haus", "hausAmt"), ("haus", "(12)")):
-        assert decompose.recased((part,), word) == {"(Hausamt": ("Haus",), "Hausamt": ("'Haus",), "hausAmt": ("haus",), "(12)": ("HAUS",)}[word]
+        assert decompose.recased(part, word) == {"(Hausamt": "Haus", "Hausamt": "'Haus", "hausAmt": "haus", "(12)": "HAUS"}[word]
 
 
 TERMS = "dampf schiff fahrt arbeit arbeits amt versicherung haft pflicht tangible intangible fixed asset assets".split()
+CASES = [
+    ("intangible fixed assets", ["intangible", "fixed", "assets"]), ("Dampfschifffahrt", ["Dampf", "Schiff", "Fahrt"]), ("Haftpflichtversicherung", ["Haft", "Pflicht", "Versicherung"]),
+    ("Arbeitsamt", ["Arbeits", "Amt"]), ("Arbeitamt", ["Arbeit", "Amt"]), ("fahrten", ["fahrt"]), ("schiff", ["schiff"]), ("amt amt", ["amt", "amt"]), ("xyz", []),
+]
+
+
+def table(spark, values, name):
+    return spark.createDataFrame([(v,) for v in values], f"{name} string")
+
+
+@pytest.mark.parametrize("language", ["en", "de"])
+def test_decomposition(spark, language):
+    found = decompose.decompose_best(table(spark, [w for w, _ in CASES], "word"), table(spark, TERMS, "term"), language=language)
+    assert {r.word: r.parts for r in found.collect()} == dict(CASES)
 
 
-@pytest.mark.parametrize(
-    ("word", "parts"),
-    [
-        ("intangible fixed assets", ["intangible", "fixed", "assets"]), ("Dampfschifffahrt", ["Dampf", "Schiff", "Fahrt"]), ("Haftpflichtversicherung", ["Haft", "Pflicht", "Versicherung"]),
-        ("Arbeitsamt", ["Arbeits", "Amt"]), ("Arbeitamt", ["Arbeit", "Amt"]), ("fahrten", ["fahrt"]), ("schiff", ["schiff"]), ("amt amt", ["amt", "amt"]), ("xyz", []),
-    ],
-)
-def test_decomposition(spark, word, parts):
-    found = decompose.ranked(word, frozenset(TERMS), "de")
-    assert list(found[0][1] if found else ()) == parts
+def plain_terms(word, terms):
+    low = word.lower()
+    return {low[i:j] for i in range(len(low) - 2) for j in range(i + 2, len(low) + 1) if low[i:j] in terms}
 
 
 def plain_segmentations(word, known):
@@ -170,27 +323,66 @@ def plain_segmentations(word, known):
     return of(word.lower())
 
 
+def plain_merged(parts):
+    """Plural endings joined to the part before: as text, one replacement after another."""
+    text = f"[{', '.join(parts)}]"
+    for ending, close in (("e", ","), ("e", "]"), ("n", ","), ("s", ","), ("s", "]"), ("en", ","), ("en", "]")):
+        text = text.replace(f", {ending}{close}", f"{ending}{close}")
+    return tuple(text[1:-1].split(", "))
+
+
 @pytest.mark.parametrize("language", ["en", "de"])
-def test_decomposition_by_position_is_that_of_all_segmentations(language):
+def test_rankings_are_those_of_all_segmentations(spark, language):
     rng = random.Random(3)
-    for _ in range(1500):
-        terms = frozenset("".join(rng.choices("abens", k=rng.randint(2, 4))) for _ in range(rng.randint(1, 9))) | ({"en"} if rng.random() < 0.4 else set())
-        word = "".join(rng.choices("abens ABr", (6, 6, 6, 6, 6, 1, 1, 1, 1), k=rng.randint(1, 10)))
-        want = plain_segmentations(word, decompose.subterms(word, terms))
-        want |= {decompose.merged(p) for p in want} if language == "de" else set()
-        scores = {decompose.recased(p, word): 1 / len(p) for p in sorted(want)}
-        best = [(s, p) for p, s in sorted(scores.items(), key=lambda x: (-x[1], -len(x[0]), x[0]))]
-        assert decompose.ranked(word, terms, language) == best
-        assert decompose.ranked(word, terms, language, 1) == best[:1]
+    for _ in range(4):
+        terms = {"".join(rng.choices("abens", k=rng.randint(2, 4))) for _ in range(14)} | {"en", "an"}
+        words = {"".join(rng.choices("abens ABr", (6, 6, 6, 6, 6, 1, 1, 1, 1), k=rng.randint(1, 11))) for _ in range(250)}
+        want = {}
+        for word in words:
+            known = plain_terms(word, terms)
+            found = plain_segmentations(word, known)
+            found |= {plain_merged(p) for p in found} if language == "de" and "en" in known else set()
+            ordered = sorted({tuple(decompose.recased(x, word) for x in p) for p in found}, key=lambda p: (len(p), p))
+            want[word] = [(k + 1, 1 / len(p), list(p)) for k, p in enumerate(ordered)]
+        df, base = table(spark, words, "word"), table(spark, terms, "term")
+        for most in (None, 2):
+            got = {w: [] for w in words}
+            for r in decompose.decompose_ranked(df, base, language=language, most=most).collect():
+                got[r.word].append((r["rank"], r.score, r.parts))
+            assert {w: sorted(x) for w, x in got.items()} == {w: x[:most] for w, x in want.items()}
+        best = {r.word: r.parts for r in decompose.decompose_best(df, base, language=language).collect()}
+        assert best == {w: x[0][2] if x else [] for w, x in want.items()}
 
 
 def test_plural_endings_join_the_part_before():
-    assert decompose.merged(("haus", "en", "bau")) == ("hausen", "bau") and decompose.merged(("en", "haus", "en")) == ("en", "hausen")
-    assert decompose.merged(("haus", "en", "en", "bau")) == ("hausen", "en", "bau")
+    def ranked(parts, word):
+        ends = [sum(map(len, parts[:k])) for k in range(len(parts) + 1)]
+        return list(decompose.best_first([(a, b, p) for a, b, p in zip(ends, ends[1:], parts, strict=False)], word, "de"))
+
+    for parts in (("haus", "en", "bau"), ("en", "haus", "en"), ("haus", "en", "en", "bau"), ("haus", "en", "en"), ("haus", "en", "en", "en"), ("en", "en"), ("en",), ("en", "en", "en", "en", "bau", "en")):
+        assert set(ranked(parts, "".join(parts))) == {parts, plain_merged(parts)}
+
+
+def test_long_words_and_large_rankings(spark):
+    words, terms = table(spark, ["ab" * 200, "ab" * 12], "word"), table(spark, ["ab", "abab", "ba"], "term")
+    assert {len(r.parts) for r in decompose.decompose_best(words, terms).collect()} == {100, 6}
+    ranked = decompose.decompose_ranked(words, terms, language="de", most=50).collect()
+    assert len(ranked) == 100 and all(sorted(x) == x for x in ([len(r.parts) for r in sorted(ranked, key=lambda r: r["rank"]) if r.word == w] for w in ("ab" * 200, "ab" * 12)))
+    every = decompose.decompose_ranked(table(spark, ["ab" * 12], "word"), terms).collect()
+    assert {tuple(r.parts) for r in every} == plain_segmentations("ab" * 12, {"ab", "abab", "ba"}) and len(every) == 233
+
+
+def test_decomposition_of_nothing(spark):
+    none, words = table(spark, [], "term"), table(spark, ["", "a", None, "amt"], "word")
+    assert {r.word: r.parts for r in decompose.decompose_best(words, none).collect()} == {"": [], "a": [], None: None, "amt": []}
+    assert [(r.word, r.score, r.parts) for r in decompose.decompose_ranked(words, none).collect()] == [("", float("inf"), [])]
+    assert decompose.decompose_best(table(spark, [], "word"), none).count() == 0
 
 
-def test_long_words_are_decomposed():
-    assert len(decompose.ranked("ab" * 5000, frozenset(["ab", "abab", "ba"]), "en", 1)[0][1]) == 2500
+def test_lines_keep_their_other_columns(spark):
+    lines = spark.createDataFrame([(1, "Das  Arbeitsamt Arbeitsamt"), (1, None), (2, "")], "n int, value string")
+    found = decompose.decompose_lines(lines, table(spark, TERMS, "term")).collect()
+    assert sorted((r.n, r.value or "") for r in found) == [(1, ""), (1, "Das  Arbeits Amt Arbeits Amt"), (2, "")]
 
 
 def test_decomposition_queries(spark):
