@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from math import exp, lgamma, log, pi
 
 from pyspark.sql import Column
@@ -49,41 +50,66 @@ def terms_that_count(ratio: Column, most: Column) -> Column:
     return F.when(most <= 0, F.lit(0).cast("long")).when((ratio > 0) & (ratio < 1), F.least(most, enough.cast("long"))).when(ratio <= 0, F.lit(1).cast("long")).otherwise(most)
 
 
+def named(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, whatever use it makes of it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def hypergeometric_tail(population: int):
     """Column function (first, second, both) -> P(X > both), X drawn with first + 1 marked and second + 1 drawn.
 
-    Terms follow from one another, so a row needs one term by logarithms of factorials and a product for each further
-    one. The tail above ``both`` is added up if it is the shorter one or beyond the mean, where it is the small one; else
-    the tail below is, and taken from one.
+    Terms follow from one another, so a row needs one term by logarithms and a product for each further one. The tail
+    above ``both`` is added up if it is the shorter one or beyond the mean, where it is the small one; else the tail below
+    is, and taken from one.
     """
-    size = F.lit(population).cast("long")
+    size, zero = F.lit(population).cast("long"), F.lit(0).cast("long")
+    with_ = lambda x, **more: F.struct(*[x[c].alias(c) for c in x_names[: x_names.index(next(iter(more)))]], *[v.alias(k) for k, v in more.items()])
+    x_names = ["marked", "drawn", "seen", "least", "most", "low", "high", "above", "below", "upper", "start", "n"]
+
+    def ratio(x: Column, k: Column, upper: bool) -> Column:
+        """Of the term of k + 1 to that of k, and of k - 1 to k."""
+        marked, drawn = x["marked"], x["drawn"]
+        if upper:
+            return ((marked - k) * (drawn - k)).cast("double") / ((k + 1) * (size - marked - drawn + k + 1))
+        return (k * (size - marked - drawn + k)).cast("double") / ((marked - k + 1) * (drawn - k + 1))
+
+    def bounds(x: Column) -> Column:
+        return with_(x, least=F.greatest(zero, x["drawn"] - (size - x["marked"])), most=F.least(x["marked"], x["drawn"]))
+
+    def begins(x: Column) -> Column:
+        return with_(x, low=F.greatest(x["seen"] + 1, x["least"]), high=F.least(x["seen"], x["most"]))
+
+    def lengths(x: Column) -> Column:
+        above = F.when(x["low"] <= x["most"], terms_that_count(ratio(x, x["low"], True), x["most"] - x["low"] + 1)).otherwise(zero)
+        below = F.when(x["high"] >= x["least"], terms_that_count(ratio(x, x["high"], False), x["high"] - x["least"] + 1)).otherwise(zero)
+        return with_(x, above=above, below=below)
+
+    def side(x: Column) -> Column:
+        beyond = x["seen"].cast("double") * population >= x["marked"].cast("double") * x["drawn"]
+        return with_(x, upper=(x["above"] <= x["below"]) | beyond)
+
+    def chosen(x: Column) -> Column:
+        return with_(x, start=F.when(x["upper"], x["low"]).otherwise(x["high"]), n=F.when(x["upper"], x["above"]).otherwise(x["below"]))
+
+    def summed(x: Column) -> Column:
+        p = x["drawn"] / size.cast("double")
+        head = F.exp(log_binomial(x["start"], x["marked"], p) + log_binomial(x["drawn"] - x["start"], size - x["marked"], p) - log_binomial(x["drawn"], size, p))
+        steps = F.when(x["n"] > 1, F.sequence(zero, x["n"] - 2)).otherwise(F.array().cast("array<long>"))
+
+        def added(acc: Column, k: Column) -> Column:
+            r = F.when(x["upper"], ratio(x, x["start"] + k, True)).otherwise(ratio(x, x["start"] - k, False))
+            return named(acc["term"] * r, lambda term: F.struct(term.alias("term"), (acc["sum"] + term).alias("sum")))
+
+        total = F.when(x["n"] > 0, F.aggregate(steps, named(head, lambda h: F.struct(h.alias("term"), h.alias("sum"))), added, lambda acc: acc["sum"])).otherwise(F.lit(0.0))
+        found = F.when(x["upper"], total).otherwise(F.greatest(F.lit(0.0), 1 - total))
+        certain = (x["drawn"] == size) | (x["marked"] == size)  # all are drawn, or marked
+        return F.when(certain, F.when(x["most"] > x["seen"], 1.0).otherwise(0.0)).otherwise(found)
 
     def score(first: str | Column, second: str | Column, both: str | Column) -> Column:
         column = lambda c: (F.col(c) if isinstance(c, str) else c).cast("long")
-        marked, drawn, seen = F.least(column(first) + 1, size), F.least(column(second) + 1, size), column(both)
-        least, most = F.greatest(F.lit(0).cast("long"), drawn - (size - marked)), F.least(marked, drawn)
-        low, high = F.greatest(seen + 1, least), F.least(seen, most)  # where the upper and the lower tail begin
-        # of x + 1 to x, and of x - 1 to x
-        up = lambda x: ((marked - x) * (drawn - x)).cast("double") / ((x + 1) * (size - marked - drawn + x + 1))
-        down = lambda x: (x * (size - marked - drawn + x)).cast("double") / ((marked - x + 1) * (drawn - x + 1))
-        above = F.when(low <= most, terms_that_count(up(low), most - low + 1)).otherwise(F.lit(0).cast("long"))
-        below = F.when(high >= least, terms_that_count(down(high), high - least + 1)).otherwise(F.lit(0).cast("long"))
-
-        def summed(start: Column, step: int, n: Column, ratio) -> Column:
-            p = drawn / size.cast("double")
-            head = F.exp(log_binomial(start, marked, p) + log_binomial(drawn - start, size - marked, p) - log_binomial(drawn, size, p))
-            steps = F.when(n > 1, F.sequence(F.lit(0).cast("long"), n - 2)).otherwise(F.array().cast("array<long>"))
-            begin = F.struct(head.alias("term"), head.alias("sum"))
-
-            def added(acc: Column, k: Column) -> Column:
-                term = acc["term"] * ratio(start + k * step)
-                return F.struct(term.alias("term"), (acc["sum"] + term).alias("sum"))
-
-            return F.when(n > 0, F.aggregate(steps, begin, added, lambda acc: acc["sum"])).otherwise(F.lit(0.0))
-
-        upper = (above <= below) | (seen.cast("double") * population >= marked.cast("double") * drawn)
-        found = F.when(upper, summed(low, 1, above, up)).otherwise(F.greatest(F.lit(0.0), 1 - summed(high, -1, below, down)))
-        certain = F.when((drawn == size) | (marked == size), F.when(most > seen, 1.0).otherwise(0.0))  # all are drawn, or marked
-        return F.coalesce(certain, found)
+        value = F.struct(F.least(column(first) + 1, size).alias("marked"), F.least(column(second) + 1, size).alias("drawn"), column(both).alias("seen"))
+        for step in (bounds, begins, lengths, side, chosen, summed):
+            value = named(value, step)
+        return value
 
     return score
