@@ -2,8 +2,9 @@
 
 Texts become words joined by single spaces. A rule is a regular expression over them, gated by a keyword (a word that
 every match holds; rules are joined to a text by equality with its words) and a second literal. The rules are a
-fixed table of a few hundred rows. Detections are intervals of words: one contained in another is suppressed, of
-equal ones the rule of higher priority stays. The base phrases are counted beside the rules and always stay.
+fixed table of a few hundred rows. Detections are intervals of words: one contained in another of no lower priority is
+suppressed, of equal ones with equal priority the first rule's stays. The base phrases are counted beside the rules and
+always stay.
 """
 
 from __future__ import annotations
@@ -114,7 +115,8 @@ SENTENCES = [
     ("bsd-2-clause", 70, "bsd", "2 clause", r"bsd 2 clause(?: simplified)?(?: licen[sc]e)?"),
     ("bsd-3-clause", 70, "bsd", "3 clause", r"bsd 3 clause(?: new| revised| clear)?(?: licen[sc]e)?"),
     ("bsd-4-clause", 70, "bsd", "4 clause", r"bsd 4 clause(?: original)?(?: licen[sc]e)?"),
-    ("bsd-2-clause", 65, "bsd", "simplified", r"(?:simplified|freebsd) bsd licen[sc]e"),
+    ("bsd-2-clause", 65, "simplified", "bsd licen", r"simplified bsd licen[sc]e"),
+    ("bsd-2-clause", 65, "freebsd", "bsd licen", r"freebsd bsd licen[sc]e"),
     ("bsd-3-clause", 65, "bsd", "bsd licen", r"(?:new|modified|revised) bsd licen[sc]e"),
     ("0bsd", 70, "0bsd", "0bsd", r"0bsd"),
     ("zlib", 90, "misrepresented", "origin of this software", r"the origin of this software must not be misrepresented"),
@@ -127,7 +129,7 @@ SENTENCES = [
     ("apache", 88, "compliance", "you may not use this file", r"you may not use this file except in compliance with the licen[sc]e"),
     ("apache", 86, "conditions", "as is basis", r"distributed on an as is basis without warranties or conditions of any kind"),
     ("mozilla", 88, "mozilla", "source code form", r"this source code form is subject to the terms of the mozilla public licen[sc]e"),
-    ("boost", 88, "boost", "subject to", r"distributed under the boost software licen[sc]e"),
+    ("boost", 88, "boost", "boost software licen", r"distributed under the boost software licen[sc]e"),
     ("wtfpl", 88, "fuck", "do what the", r"do what the fuck you want to public licen[sc]e"),
     ("cc0", 80, "cc0", "cc0", r"cc0(?: 1 0)?(?: universal)?"),
     ("cc0", 82, "zero", "creative commons", r"creative commons (?:cc )?zero"),
@@ -217,7 +219,10 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         .withColumn("last", F.col("to") - 1)
     )
     ahead = doc.orderBy("first", F.desc("last"), F.desc("priority"), "rule").rowsBetween(Window.unboundedPreceding, -1)
-    kept = spans.withColumn("reach", F.max("last").over(ahead)).filter("reach is null or reach < last")
+    # how far the spans ahead reach, of each priority or above; what contains a span is ahead of it
+    levels = sorted({r[1] for r in rules()})
+    reach = F.coalesce(*[F.when(F.col("priority") == k, F.max(F.when(F.col("priority") >= k, F.col("last"))).over(ahead)) for k in levels])
+    kept = spans.withColumn("reach", reach).filter("reach is null or reach < last")
     found = kept.groupBy("doc_id", "mark").agg(F.collect_set("label").alias("_labels"), F.max("priority").alias("_best"))
     out = plain.join(found.withColumnRenamed("doc_id", "_id").withColumnRenamed("mark", "_mark"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark")), "left")
     labels = F.array_sort(F.array_union("_base", F.coalesce("_labels", F.array().cast("array<string>"))))
