@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from math import exp, lgamma, log, pi
 
 from pyspark.sql import Column
@@ -24,92 +23,62 @@ def tail(population: int, marked: int, drawn: int, seen: int) -> float:
     return sum(exp(choose(marked, x) + choose(population - marked, drawn - x) - all_) for x in range(low, high + 1))
 
 
-def stirling_error(n: Column) -> Column:
-    """ln n! less the formula of Stirling for it, of a whole number from 1 on."""
-    x = n.cast("double")
-    table = [0.0] + [lgamma(k + 1) - (k * log(k) - k + log(2 * pi * k) / 2) for k in range(1, EXACT)]
-    series = (1 / F.lit(12.0) - (1 / F.lit(360.0) - (1 / F.lit(1260.0)) / (x * x)) / (x * x)) / x
-    return F.when(n < EXACT, F.get(F.array(*map(F.lit, table)), n.cast("int"))).otherwise(series)
+def named(name: str, value: str, body: str) -> str:
+    """``body`` of a value that is computed once, as SQL, whatever use it makes of it."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
 
-def log_binomial(k: Column, n: Column, p: Column) -> Column:
-    """ln of the probability of k successes in n trials of chance p (0 < p < 1).
+def stirling_error(n: str) -> str:
+    """ln n! less the formula of Stirling for it, of a whole number from 1 on, as SQL."""
+    table = ", ".join(f"{lgamma(k + 1) - (k * log(k) - k + log(2 * pi * k) / 2) if k else 0.0!r}D" for k in range(EXACT))
+    series = named("x", f"CAST({n} AS DOUBLE)", "(1 / 12D - (1 / 360D - 1 / 1260D / (x * x)) / (x * x)) / x")
+    return f"CASE WHEN {n} < {EXACT} THEN get(array({table}), CAST({n} AS INT)) ELSE {series} END"
+
+
+def log_binomial(k: str, n: str, p: str) -> str:
+    """ln of the probability of k successes in n trials of chance p (0 < p < 1), as SQL.
 
     Deviances from the mean are taken for themselves, so that large numbers do not cancel each other.
     """
-    off = k.cast("double") - n * p
-    deviance = lambda x, mean, off: x * F.log1p(off / mean) - off
-    inner = stirling_error(n) - stirling_error(k) - stirling_error(n - k) - deviance(k, n * p, off) - deviance(n - k, n * (1 - p), -off)
-    inner = inner + F.log(n / (2 * pi * k.cast("double") * (n - k))) / 2
-    return F.when(k == 0, n * F.log1p(-p)).when(k == n, n * F.log(p)).otherwise(inner)
+    deviance = lambda x, mean, off: f"({x} * log1p({off} / ({mean})) - {off})"
+    errors = f"{stirling_error('g.n')} - {stirling_error('g.k')} - {stirling_error('(g.n - g.k)')}"
+    inner = named("o", "g.k - g.n * g.p", f"{errors} - {deviance('g.k', 'g.n * g.p', 'o')} - {deviance('(g.n - g.k)', 'g.n * (1 - g.p)', '(-o)')} + ln(g.n / ({2 * pi!r}D * g.k * (g.n - g.k))) / 2")
+    return named("g", f"named_struct('k', {k}, 'n', {n}, 'p', {p})", f"CASE WHEN g.k = 0 THEN g.n * log1p(-g.p) WHEN g.k = g.n THEN g.n * ln(g.p) ELSE {inner} END")
 
 
-def terms_that_count(ratio: Column, most: Column) -> Column:
+def terms_that_count(ratio: str, most: str) -> str:
     """How many terms of a sum to add whose neighbours' ratio never exceeds ``ratio``: all, or until they are negligible."""
-    enough = F.ceil(F.lit(log(NEGLIGIBLE)) / F.log(ratio)) + 1
-    return F.when(most <= 0, F.lit(0).cast("long")).when((ratio > 0) & (ratio < 1), F.least(most, enough.cast("long"))).when(ratio <= 0, F.lit(1).cast("long")).otherwise(most)
-
-
-def named(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once, whatever use it makes of it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    enough = f"least(m.n, CAST(ceil({log(NEGLIGIBLE)!r}D / ln(m.r)) + 1 AS BIGINT))"
+    return named("m", f"named_struct('r', {ratio}, 'n', {most})", f"CASE WHEN m.r <= 0 THEN 1L WHEN m.r < 1 THEN {enough} ELSE m.n END")
 
 
 def hypergeometric_tail(population: int):
-    """Column function (first, second, both) -> P(X > both), X drawn with first + 1 marked and second + 1 drawn.
+    """Column function (names of first, second, both) -> P(X > both), X drawn with first + 1 marked and second + 1 drawn.
 
     Terms follow from one another, so a row needs one term by logarithms and a product for each further one. The tail
     above ``both`` is added up if it is the shorter one or beyond the mean, where it is the small one; else the tail below
-    is, and taken from one.
+    is, and taken from one. The expression is one SQL text, in which each value has a name.
     """
-    size, zero = F.lit(population).cast("long"), F.lit(0).cast("long")
-    with_ = lambda x, **more: F.struct(*[x[c].alias(c) for c in x_names[: x_names.index(next(iter(more)))]], *[v.alias(k) for k, v in more.items()])
-    x_names = ["marked", "drawn", "seen", "least", "most", "low", "high", "above", "below", "upper", "start", "n"]
-
-    def ratio(x: Column, k: Column, upper: bool) -> Column:
-        """Of the term of k + 1 to that of k, and of k - 1 to k."""
-        marked, drawn = x["marked"], x["drawn"]
-        if upper:
-            return ((marked - k) * (drawn - k)).cast("double") / ((k + 1) * (size - marked - drawn + k + 1))
-        return (k * (size - marked - drawn + k)).cast("double") / ((marked - k + 1) * (drawn - k + 1))
-
-    def bounds(x: Column) -> Column:
-        return with_(x, least=F.greatest(zero, x["drawn"] - (size - x["marked"])), most=F.least(x["marked"], x["drawn"]))
-
-    def begins(x: Column) -> Column:
-        return with_(x, low=F.greatest(x["seen"] + 1, x["least"]), high=F.least(x["seen"], x["most"]))
-
-    def lengths(x: Column) -> Column:
-        above = F.when(x["low"] <= x["most"], terms_that_count(ratio(x, x["low"], True), x["most"] - x["low"] + 1)).otherwise(zero)
-        below = F.when(x["high"] >= x["least"], terms_that_count(ratio(x, x["high"], False), x["high"] - x["least"] + 1)).otherwise(zero)
-        return with_(x, above=above, below=below)
-
-    def side(x: Column) -> Column:
-        beyond = x["seen"].cast("double") * population >= x["marked"].cast("double") * x["drawn"]
-        return with_(x, upper=(x["above"] <= x["below"]) | beyond)
-
-    def chosen(x: Column) -> Column:
-        return with_(x, start=F.when(x["upper"], x["low"]).otherwise(x["high"]), n=F.when(x["upper"], x["above"]).otherwise(x["below"]))
-
-    def summed(x: Column) -> Column:
-        p = x["drawn"] / size.cast("double")
-        head = F.exp(log_binomial(x["start"], x["marked"], p) + log_binomial(x["drawn"] - x["start"], size - x["marked"], p) - log_binomial(x["drawn"], size, p))
-        steps = F.when(x["n"] > 1, F.sequence(zero, x["n"] - 2)).otherwise(F.array().cast("array<long>"))
-
-        def added(acc: Column, k: Column) -> Column:
-            r = F.when(x["upper"], ratio(x, x["start"] + k, True)).otherwise(ratio(x, x["start"] - k, False))
-            return named(acc["term"] * r, lambda term: F.struct(term.alias("term"), (acc["sum"] + term).alias("sum")))
-
-        total = F.when(x["n"] > 0, F.aggregate(steps, named(head, lambda h: F.struct(h.alias("term"), h.alias("sum"))), added, lambda acc: acc["sum"])).otherwise(F.lit(0.0))
-        found = F.when(x["upper"], total).otherwise(F.greatest(F.lit(0.0), 1 - total))
-        certain = (x["drawn"] == size) | (x["marked"] == size)  # all are drawn, or marked
-        return F.when(certain, F.when(x["most"] > x["seen"], 1.0).otherwise(0.0)).otherwise(found)
-
-    def score(first: str | Column, second: str | Column, both: str | Column) -> Column:
-        column = lambda c: (F.col(c) if isinstance(c, str) else c).cast("long")
-        value = F.struct(F.least(column(first) + 1, size).alias("marked"), F.least(column(second) + 1, size).alias("drawn"), column(both).alias("seen"))
-        for step in (bounds, begins, lengths, side, chosen, summed):
-            value = named(value, step)
-        return value
+    size = f"{population}L"
+    # x: numbers marked, drawn and seen; b: bounds of X; z: where the tails above and below begin; w: their terms
+    up = lambda j: f"CAST((x.marked - {j}) * (x.drawn - {j}) AS DOUBLE) / (({j} + 1) * ({size} - x.marked - x.drawn + {j} + 1))"
+    down = lambda j: f"CAST({j} * ({size} - x.marked - x.drawn + {j}) AS DOUBLE) / ((x.marked - {j} + 1) * (x.drawn - {j} + 1))"
+    chance = f"x.drawn / CAST({size} AS DOUBLE)"
+    head = f"exp({log_binomial('u.at', 'x.marked', chance)} + {log_binomial('x.drawn - u.at', f'{size} - x.marked', chance)} - {log_binomial('x.drawn', size, chance)})"
+    step = named("r", f"acc.term * IF(u.up, {up('(u.at + j)')}, {down('(u.at - j)')})", "named_struct('term', r, 'sum', acc.sum + r)")
+    steps = "IF(u.n > 1, sequence(0L, u.n - 2), CAST(array() AS ARRAY<BIGINT>))"
+    total = f"IF(u.n > 0, {named('h', head, f"aggregate({steps}, named_struct('term', h, 'sum', h), (acc, j) -> {step}, acc -> acc.sum)")}, 0D)"
+    found = named("t", total, "IF(u.up, t, greatest(0D, 1 - t))")
+    side = named("up", f"w.above <= w.below OR CAST(x.seen AS DOUBLE) * {size} >= CAST(x.marked AS DOUBLE) * x.drawn", "named_struct('up', up, 'at', IF(up, z.above, z.below), 'n', IF(up, w.above, w.below))")
+    above, below = terms_that_count(up("z.above"), "b.most - z.above + 1"), terms_that_count(down("z.below"), "z.below - b.least + 1")
+    lengths = f"named_struct('above', IF(z.above <= b.most, {above}, 0L), 'below', IF(z.below >= b.least, {below}, 0L))"
+    sums = named("z", "named_struct('above', greatest(x.seen + 1, b.least), 'below', least(x.seen, b.most))", named("w", lengths, named("u", side, found)))
+    certain = f"x.drawn = {size} OR x.marked = {size}"  # all are drawn, or marked
+    bounds = f"named_struct('least', greatest(0L, x.drawn - ({size} - x.marked)), 'most', least(x.marked, x.drawn))"
+    body = named("b", bounds, f"CASE WHEN {certain} THEN IF(b.most > x.seen, 1D, 0D) ELSE {sums} END")
+
+    def score(first: str, second: str, both: str) -> Column:
+        counts = f"named_struct('marked', least(CAST(`{first}` AS BIGINT) + 1, {size}), 'drawn', least(CAST(`{second}` AS BIGINT) + 1, {size}), 'seen', CAST(`{both}` AS BIGINT))"
+        return F.expr(named("x", counts, body))
 
     return score
