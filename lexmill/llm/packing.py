@@ -172,15 +172,21 @@ class Sums:
         return ()
 
 
+def plans(histogram: dict[int, int], capacity: int = 2048) -> dict[str, list[tuple[tuple[int, ...], int]]]:
+    """Plans by their names, exact fillings first: by triples, pairs and singles, of all lengths or of bins in turn."""
+    ways = {f"complements of {most}": complements(histogram, capacity, most) for most in (3, 2, 1)}
+    ways |= {f"filled by {most}": filled(histogram, capacity, most) for most in (3, 2, 1)}
+    return ways | {"best fit": best_fit(histogram, capacity)}
+
+
 def plan(histogram: dict[int, int], capacity: int = 2048) -> list[tuple[tuple[int, ...], int]]:
     """Bins as (lengths, how many such bins), using each length as often as the histogram has it.
 
-    Exact fillings that are greedy spend small lengths which best fit could use better, so the plan is made in several
-    ways on the same few numbers, from best fit alone to fillings by three, and the one with the fewest bins counts.
+    Exact fillings that are greedy may spend small lengths which best fit could use better, so the plan is made in
+    several ways on the same few numbers, and the one with the fewest bins counts; of equal ones the first of ``plans``,
+    so that best fit alone is only taken where it needs fewer bins than every way of exact fillings.
     """
-    ways = [best_fit(histogram, capacity)]
-    ways += [complements(histogram, capacity, most) for most in (1, 2, 3)] + [filled(histogram, capacity, most) for most in (1, 2, 3)]
-    return min(ways, key=lambda bins: sum(times for _, times in bins))
+    return min(plans(histogram, capacity).values(), key=lambda bins: sum(times for _, times in bins))
 
 
 def _most(sums: Sums, lengths: tuple[int, ...]) -> int:
