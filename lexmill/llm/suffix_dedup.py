@@ -18,8 +18,10 @@ one member are done: no window that they own occurs twice. The others are refine
    holds again. Blocks that are still open after it are spelled out window by window.
 
 Members learn what became of their bucket by joins in which the largest buckets are split over many tasks; copies
-never meet in pairs or lists. Identifiers stand for their bytes unread: two are compared, of 64 bits each, so among n
-members two unequal strings pass for equal with a probability of about n^2 / 2^129.
+never meet in pairs or lists. Identifiers stand for their bytes unread: members of a bucket are told apart by their refined
+bucket and by a ``second`` name, another hash (XXH64) of all bytes that their windows cover, and single windows by two
+identifiers of different seeds. So among n members two unequal strings pass for equal with a probability of about
+n^2 / 2^129.
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -40,7 +43,7 @@ GOLDEN, MIX1, MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9
 CHUNK = 1 << 21
 #: Windows to a block, the step between a whole run and single windows.
 BLOCK = 16
-RUN = "k long, mark long, bucket long, refined long, start long, length int, lead int"
+RUN = "k long, mark long, bucket long, refined long, second long, start long, length int, lead int"
 
 
 def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -77,6 +80,13 @@ class Buckets:
         return self.at[d]
 
 
+def seconds(data: bytes, first: np.ndarray, last: np.ndarray, width: int) -> np.ndarray:
+    """Second names of runs of windows: a hash of the bytes that they cover."""
+    view = memoryview(data)
+    names = [xxhash.xxh64_intdigest(view[a:b]) for a, b in zip(first.tolist(), (last + width).tolist(), strict=True)]
+    return np.array(names, np.uint64).view(np.int64)
+
+
 def anchors(buckets: Buckets, width: int, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(anchor, first window, last window) of a byte string, ascending; windows are named by their starts."""
     grams, windows = buckets.depth(depth), buckets.size - width + 1
@@ -122,7 +132,8 @@ def owned(keys: pd.DataFrame, parts: list[bytes], width: int, depth: int) -> pd.
     Members of one refined bucket in the portion are settled here (``whole``); one of them goes on, as ``many``.
     """
     cuts = np.cumsum([0, *map(len, parts)])
-    buckets = Buckets(b"".join(parts))
+    data = b"".join(parts)
+    buckets = Buckets(data)
     anchor, first, last = anchors(buckets, width, depth)
     ends, pieces = cuts[1:], []
     doc = np.searchsorted(ends, first, "right")
@@ -137,10 +148,10 @@ def owned(keys: pd.DataFrame, parts: list[bytes], width: int, depth: int) -> pd.
     shape = ((anchor - first) * 65536 + (last - first)).astype(np.uint64)
     refined = mixed(mixed(full[first], full[last]), shape)
     rows = {c: keys[c].to_numpy()[doc] for c in ("k", "mark")}
-    rows |= {"bucket": fine[anchor].view(np.int64), "refined": refined.view(np.int64), "start": first - cuts[doc] + keys["base"].to_numpy()[doc], "length": last - first + 1, "lead": anchor - first}
+    rows |= {"bucket": fine[anchor].view(np.int64), "refined": refined.view(np.int64), "second": seconds(data, first, last, width), "start": first - cuts[doc] + keys["base"].to_numpy()[doc], "length": last - first + 1, "lead": anchor - first}
     found = pd.DataFrame(rows)
-    order = np.lexsort((rows["refined"], rows["bucket"]))
-    sorted_ = np.stack([rows["bucket"][order], rows["refined"][order]])
+    order = np.lexsort((rows["second"], rows["refined"], rows["bucket"]))
+    sorted_ = np.stack([rows[c][order] for c in ("bucket", "refined", "second")])
     same = np.r_[False, (sorted_[:, 1:] == sorted_[:, :-1]).all(0), False]  # as the one before
     goes, whole = np.ones(len(order), bool), np.zeros(len(order), bool)
     goes[order] = ~same[:-1]
@@ -185,7 +196,8 @@ def blocks(batch: pd.DataFrame, width: int, size: int) -> pd.DataFrame:
     shape = ((far - q * size) * size + near - q * size).astype(np.uint64)
     refined = mixed(mixed(full[place[row] + first], full[place[row] + last]), shape)
     out = {c: jobs[c].to_numpy()[row] for c in ("k", "mark", "many")}
-    return pd.DataFrame(out | {"bucket": bucket.view(np.int64), "refined": refined.view(np.int64), "start": jobs["start"].to_numpy()[row] + first, "length": last - first + 1, "lead": far})
+    second = seconds(data, place[row] + first, place[row] + last, width)
+    return pd.DataFrame(out | {"bucket": bucket.view(np.int64), "refined": refined.view(np.int64), "second": second, "start": jobs["start"].to_numpy()[row] + first, "length": last - first + 1, "lead": far})
 
 
 def spelled(batch: pd.DataFrame, width: int) -> pd.DataFrame:
@@ -233,7 +245,7 @@ def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
 
     @F.pandas_udf("binary")
     def packed(values: pd.Series) -> pd.Series:
-        make = zstandard.ZstdCompressor(level=9)
+        make = zstandard.ZstdCompressor(level=3)
         return pd.Series([make.compress(v.encode()) for v in values])
 
     affected = written(texts.select("k", "mark", packed("text").alias("packed")).join(touched, ["k", "mark"]).dropDuplicates(["k", "mark"]), "affected")
@@ -273,7 +285,7 @@ def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
 
 
 def refine(runs: DataFrame, name: str) -> DataFrame:
-    """Runs that may hold repeated windows, of rows (k, mark, bucket, refined, start, length, lead, many) of a table.
+    """Runs that may hold repeated windows, of rows (k, mark, bucket, refined, second, start, length, lead, many) of a table.
 
     ``many``: the refined bucket has several members (or came so), which settles the run. ``open``: the bucket has
     several refined ones, and this run stands for its own. Runs alone in their bucket are gone. The result is written.
@@ -285,9 +297,9 @@ def refine(runs: DataFrame, name: str) -> DataFrame:
     held = written(held.withColumn("place", place), "held")
     released(runs.sparkSession, several)
     # a refined bucket with fewer members than its bucket is not the only one; the member with the least name stands for it
-    refined = held.groupBy("bucket", "refined").agg(F.count("*").alias("n"), F.max("many").alias("came"), F.min("place").alias("one"), F.max("of").alias("all"))
-    verdict = written(refined.select("bucket", "refined", "n", ((F.col("n") > 1) | F.col("came")).alias("_many"), F.when(F.col("n") < F.col("all"), F.col("one")).alias("_one")), "refined")
-    joined = salted_join(held.drop("many", "of"), verdict, ["bucket", "refined"], "n", ["place"])
+    refined = held.groupBy("bucket", "refined", "second").agg(F.count("*").alias("n"), F.max("many").alias("came"), F.min("place").alias("one"), F.max("of").alias("all"))
+    verdict = written(refined.select("bucket", "refined", "second", "n", ((F.col("n") > 1) | F.col("came")).alias("_many"), F.when(F.col("n") < F.col("all"), F.col("one")).alias("_one")), "refined")
+    joined = salted_join(held.drop("many", "of"), verdict, ["bucket", "refined", "second"], "n", ["place"])
     out = joined.select("k", "mark", "start", "length", "lead", F.col("_many").alias("many"), F.coalesce(F.col("_one") == F.col("place"), F.lit(False)).alias("open"))
     out = written(out.filter("many or open"), name)
     released(runs.sparkSession, held, verdict)
@@ -318,7 +330,11 @@ def counted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 200) -> DataFrame:
-    """The columns of ``docs``, texts without their repeated strings and without characters that a cut has split."""
+    """The columns of ``docs``, texts without their repeated strings and without characters that a cut has split.
+
+    Defined cases: null texts become empty ones, null ids stay; rows repeating a text lose all of it if it is long enough;
+    an empty table stays empty; columns of any other names stay as they are.
+    """
     changed = cut(docs, id_col, text_col, width, whole_characters=True).select(F.col("k").alias("_lexmill_k"), F.col("mark").alias("_lexmill_m"), F.col("kept").cast("string").alias("_lexmill_kept"))
     text = F.coalesce(F.col(text_col), F.lit(""))
     marked = docs.withColumn("_lexmill_key", F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))).withColumn("_lexmill_mark", F.xxhash64(F.lit(11), text))
