@@ -103,10 +103,13 @@ def stored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     seen = written(rows.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "content"), "media-contents")
     least = F.coalesce(F.min("doc_id"), F.lit(-(1 << 63)))
     several = written(seen.groupBy("content").agg(F.count("*").alias("rows"), least.alias("keep")).filter("rows > 1"), "media-several")
-    # the texts meet only the contents that several rows have, which are broadcast if they are FEW, and else shuffled
-    keepers = several.select("content", "keep")
-    keepers = F.broadcast(keepers) if several.count() <= FEW else keepers
-    mine = rows.join(keepers, "content", "left").filter(F.col("keep").isNull() | (F.coalesce("doc_id", F.lit(-(1 << 63))) == F.col("keep")))
+    own = F.coalesce("doc_id", F.lit(-(1 << 63)))
+    if several.count() <= FEW:  # the texts meet only the contents that several rows have, by broadcast
+        keepers = F.broadcast(several.select("content", "keep"))
+        mine = rows.join(keepers, "content", "left").filter(F.col("keep").isNull() | (own == F.col("keep")))
+    else:  # each content meets its keeper by content and id, which spreads the rows of a common content over tasks
+        keepers = seen.groupBy("content").agg(least.alias("keep"))
+        mine = rows.withColumn("keep", own).join(keepers, ["content", "keep"])
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         where, top = opened(folder)
@@ -182,7 +185,10 @@ def ranges(batches: Iterator[pd.DataFrame], most: int | None = None) -> Iterator
 
 
 def metadata(rows: DataFrame) -> DataFrame:
-    """``rows`` of ``stored`` with width, height and bits, from range reads of HEADER bytes each."""
+    """``rows`` of ``stored`` with width, height and bits, from range reads of HEADER bytes each.
+
+    Defined cases: null ids and repeated rows keep their rows; rows of one entry get equal values; no rows give none.
+    """
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch, found in ranges(batches, HEADER):
@@ -193,7 +199,10 @@ def metadata(rows: DataFrame) -> DataFrame:
 
 
 def features(rows: DataFrame) -> DataFrame:
-    """A row per row of ``metadata``: what is read back from its shard, and features of it."""
+    """A row per row of ``metadata``: what is read back from its shard, and features of it.
+
+    Defined cases: as in ``metadata``; a payload of zeros has features like any other.
+    """
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch, found in ranges(batches):
