@@ -102,8 +102,8 @@ def merge_reordering(df: DataFrame, table: DataFrame, line_no: str | None = None
     groups = running_max(lines.groupBy("_run", "f", "t").agg(F.count("*").alias("_n")), pair, "_run", "_top")
     there = written(running_max(table.select("f", "t", line_no), pair, line_no, "_record").withColumn("_pair", pair), "records")
     records = there.filter("_pair = _record").select("_pair").distinct()
-    last = there.agg(F.max_by("_pair", line_no).alias("_last"), F.max("_record").alias("_most"))  # one row
-    placed = groups.withColumn("_pair", pair).join(F.broadcast(last)).withColumn("_past", F.col("_top") > F.col("_most"))
+    last, most = there.agg(F.max_by("_pair", line_no), F.max("_record")).first()  # two strings
+    placed = groups.withColumn("_pair", pair).withColumn("_past", F.col("_top") > F.lit(most))
     inside = placed.filter(~F.col("_past") & (F.col("_pair") == F.col("_top"))).join(records, "_pair", "left_semi")
-    kept = inside.select("_run").union(placed.filter(F.col("_past") & (F.col("_pair") == F.col("_last"))).select("_run"))
+    kept = inside.select("_run").union(placed.filter(F.col("_past") & (F.col("_pair") == F.lit(last))).select("_run"))
     return means(lines.filter("f <> ''").join(kept, "_run", "left_semi"), ["_run", "f", "t"]).drop("_run")
