@@ -3,7 +3,9 @@
 Documents whose five-word shingles have a similarity of 0.8 differ in about a sixth of their fingerprint bits, too
 many for blocks of one 64-bit word. Here a fingerprint has four words and the index's upper nodes are many masks of
 ``bits`` bits each, drawn over all four: a pair at a sixth of its bits shares a given mask's bits with probability
-(5/6)^14 = 0.08 and one of 44 masks' with 0.97, a closer pair nearly surely. Below an upper node members stand in Gray
+(5/6)^bits and one of the masks' with RECALL at least, a closer pair nearly surely. Both numbers follow from how many
+different texts there are, so that an upper node holds about MEMBERS unrelated ones at any size: 14 bits and 44 masks
+up to 260,000 texts, then a bit more for each doubling, which takes a fifth more masks (30 bits and 831 masks for 10^10). Below an upper node members stand in Gray
 rank; runs of neighbours are factored into nodes of the bits that all their members share, and these into wider ones,
 and pairs of nodes whose shared bits differ in over ``most`` places are pruned with all their members. A member's
 candidates are those of smaller id that differ in at most ``most`` of the 256 bits. A pair is a link if its sets of shingles
@@ -11,13 +13,13 @@ are similar enough, counted in full; groups join through components. Rounds take
 ever more of the next ones, without those in the member's own component by then, until no candidate is left: so every
 candidate is verified or already joined, while a group of true copies gives few more pairs than it has members. A node of
 more than ``hot`` members is dealt in parts at random for each mask, then by pairs of parts, without those whose
-members are all of one component by then; so no pair is lost and no task gets a large node whole. Each
-doubling of the corpus asks for one more bit and a fifth more masks, if nodes are to stay as small.
+members are all of one component by then; so no pair is lost and no task gets a large node whole.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import ceil, log, log2
 
 import numpy as np
 import pandas as pd
@@ -30,12 +32,20 @@ from lexmill.llm.components import components
 from lexmill.llm.simhash import AT_ONCE, FAN, LEAF, SEED
 
 WORDS = 4  # of 64 bits
+#: Unrelated members of an upper node, bits of a mask at least, the share of pairs at a sixth of their bits that are found.
+MEMBERS, LEAST_BITS, RECALL = 16, 14, 0.97
 #: Pairs compared at once.
 PAIRS = 1 << 19
 #: By how much more candidates each round takes than the one before.
 GROWTH = 4
 
 
+def masks(texts: int) -> tuple[int, int]:
+    """(bits, masks) for so many different texts."""
+    bits = max(LEAST_BITS, ceil(log2(max(texts, 1) / MEMBERS)))
+    return bits, ceil(log(1 - RECALL) / log(1 - (5 / 6) ** bits))
+
+
 def hashes(text: str | None, words: int) -> np.ndarray:
     """64-bit hashes of a text's word shingles, repeats included."""
     parts = (text or "").encode().lower().split()
@@ -227,8 +237,9 @@ def split(members: DataFrame, hot: int) -> DataFrame:
     return of.join(dealt, met).select("rep", F.col("node").alias("key"), "side")
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8, most: int = 60, tables: int = 44, bits: int = 14, seed: int = 1, hot: int = 4096) -> DataFrame:
-    """(doc_id, component_id) of the rows that have an id and a link to a smaller one.
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8, most: int = 60, tables: int | None = None, bits: int | None = None, seed: int = 1, hot: int = 4096) -> DataFrame:
+    """(doc_id, component_id) of the rows that have an id and a link to a smaller one. ``bits`` and ``tables``, the masks,
+    follow from the number of texts where they are not given.
 
     Defined cases: equal sets of shingles (also the empty ones of texts without words) are one group, equal
     fingerprints of other sets are pairs like any others; texts shorter than a shingle are one shingle; rows with a null id take no part; an empty table gives an empty table.
@@ -247,6 +258,8 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     made = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), wide(F.col(text_col)).alias("f")).select("doc_id", "f.*")
     made = written(made, "wide")
     groups = written(made.groupBy(*same).agg(F.min("doc_id").alias("rep"), *[F.min(n).alias(n) for n in of_set]), "wide-groups")
+    derived = masks(groups.count())
+    bits, tables = bits or derived[0], tables or derived[1]
     places = np.array([np.random.default_rng(seed + t).choice(64 * WORDS, bits, replace=False) for t in range(tables)])
     types = ", ".join(f"{n} long" for n in names)
     dealt = groups.select(*names, "rep").mapInPandas(lambda b: keyed(b, places), f"{types}, rep long, key long")
@@ -255,7 +268,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if split_:  # a large node's parts first, at random for each mask; what is between them follows with the components
         dealt = dealt.join(F.broadcast(large), "key", "left").withColumn("part", F.when(F.col("n_parts").isNotNull(), F.pmod(F.xxhash64("rep", "key"), F.col("n_parts"))))
         whole = written(dealt.filter("part is not null").select("key", "rep"), "whole")
-        dealt = dealt.withColumn("key", F.when(F.col("part").isNull(), F.col("key")).otherwise(-1 - (F.shiftleft(F.col("key"), 24) + F.col("part")))).drop("n_parts", "part")
+        dealt = dealt.withColumn("key", F.when(F.col("part").isNull(), F.col("key")).otherwise(-1 - F.xxhash64("key", "part").bitwiseAND((1 << 62) - 1))).drop("n_parts", "part")
     dealt = dealt.withColumn("root", F.col("rep")).withColumn("side", F.lit(-1))
     lo, hi, grow, sets, tried, nodes, roots = 0, 1, GROWTH, None, None, None, None
     while True:
@@ -264,8 +277,8 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         released(spark)
         pairs = found.filter("u is not null").select("u", "v").distinct()
         if sets is None:  # later rounds have pairs of these members only
-            wanted = found.select(F.explode(F.array("u", "v")).alias("doc_id")).filter("doc_id is not null")
-            wanted = wanted.union(whole.select("rep")) if split_ else wanted
+            wanted = found.select("v").union(found.filter("u is not null").select("u")).distinct().toDF("doc_id")
+            wanted = wanted.union(whole.select("rep").distinct()) if split_ else wanted
             sets = shingle_sets(docs, wanted.distinct(), id_col, text_col, words)
         else:
             pairs = pairs.join(tried, ["u", "v"], "left_anti")

@@ -280,6 +280,9 @@ def packed(parts: DataFrame, capacity: int = 2048, salt: int = 64) -> DataFrame:
 
     ``parts`` must be a written table: it is read for the histogram and again for the ranks. A length that most
     pieces have (the full one) is ranked in ``salt`` parts by hash of the document; their sizes give the offsets.
+
+    Defined cases: null ids rank first; rows alike in id, piece and checksum take their places in any order, as they are
+    exchangeable; no pieces give no sequences; other columns stay.
     """
     spark = parts.sparkSession
     part = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salt)).cast("int")

@@ -72,8 +72,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """A model from the labelled rows whose crc32 of the id (as text) is not divisible by 5.
 
     The sample's ids, ``2 * per_class`` a class at most, are chosen from the labels alone; only their texts are read
-    into the driver, one a label and id (the least, if rows repeat it), and only as many as ``most_bytes`` hold: the
-    first in order, but for those that do not fit. ``inputs``: so many of the measures count (1: the size difference
+    into the driver, one a label and id (the least, if rows repeat it), and only as many as ``most_bytes`` hold: in their
+    order, those up to where their sum exceeds it, without single texts that do. Null ids, labels and texts are not
+    read, nor are empty texts; ids of equal hash go by the id; an id with both labels counts for both. ``inputs``: so many of the measures count (1: the size difference
     alone). With too little text of a class (or none), its dictionary is the text itself, or one blank.
     """
     spark = docs.sparkSession
