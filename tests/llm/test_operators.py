@@ -19,7 +19,7 @@ import zstandard
 sys.path.insert(0, str(Path(__file__).parent))
 
 import public_tokenizers
-from lexmill.llm import line_dedup, media, near_copies, packing, piece_encoding, queries, sharding, simhash, suffix_dedup, vantage
+from lexmill.llm import licenses, line_dedup, media, near_copies, packing, piece_encoding, queries, sharding, simhash, suffix_dedup, vantage
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -117,8 +117,9 @@ def test_chain_of_links_in_pieces(spark):
     assert {r.root for r in roots} == {0} and len(roots) == len(set(fps)) - 1
 
 
-@pytest.mark.parametrize("hot", [25, 1000])
-def test_split_nodes_lose_no_link(spark, hot):
+@pytest.mark.parametrize(("hot", "broadcast"), [(25, 1000), (25, 0), (1000, 1000)])
+def test_split_nodes_lose_no_link(spark, hot, broadcast, monkeypatch):
+    monkeypatch.setattr(simhash, "MOST_LARGE", broadcast)
     from lexmill.llm.components import components
 
     rng = random.Random(11)
@@ -650,3 +651,116 @@ def test_shards_match_the_mixture_and_sql(spark, small):
 def test_oracles_name_queries():
     assert set(queries.oracle_sql()) <= set(queries.queries())
     assert json.dumps(sorted(queries.queries()))
+
+
+def test_plans_come_through_exact_fillings(small):
+    """On the tables' own lengths the emitted plan is one of exact fillings, in no more bins than best fit."""
+    import pyarrow.parquet as pq
+
+    rng = random.Random(14)
+    encode = packing.tokenizer(public_tokenizers.path("word_bpe_49k.json")).encode
+    histograms = []
+    for folder in (small, small.replace("0.001", "0.01")):
+        lengths = [len(encode(t or "")) // 4 + 1 for t in pq.read_table(f"{folder}/documents.parquet", columns=["text"])["text"].to_pylist()]
+        histograms.append(Counter(n for x in lengths for n in [2048] * (x // 2048) + [x % 2048] * (x % 2048 > 0)))
+    histograms += [Counter(rng.randint(1, 2048) for _ in range(400)), Counter(rng.choice([1000, 1048, 300, 748, 24]) for _ in range(300))]
+    for histogram in histograms:
+        ways = packing.plans(dict(histogram))
+        bins = {name: sum(times for _, times in way) for name, way in ways.items()}
+        emitted = packing.plan(dict(histogram))
+        name = next(n for n, way in ways.items() if way == emitted)
+        assert name != "best fit" and bins[name] == min(bins.values()) <= bins["best fit"]
+        assert Counter(n for lengths, times in emitted for n in lengths for _ in range(times)) == +histogram
+        exact = sum(times for lengths, times in emitted if sum(lengths) == 2048 and len(lengths) > 1)
+        assert exact > 0 and all(sum(lengths) <= 2048 for lengths, _ in emitted)
+
+
+def test_common_contents_meet_their_keeper_by_content_and_id(spark, monkeypatch):
+    rows = [(i, "same text" if i % 3 else f"text {i}") for i in range(60)] + [(None, "same text"), (None, None), (2, "same text")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    columns = ["doc_id", "n_bytes", "payload_sha256", "media_sha256", "media_bytes", "feature"]
+    get = lambda: Counter(tuple(r) for r in media.features(media.metadata(media.dealt(media.stored(df)))).select(columns).collect())
+    want = get()
+    monkeypatch.setattr(media, "FEW", 0)
+    assert get() == want and sum(want.values()) == 63
+
+
+def sample_of(pattern, rng):
+    """A random text that a rule's pattern takes; the patterns know groups, choices, options, classes and gaps."""
+    import re._parser as parser
+
+    def made(parts):
+        out = []
+        for kind, value in parts:
+            kind = str(kind)
+            if kind == "LITERAL":
+                out.append(chr(value))
+            elif kind == "ANY":
+                out.append(rng.choice("abc"))
+            elif kind == "IN":
+                out.append(chr(rng.choice(value)[1]))
+            elif kind == "BRANCH":
+                out.append(made(rng.choice(value[1])))
+            elif kind == "SUBPATTERN":
+                out.append(made(value[3]))
+            elif kind in ("MAX_REPEAT", "MIN_REPEAT"):
+                low, high, inner = value
+                out.append("".join(made(inner) for _ in range(rng.randint(low, min(high, low + 5)))))
+            else:
+                raise AssertionError(kind)
+        return "".join(out)
+
+    return " ".join(made(parser.parse(pattern)).split())
+
+
+def test_gates_lose_no_match():
+    """Every rule's own matches hold its keyword as a word and its second literal."""
+    rng = random.Random(15)
+    for label, _, keyword, also, pattern in licenses.rules():
+        for _ in range(60):
+            text = f" x {sample_of(pattern, rng)} y "
+            assert re.search(f"(?<= )(?:{pattern})(?= )", text), (label, pattern, text)
+            assert f" {keyword} " in text and also in text, (label, pattern, text)
+
+
+def test_priority_counts_in_containment(spark):
+    rows = [(1, "Released under the FreeBSD BSD License."), (2, "SPDX-License-Identifier: MIT"), (3, "distributed under the boost software licence"), (4, "simplified BSD license"), (5, "GNU General Public License version 2")]
+    found = {r.doc_id: (r.labels, r.score) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found[1] == ("bsd-2-clause", 0.65) and found[4] == ("bsd-2-clause", 0.65) and found[2] == ("mit", 0.95)
+    assert found[3][0] == "boost" and found[3][1] == 0.88 and found[5][0] == "gpl,gpl-2.0"
+    spans = [(label, priority, m.start(), m.end()) for label, priority, _, _, pattern in licenses.rules() for m in re.finditer(f"(?<= )(?:{pattern})(?= )", " this program is free software you can redistribute it and or modify it under the terms of the gnu general public license ")]
+    kept = {a[0] for a in spans if not any(b != a and b[1] >= a[1] and b[2] <= a[2] and b[3] >= a[3] for b in spans)}
+    text = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License"
+    assert set(licenses.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().labels.split(",")) == kept
+
+
+def test_regions_leave_most_trees_unopened(spark):
+    """In clustered vectors a query opens its own region and few others, and finds what all would; one vector that a third
+    of all rows hold is dealt over shards."""
+    rng = np.random.default_rng(16)
+    centres = rng.normal(size=(32, 8)) * 40
+    points = np.vstack([centres[rng.integers(32, size=3000)] + rng.normal(size=(3000, 8)), np.tile(centres[:1], (1500, 1))])
+    df = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "vec_id long, embedding array<double>")
+    got = {}
+    for factor in (1.0, 3.0):
+        for r in vantage.nearest(df, factor=factor, shard_rows=150).collect():
+            got.setdefault(factor, {}).setdefault(r.query_id, []).append((r["rank"], r.score, r.vec_id))
+    for q in range(0, 4500, 100):
+        d = np.zeros(len(points))
+        for j in range(8):
+            d += (points[q, j] - points[:, j]) ** 2
+        d = np.sqrt(d)
+        want = sorted((x, i) for i, x in enumerate(d.tolist()) if i != q)[:10]
+        assert [(x, i) for _, x, i in sorted(got[1.0][q])] == want
+    same = sum(len({i for *_, i in got[1.0][q]} & {i for *_, i in got[3.0][q]}) for q in got[1.0])
+    assert same >= 0.9 * 10 * len(got[1.0])
+
+    regions = vantage.Regions(points, 30)
+    assert 16 <= regions.size <= 30
+    home = regions.of(points)
+    who, region = regions.open(points[::100], np.full(45, 8.0), 1.0)
+    assert set(zip(range(45), home[::100].tolist(), strict=True)) <= set(zip(who.tolist(), region.tolist(), strict=True))
+    assert len(who) <= 45 * regions.size / 3
+    for q, near in zip(points[::100], range(45), strict=True):  # whatever is within reach is in an open region
+        inside = home[np.sqrt(((points - q) ** 2).sum(1)) <= 8.0]
+        assert set(inside.tolist()) <= set(region[who == near].tolist())
