@@ -30,6 +30,8 @@ from lexmill.llm.components import components
 SEED, BITS = 42, 64
 #: Shingles whose bits are counted at once, members of a lowest node, children of a wider one, node pairs held at once.
 AT_ONCE, LEAF, FAN, PAIRS = 1 << 16, 16, 8, 1 << 18
+#: Large nodes, of 8 bytes each, that may be broadcast, and places over which the members of each of more are dealt.
+MOST_LARGE, SPREAD = 2_000_000, 64
 
 
 def fingerprint(text: str | None, words: int = 4) -> int:
@@ -172,6 +174,15 @@ def forest(rows: Iterator[pd.DataFrame], distance: int) -> Iterator[pd.DataFrame
         yield of(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
 
+def meeting(keyed: DataFrame, large: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Both sides and the columns of their join, in which no task gets the members of a large node whole: few large nodes
+    are broadcast, more are copied to SPREAD places each, over which their members are dealt."""
+    if large.count() <= MOST_LARGE:
+        return keyed, F.broadcast(large), ["key"]
+    salt = F.pmod(F.xxhash64("rep"), F.lit(SPREAD)).cast("int")
+    return keyed.withColumn("salt", salt), large.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1)))), ["key", "salt"]
+
+
 def dealt(fps: DataFrame, distance: int, hot: int) -> DataFrame:
     """(key, fp, rep): the fingerprints below each node of the index's top, none of which has over ``hot`` members.
 
@@ -186,8 +197,9 @@ def dealt(fps: DataFrame, distance: int, hot: int) -> DataFrame:
             released(fps.sparkSession, large)
             return reduce(DataFrame.unionByName, [*done, keyed])
         level += 1
-        done.append(keyed.join(large, "key", "left_anti"))
-        below = keyed.join(large, "key", "left_semi").select("fp", "rep", F.explode(nodes(F.col("key"), F.col("fp"), level, distance)).alias("key"))
+        keyed, large, on = meeting(keyed, large)
+        done.append(keyed.join(large, on, "left_anti").select("key", "fp", "rep"))
+        below = keyed.join(large, on, "left_semi").select("fp", "rep", F.explode(nodes(F.col("key"), F.col("fp"), level, distance)).alias("key"))
         keyed = written(below, "lower")
 
 
