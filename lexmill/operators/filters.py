@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,17 +61,18 @@ def compositional_filter(df: DataFrame, threshold: float, short: int = 3) -> Dat
     return df.join(best, ["f", "t"], "left").withColumn("entropy", entropy).drop("_best").filter((F.col("entropy") > threshold) & ~F.isnan("entropy"))
 
 
-def fisher_filter(df: DataFrame, population: int, threshold: float, order: list[str], repaired: bool = False, line_no: str | None = None) -> DataFrame:
+def fisher_filter(df: DataFrame, population: int, threshold: float, order: list[str], repaired: bool = False, line_no: str | None = None, tail: Callable = hypergeometric_tail) -> DataFrame:
     """``df`` with ``score``: one-word pairs that are significant, or the best one of their f if none is.
 
     ``order`` names the columns that give the input order. As is, an f goes whose last row has a t of several words,
     and so does the f of the last row of all. With ``line_no``, rows are lines in that order, sorted or not, and only
-    neighbouring lines of an f belong together.
+    neighbouring lines of an f belong together. ``tail``: what makes the score, ``hypergeometric_tail`` or, where results
+    have to equal those of SQL with lgamma, ``hypergeometric_sum``.
     """
     rows = df.withColumn("_of", F.struct("f")) if line_no is None else runs(df, ["f"], line_no, "_of")
     rows = rows.withColumn("_order", F.struct(*([line_no] if line_no else order)))
     single = rows.filter(~F.col("f").contains(" ") & ~F.col("t").contains(" "))
-    scored = single.withColumn("score", hypergeometric_tail(population)("c_first", "c_second", "c_both"))
+    scored = single.withColumn("score", tail(population)("c_first", "c_second", "c_both"))
     # the least score of each f, and of equal ones the last row's, combined before the shuffle
     best = scored.groupBy("_of").agg(F.max(F.struct((-F.col("score")).alias("s"), "_order")).alias("_best"))
     kept = scored.join(best, "_of").filter((F.col("score") < threshold) | ((-F.col("_best.s") >= threshold) & (F.col("_order") == F.col("_best._order")))).drop("_best")

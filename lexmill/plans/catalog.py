@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill import workflow
+from lexmill.functions.stats import hypergeometric_sum
 from lexmill.functions.text import recase
 from lexmill.operators import counts, decompose, extract, filters, merge, rank, text
 from lexmill.plans.fixtures import duck, relation
@@ -462,14 +463,14 @@ def fisher_filter_repaired(spark, d):
 @query(_fisher(False, "pt_words", "f, t", 20_000), "pt_words")
 def fisher_filter_words(spark, d):
     """Linked words of sentences, as is, in their order."""
-    return _shown(filters.fisher_filter(relation(spark, d, "pt_words"), 20_000, 0.2, ["f", "t"]))
+    return _shown(filters.fisher_filter(relation(spark, d, "pt_words"), 20_000, 0.2, ["f", "t"], tail=hypergeometric_sum))
 
 
 @query(_fisher(False, "(select *, md5(concat(f, cast(c_both % 3 as varchar))) as o1 from pt_words)", "o1, t", 20_000, lines=True), "pt_words")
 def fisher_filter_lines(spark, d):
     """The same as lines that are not sorted: the pairs of a word stand in up to three places."""
     rows = relation(spark, d, "pt_words").withColumn("_key", F.md5(F.concat("f", (F.col("c_both") % 3).cast("string"))))
-    return _shown(filters.fisher_filter(source.numbered(rows, "_key", "t"), 20_000, 0.2, [], line_no="line_no"))
+    return _shown(filters.fisher_filter(source.numbered(rows, "_key", "t"), 20_000, 0.2, [], line_no="line_no", tail=hypergeometric_sum))
 
 
 # ranking
